@@ -7,7 +7,9 @@ the next round, in which each task merges the leavings of FAN_IN tasks, and so o
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -22,12 +24,14 @@ PIECES_PER_TASK, FAN_IN = 200_000, 8
 #: A bin with no more free tokens than this is nearly full.
 NEARLY_FULL = 8
 CACHE, LONGEST_CACHED = 400_000, 48
+#: White space other than the space and the newline.
+ODD_SPACE = re.compile(r"[^\S \n]")
 END = (0).to_bytes(4, "little")
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """path of a tokenizers .json -> (special strings, encode(part) -> little-endian ids, whether parts may be split at spaces)."""
+    """path of a tokenizers .json -> (special strings, encode(text) -> little-endian ids, the same for a part, whether texts may be split at spaces)."""
     import json
 
     import numpy as np
@@ -44,36 +48,60 @@ def encoder(path: str):
     def encode(part: str) -> bytes:
         return np.asarray(model.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return specials, encode, byte_level
+    ranks = byte_ranks(said["model"]) if byte_level else None
+    if ranks is None:
+        return specials, encode, encode, byte_level
+    import public_tokenizers
+    import tiktoken
+
+    fast = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return specials, encode, lambda part: array("I", fast.encode_ordinary(part)).tobytes(), True
+
+
+def byte_ranks(bpe: dict) -> dict[bytes, int] | None:
+    """The vocabulary as bytes -> id, if ids rank the merges, so that a rank-based encoder gives the same ids."""
+    vocab, merges = bpe["vocab"], bpe.get("merges", [])
+    plain = bpe.get("type", "BPE") == "BPE" and not any(bpe.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in merges]
+    if not plain or None in made or made != sorted(set(made)):
+        return None
+    # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    merged = set(made)
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items() if len(token) == 1 or i in merged}
 
 
 class Ids(dict):
-    """part -> its ids as little-endian bytes, from a cache of bounded size, else from the tokenizer."""
+    """word -> the ids, as little-endian bytes, that it has after a space; from a cache of bounded size, else encoded."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.specials, self.encode, self.splits = encoder(path)
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encode(part)
-        if len(part) <= LONGEST_CACHED:
+        self.specials, self.whole, self.encode, self.splits = encoder(path)
+        self.marks = {m: self.encode(m) for m in ".,;:!?"} if self.splits else {}
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1] in self.marks and word[-2:-1].isalnum():  # a mark after a letter or digit is a pre-token of its own
+            return self[word[:-1]] + self.marks[word[-1]]
+        ids = self.encode(" " + word)
+        if len(word) <= LONGEST_CACHED and "\n" not in word:
             if len(self) >= CACHE:
                 self.clear()
-            self[part] = ids
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
         """A text's ids. A byte-level model's pre-tokens never cross a space between two non-spaces, so there a
-        text is cut; texts with special strings or with runs of white space at a space are encoded whole."""
+        text is cut; texts with special strings or with other white space beside a space are encoded whole."""
         if not text:
             return b""
         if not self.splits or any(s in text for s in self.specials):
-            return self.encode(text)
-        words = text.split(" ")
-        if not all(words) or any(w[0].isspace() or w[-1].isspace() for w in words):
-            return self.encode(text)
-        first, rest = words[0], words[1:]
-        return self[first] + b"".join(map(self.__getitem__, [" " + w for w in rest]))
+            return self.whole(text)
+        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or ODD_SPACE.search(text):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
 
 _WORKER: dict[str, Ids] = {}
