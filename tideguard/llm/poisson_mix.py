@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import quoted, table, without
+from tideguard.llm.common import quoted, stored, table, without
 
 #: Sources up to which the table of rates is broadcast (under 1 KB each); beyond it, it is joined with salted keys.
 BROADCAST_SOURCES, SALTS = 4_096, 32
@@ -41,12 +41,10 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
         weight = F.coalesce(named[F.col("__source")], F.lit(0.0))
     else:
         weight = F.lit(0.0)
-    totals = totals.withColumn("__weight", weight)
-    whole = totals.agg(F.sum("__bytes").alias("__all"), F.sum("__weight").alias("__weights"))
-    share = F.try_divide(F.col("__weight") * F.col("__all"), F.col("__weights") * F.col("__bytes"))
-    return totals.crossJoin(F.broadcast(whole)).select(  # one row against one row a source
-        "__source", (F.coalesce(share, F.lit(0.0)) * F.lit(float(epochs))).alias("__rate")
-    )
+    totals = stored(totals.withColumn("__weight", weight), "sources")
+    whole, weighed = totals.agg(F.sum("__bytes"), F.sum("__weight")).first()
+    share = F.try_divide(F.col("__weight") * F.lit(whole or 0), F.lit(weighed or 0.0) * F.col("__bytes"))
+    return totals.select("__source", (F.coalesce(share, F.lit(0.0)) * F.lit(float(epochs))).alias("__rate"))
 
 
 def poisson(u: Column, mean: Column) -> Column:
