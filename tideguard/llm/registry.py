@@ -6,9 +6,15 @@ from importlib import import_module
 
 #: query -> module; each has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op1_jpeg_media": "jpeg",
+    "op2_warc_revisits": "warc",
+    "op3_page_differencing": "html_text",
+    "op4_factorization_machine": "toxicity",
+    "op5_histogram_sort": "histogram_sort",
     "op7_best_fit_packing": "best_fit",
     "op8_poisson_mixing": "poisson_mix",
     "op9_token_counts": "token_counts",
+    "op10_simhash_near_dedup": "simhash",
 }
 
 
