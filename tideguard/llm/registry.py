@@ -11,6 +11,7 @@ MODULES = {
     "op3_page_differencing": "html_text",
     "op4_factorization_machine": "toxicity",
     "op5_histogram_sort": "histogram_sort",
+    "op6_line_crf": "line_crf",
     "op7_best_fit_packing": "best_fit",
     "op8_poisson_mixing": "poisson_mix",
     "op9_token_counts": "token_counts",

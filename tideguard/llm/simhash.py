@@ -253,6 +253,22 @@ def connected(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def groups_of(light: DataFrame, bits: int, shard: int = SHARD) -> DataFrame:
+    """Rows of fp and __id -> one row a fingerprint with its component_id."""
+    fps = stored(light.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
+    roots = connected(stored(links(fps.select("fp"), bits, shard), "stars"))
+    member = roots.join(fps, roots.node == fps.fp).select("fp", "root", "least")
+    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    grouped = member.join(least, "root").select("fp", "component_id")
+    return fps.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def marked_rows(docs: DataFrame, id_col: str, text: str, words: int, keep: list[str]) -> DataFrame:
+    """The columns keep, __id and fp, written to the shared folder, so fingerprints are computed once."""
+    marked = add_fingerprint(docs.withColumn("__id", quoted(id_col)), text=text, words=words, keep=[*keep, "__id"])
+    return stored(marked, "fingerprints")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, bits: int = 3, keep: list[str] | None = None, shard: int = SHARD
 ) -> DataFrame:
@@ -262,16 +278,24 @@ def near_duplicates(
     component; a null id never names a component unless all its ids are null. Short texts are one shingle. An empty
     table gives an empty one. Columns named as an output are replaced; texts are read whole, whatever their length.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, ["fp", "component_id"]))]
-    marked = add_fingerprint(docs.withColumn("__id", quoted(id_col)), text=text, words=words, keep=[*keep, "__id"])
-    light = stored(marked.select("fp", "__id", *[quoted(c) for c in keep]), "fingerprints")
-    fps = stored(light.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
-    roots = connected(stored(links(fps.select("fp"), bits, shard), "stars"))
-    member = roots.join(fps, roots.node == fps.fp).select("fp", "root", "least")
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = member.join(least, "root").select("fp", "component_id")
-    named = fps.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return light.join(named, "fp").select(*[quoted(c) for c in keep], "fp", "component_id")
+    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, ["fp", "component_id", "__id"]))]
+    marked = marked_rows(docs, id_col, text, words, keep)
+    return marked.join(groups_of(marked.select("fp", "__id"), bits, shard), "fp").select(*[quoted(c) for c in keep], "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
+    """The rows of docs that name their component: one document of each group, with all of its columns.
+
+    Of rows that repeat an id one stays. A component without any id keeps one row a fingerprint. Groups are found on
+    ids and fingerprints alone; then texts move once, dealt by id, so a large group is spread.
+    """
+    kept = [c for c in docs.columns if c in set(without(docs, ["fp", "__id"]))]
+    marked = marked_rows(docs, id_col, text, words, kept)
+    light = marked.select("fp", "__id")
+    named = light.join(groups_of(light, bits), "fp").where(F.col("__id").eqNullSafe(F.col("component_id")))
+    winners = named.select(F.col("fp").alias("f"), F.col("__id").alias("i")).distinct()
+    rows = marked.join(winners, (marked["fp"] == winners["f"]) & marked["__id"].eqNullSafe(winners["i"]), "left_semi")
+    return rows.dropDuplicates(["__id", "fp"]).select(*[quoted(c) for c in kept])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
