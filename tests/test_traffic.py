@@ -1,0 +1,265 @@
+"""Traffic operators on hand-worked tables: boundaries, nulls, ties, silent windows, late rows and scenarios."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tideguard.functions.time import seconds
+from tideguard.operators import pairing, prepare, rates, sessions, shape
+from tideguard.sources import traffic
+from tideguard.streaming import detect
+
+T0 = datetime(2024, 1, 1)
+
+
+def at(minutes):
+    return T0 + timedelta(minutes=minutes)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def packets(spark):
+    rows = [(i, at(m), s, d, b) for i, (m, s, d, b) in enumerate([(0, "a", "x", 10), (10, "a", "x", 20), (59, "a", "y", 5), (60, "a", "x", 1), (185, "a", "x", 7), (5, "b", "x", 0), (6, None, "x", 3)])]
+    return spark.createDataFrame(rows, "record_id bigint, ts timestamp_ntz, src string, dst string, bytes bigint")
+
+
+def test_spans():
+    assert seconds("6 hours") == 21600 and seconds("1 hour 30 minutes") == 5400 and seconds("INTERVAL 1 day") == 86400
+    for bad in ("", "hour", "3 fortnights"):
+        with pytest.raises(ValueError):
+            seconds(bad)
+
+
+def test_rates(packets):
+    got = rows_of(rates.rate_by_window(packets, "src", "1 hour", bytes_col="bytes").select("win", "src", "packets", "bytes"))
+    assert got == sorted([(at(0), "a", 3, 35), (at(60), "a", 1, 1), (at(180), "a", 1, 7), (at(0), "b", 1, 0), (at(0), None, 1, 3)], key=repr)
+    slid = rates.rate_by_window(packets, "src", "2 hours", "1 hour").where("src = 'a'").select("win", "packets")
+    assert rows_of(slid) == sorted([(at(-60), 3), (at(0), 4), (at(60), 1), (at(120), 1), (at(180), 1)], key=repr)
+    uneven = rates.rate_by_window(packets, "src", "90 minutes", "1 hour").where("src = 'a'")
+    assert uneven.agg(F.sum("packets")).first()[0] >= 5
+    assert rates.rate_by_window(packets.limit(0), "src", "1 hour").count() == 0
+
+
+def test_zone_does_not_move_windows(spark, packets):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert {r.win for r in rates.rate_by_window(packets, "src", "1 day").collect()} == {T0}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_trailing_rate_includes_both_ends(packets):
+    got = dict(rows_of(rates.trailing_rate(packets, "src", "50 minutes").select("record_id", "trailing")))
+    assert got == {0: 1, 1: 2, 2: 2, 3: 3, 4: 1, 5: 1, 6: 1}  # 60 - 50 = 10 is in
+
+
+def test_thresholds_and_top_keys(spark, packets):
+    assert rows_of(rates.rate_threshold(packets, "src", "1 hour", max_packets=3).select("src")) == [("a",)]
+    assert rates.rate_threshold(packets, "src", "1 hour").count() == 0
+    assert rates.quantile_threshold(packets, "src", "1 hour", 0.5).where("src = 'a'").first()["limit"] == 1.0
+    tied = spark.createDataFrame([(T0, k) for k in "ccbbaad"], "ts timestamp_ntz, k string")
+    assert rows_of(rates.top_talkers(tied, "k", "1 hour", 2).select("k", "rank")) == [("a", 1), ("b", 2)]
+    assert rows_of(rates.heavy_hitters(tied, "k", "1 hour", 2 / 7).select("k")) == [("a",), ("b",), ("c",)]
+    assert {r.k for r in rates.approx_top_talkers(tied, "k", 3).collect()} == {"a", "b", "c"}
+
+
+def test_peers_sources_ratios_rollups(packets):
+    assert rows_of(rates.distinct_peers(packets, "dst", "src", "1 hour").where("win < '2024-01-01 01:00'").select("dst", "peers")) == [("x", 2), ("y", 1)]
+    assert rows_of(rates.distinct_peers(packets, "dst", "src", "1 hour", rsd=0.05).select("dst")) == [("x",), ("x",), ("x",), ("y",)]
+    assert rows_of(rates.new_sources(packets, "src", "1 hour")) == [(T0, 3)]
+    got = rates.ratio_by_window(packets, "src", "1 hour", "dst = 'x'", "dst = 'y'").where("src = 'a'").select("win", "ratio")
+    assert rows_of(got) == sorted([(at(0), 2.0), (at(60), None), (at(180), None)], key=repr)
+    assert rates.rollup_traffic(packets, ["src", "dst"]).where("level = 3").first().packets == 7
+
+
+def test_entropy_and_shift(spark):
+    rows = [(at(0), c) for c in "aabb"] + [(at(60), c) for c in "aaaa"] + [(at(120), c) for c in "abcd"]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, c string")
+    got = [(r.entropy, r.normalised) for r in shape.entropy_by_window(df, "c", "1 hour").orderBy("win").collect()]
+    assert got == [(1.0, 1.0), (0.0, 0.0), (2.0, 1.0)]
+    mix = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("z", 0.0)], "c string, share double")
+    chi = [(r.packets, round(r.chi2, 9)) for r in shape.chi2_shift(df, "c", "1 hour", mix).orderBy("win").collect()]
+    assert chi == [(4, 0.0), (4, 4.0), (2, 0.0)]
+    assert {r.c: r.share for r in shape.baseline_mix(df, "c").collect()}["a"] == 7 / 12
+
+
+def series(spark, values, key="k"):
+    return spark.createDataFrame([(key, at(60 * i), v) for i, v in enumerate(values) if v is not None], "k string, win timestamp_ntz, packets bigint")
+
+
+def test_grid_and_baselines(spark):
+    dense = shape.dense_grid(series(spark, [3, None, None, 2]), "k", "1 hour")
+    assert [r.packets for r in dense.orderBy("win").collect()] == [3, 0, 0, 2]
+    z = shape.zscore(series(spark, [1, 3, 2, 5, 5, 5, 9]), "k", 3).orderBy("win").collect()
+    assert [round(r.z, 6) for r in z] == [3.0, round((5 - 10 / 3) / (7 / 3) ** 0.5, 6), round((5 - 4) / 3**0.5, 6)]
+    e = [r.ewma for r in shape.ewma(series(spark, [10, 0, 10]), "k", 0.5).orderBy("win").collect()]
+    assert e == [10.0, 5.0, 7.5]
+    assert [r.ewma for r in shape.ewma(series(spark, [10, 0, 10]), "k", 0.5, horizon=1).orderBy("win").collect()] == [10.0, 0.0, 10.0]
+
+
+def test_cusum_equals_the_recursion(spark):
+    values = [2, 9, 1, 0, 0, 0, 5, 6, 7, 0, 1, 30, 0]
+    s, want = 0.0, []
+    for x in values:
+        s = max(0.0, s + x - 4)
+        want.append((s, s >= 8))
+    got = shape.cusum(series(spark, values), "k", 4.0, 8.0).orderBy("win").collect()
+    assert [(r.cusum, r.alert) for r in got] == want
+
+
+def test_filter_dedup_and_lists(spark, packets):
+    assert rows_of(prepare.filter_traffic(packets, "2024-01-01 00:10", "2024-01-01 01:00").select("record_id")) == [(1,), (2,)]
+    assert prepare.dedup_records(packets.unionByName(packets), "record_id").count() == 7
+    entries = spark.createDataFrame([("a",), ("a",), (None,)], "src string")
+    assert prepare.match_list(packets, entries, "src").count() == 5
+    assert rows_of(prepare.match_list(packets, entries, "src", "unlisted").select("record_id")) == [(5,), (6,)]
+    assert prepare.match_list(packets, entries.limit(0), "src", "unlisted").count() == 7
+    with pytest.raises(ValueError):
+        prepare.match_list(packets, entries, "src", "both")
+
+
+def test_longest_prefix(spark):
+    ip = 0x0A010203
+    df = spark.createDataFrame([(1, ip), (2, 0x0A020000), (3, 0xFFFFFFFF), (4, None)], "record_id bigint, src_ip bigint")
+    rules = spark.createDataFrame([(7, 0x0A, 8), (5, 0x0A01, 16), (4, 0x0A01, 16), (9, ip, 32), (1, 0, 0)], "rule_id bigint, pfx bigint, plen int")
+    assert rows_of(prepare.cidr_match(df, rules).select("record_id", "rule_id", "plen")) == [(1, 9, 32), (2, 7, 8), (3, 1, 0)]
+    assert rows_of(prepare.cidr_match(df, rules.where("plen = 16")).select("record_id", "rule_id")) == [(1, 4)]
+    assert prepare.cidr_match(df, rules.limit(0)).count() == 0
+    assert "NestedLoop" not in prepare.cidr_match(df, rules)._jdf.queryExecution().toString()
+
+
+def test_pairs(spark):
+    req = spark.createDataFrame([(1, "a", at(0), 10), (2, "a", at(30), 0), (3, "b", at(0), 5), (4, None, at(0), 5)], "record_id bigint, src string, ts timestamp_ntz, bytes bigint")
+    resp = spark.createDataFrame([(11, "a", at(0), 1), (12, "a", at(60), 50), (13, "a", at(61), 7), (14, "b", at(61), 9)], "record_id bigint, src string, ts timestamp_ntz, bytes bigint")
+    want = [(1, 12), (2, 12), (2, 13)]  # the same moment is no answer; exactly an hour later is one
+    for bucket in (None, "10 minutes", "7 hours"):
+        assert rows_of(pairing.match_responses(req, resp, "src", "1 hour", bucket=bucket).select("req_record_id", "resp_record_id")) == want
+        assert rows_of(pairing.unanswered(req, resp, "src", "1 hour", bucket=bucket, id_cols="record_id").select("record_id")) == [(3,), (4,)]
+    got = rows_of(pairing.amplification_factor(req, resp, "src", "1 hour").select("record_id", "response_bytes", "factor"))
+    assert got == [(1, 50, 5.0), (2, 57, None), (3, 0, 0.0), (4, 0, 0.0)]
+    assert "NestedLoop" not in pairing.match_responses(req, resp, "src", "1 hour")._jdf.queryExecution().toString()
+
+
+def test_sessions_and_flows(spark, packets):
+    got = rows_of(sessions.sessionize(packets.where("src = 'a'"), "src", "49 minutes").select("start", "end", "packets"))
+    assert got == sorted([(at(0), at(109), 4), (at(185), at(234), 1)], key=repr)  # 10 and 59 are 49 apart and joined
+    flow = sessions.flow_features(packets, "src").where("src = 'a'").first()
+    assert (flow.packets, flow.bytes, flow.mean_gap, flow.duration) == (5, 43, 185 * 60 / 4, 185 * 60.0)
+    assert sessions.flow_features(packets, "src").where("src = 'b'").first().mean_gap is None
+
+
+def test_incidents_scores_and_evaluation(spark):
+    alerts = spark.createDataFrame([("k", at(60 * h), v) for h, v in [(0, 5), (1, 9), (2, 6), (4, 8)]] + [("j", at(0), 1)], "k string, win timestamp_ntz, packets bigint")
+    assert rows_of(sessions.incidents(alerts, "k", "1 hour")) == [("j", at(0), at(0), 1, 1), ("k", at(0), at(120), 9, 3), ("k", at(240), at(240), 8, 1)]
+    a = spark.createDataFrame([(T0, "k", "r1", 1.0), (T0, "k", "r1", 2.0), (T0, "j", "r1", 1.0)], "win timestamp_ntz, key string, rule string, weight double")
+    b = spark.createDataFrame([(T0, "k", "r0", 0.5)], a.schema)
+    assert rows_of(sessions.combine_alerts(a, b)) == [(T0, "j", 1.0, 1, "r1"), (T0, "k", 2.5, 2, "r0,r1")]
+    truth = spark.createDataFrame([(T0, "k"), (at(60), "k")], "win timestamp_ntz, key string")
+    assert rows_of(sessions.evaluate_alerts(a, truth)) == [(1, 1, 1, 0.5, 0.5, 0.5)]
+    assert rows_of(sessions.evaluate_alerts(a.limit(0), truth.limit(0))) == [(0, 0, 0, None, None, None)]
+
+
+def run(df, path, spark, schema=None):
+    traffic.write_alerts(df, f"{path}/out", checkpoint=f"{path}/state").awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
+def write_files(spark, path, batches, schema):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in{i}")
+    return f"{path}/in[0-9]*"
+
+
+def test_late_rows(spark, tmp_path):
+    """A late row counts while its window is open, and is dropped afterwards."""
+    schema = "ts timestamp_ntz, k string"
+    times = ["00:05", "01:05", "00:50", "03:00", "00:10"]
+    for i, t in enumerate(times):
+        hour, minute = map(int, t.split(":"))
+        spark.createDataFrame([(datetime(2024, 1, 1, hour, minute), "a")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/f={i}")
+        stream = traffic.stream_traffic(spark, f"{tmp_path}/in/f=*", schema=schema)
+        rates_ = detect.stream_rate(stream, "k", "1 hour", "10 minutes").select(F.col("win").cast("string").alias("win"), "k", "packets")
+        got = rows_of(run(rates_, tmp_path, spark))
+        if i == 3:
+            assert got == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 01:00:00", "a", 1)]
+    assert len(got) == 2
+
+
+def test_streams_across_batches(spark, tmp_path):
+    """Dedup, sessions, pairs and sums keep their state from one run to the next."""
+    schema = "record_id bigint, ts timestamp_ntz, src string, bytes bigint"
+    first = [(1, at(0), "a", 1), (2, at(10), "a", 1)]
+    second = [(2, at(10), "a", 1), (3, at(20), "a", 1), (4, at(600), "b", 1)]
+    found = {}
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/f={i}")
+        stream = traffic.stream_traffic(spark, f"{tmp_path}/in/f=*", schema=schema)
+        found["dedup"] = rows_of(run(detect.stream_dedup(stream, "record_id", "1 day").select("record_id"), f"{tmp_path}/d", spark))
+        found["sessions"] = rows_of(run(detect.stream_sessions(stream, "src", "30 minutes", "1 minute").select("src", "packets"), f"{tmp_path}/s", spark))
+        other = traffic.stream_traffic(spark, f"{tmp_path}/in/f=*", schema=schema)
+        found["pairs"] = rows_of(run(detect.stream_match(stream, other, "src", "10 minutes", "1 hour").select("req_record_id", "resp_record_id"), f"{tmp_path}/m", spark))
+        found["open"] = rows_of(run(detect.stream_unanswered(stream, other, "src", "10 minutes", "1 hour").select("record_id"), f"{tmp_path}/u", spark))
+    assert found["dedup"] == [(1,), (2,), (3,), (4,)]
+    assert found["sessions"] == [("a", 4)]
+    assert set(found["pairs"]) == {(1, 2), (2, 3)}
+    assert (3,) in found["open"] and (1,) not in found["open"]
+
+
+def test_stream_cusum_keeps_its_sum(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    values = [6, 7, 0, 9, 8]
+    try:
+        for i, part in enumerate((values[:2], values[2:])):
+            rows = [("k", at(60 * (2 * i + j)), v) for j, v in enumerate(part)]
+            spark.createDataFrame(rows, "k string, win timestamp, packets bigint").coalesce(1).write.parquet(f"{tmp_path}/in/f={i}")
+            stream = spark.readStream.schema("k string, win timestamp, packets bigint").parquet(f"{tmp_path}/in/f=*")
+            got = run(detect.stream_cusum(stream, "k", 4.0, 8.0), tmp_path, spark)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert [r.cusum for r in got.orderBy("win").collect()] == [2.0, 5.0, 1.0, 6.0, 10.0]
+
+
+def test_sources(spark, packets, tmp_path):
+    for fmt in ("parquet", "json", "csv", "orc"):
+        path = f"{tmp_path}/{fmt}"
+        traffic.write_alerts(packets.withColumn("ts", F.col("ts").cast("string")), path, fmt=fmt)
+        traffic.write_alerts(packets.limit(0).withColumn("ts", F.col("ts").cast("string")), path, fmt=fmt)
+        got = traffic.load_traffic(spark, path, fmt, {"ts": "cast(ts as timestamp_ntz)", "key": "src", "n": "cast(bytes as bigint)"}, schema="record_id bigint, ts string, src string, dst string, bytes bigint")
+        assert rows_of(got) == rows_of(packets.select("ts", F.col("src").alias("key"), F.col("bytes").alias("n")))
+    with pytest.raises(ValueError):
+        traffic.stream_traffic(spark, str(tmp_path))
+
+
+def scenario(spark, attack):
+    """Three quiet days of 20 sources, and on the third an attack between 12:00 and 14:00."""
+    rows, n = [], 0
+    for h in range(72):
+        for s in range(20):
+            for k in range(2):
+                rows.append((n, T0 + timedelta(hours=h, minutes=3 * s, seconds=7 * k), f"s{s}", "web", "SYN" if k == 0 else "FIN"))
+                n += 1
+    for h in (60, 61):
+        for i in range(600):
+            rows.append((n, T0 + timedelta(hours=h, seconds=6 * i), *attack(i)))
+            n += 1
+    return spark.createDataFrame(rows, "record_id bigint, ts timestamp_ntz, src string, dst string, flag string")
+
+
+def test_detectors_on_scenarios(spark):
+    truth = spark.createDataFrame([(T0 + timedelta(hours=h), "web") for h in (60, 61)], "win timestamp_ntz, dst string")
+    flood = scenario(spark, lambda i: (f"x{i}", "web", "SYN"))
+    hourly = rates.rate_by_window(flood, "dst", "1 hour")
+    for alerts in (rates.rate_threshold(flood, "dst", "1 hour", max_packets=200), rates.ratio_by_window(flood, "dst", "1 hour", "flag = 'SYN'", "flag = 'FIN'").where("ratio > 3")):
+        score = sessions.evaluate_alerts(alerts, truth, ["win", "dst"]).first()
+        assert (score.tp, score.fp, score.fn) == (2, 0, 0)
+    assert shape.cusum(hourly, "dst", 60.0, 500.0).where("alert").agg(F.min("win")).first()[0] == T0 + timedelta(hours=60)
+    assert rates.new_sources(flood, "src", "1 hour").where("new_sources > 100").count() == 1
+    entropy = {r.win: r.entropy for r in shape.entropy_by_window(flood, "src", "1 hour").collect()}
+    assert entropy[T0 + timedelta(hours=60)] > entropy[T0] + 3
+    crowd = scenario(spark, lambda i: (f"c{i // 2}", "web", "SYN" if i % 2 == 0 else "FIN"))
+    assert rates.rate_threshold(crowd, "dst", "1 hour", max_packets=200).count() == 2  # a rate alone can't tell a crowd
+    assert rates.ratio_by_window(crowd, "dst", "1 hour", "flag = 'SYN'", "flag = 'FIN'").where("ratio > 3").count() == 0
