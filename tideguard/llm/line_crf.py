@@ -166,13 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    rows = docs.select(quoted(id_col).alias("__id"), quoted(text).alias("text")).join(known, "__id")
+    # known has about fit_rows short rows at most, so it may be broadcast
+    rows = docs.select(quoted(id_col).alias("__id"), quoted(text).alias("text")).join(F.broadcast(known), "__id")
 
     def start():
         return lambda values: [[[line_features(*x) for x in lines_of(v)[0]] for v in values]]
 
-    found = arrow_map(rows, [utf8()], "lines array<array<int>>", start, ["y"]).orderBy("lines", "y").toArrow()
-    return fit_field(found.column("lines").to_pylist(), found.column("y").to_pylist())
+    got = arrow_map(rows, [utf8()], "lines array<array<int>>", start, ["y"]).toArrow()
+    found = sorted(zip(got.column("lines").to_pylist(), got.column("y").to_pylist(), strict=True))
+    return fit_field([x for x, _ in found], [y for _, y in found])
 
 
 def judge(docs: DataFrame, field: Field, *, text: str = "text", content: float = CONTENT, keep: list[str] | None = None) -> DataFrame:

@@ -118,13 +118,15 @@ def held_out(id_col: str):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, fit_rows: int) -> DataFrame:
-    """At most about fit_rows labelled rows, none of them held out: data and y. Several labels of one id count as the largest."""
+    """The rows of at most about fit_rows labelled ids, none of them held out: data and y. Several labels of one id count as
+    the largest; rows that repeat an id are all fitted."""
     known = labels.where(quoted(label).isNotNull() & quoted(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(quoted(id_col).alias("__id")).agg(F.max((quoted(label) > 0).cast("int")).alias("y"))
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    rows = docs.select(quoted(id_col).alias("__id"), utf8(text).alias("data")).join(known, "__id").groupBy("__id", "y").agg(F.first("data").alias("data"))
+    # known has about fit_rows short rows at most, so it may be broadcast
+    rows = docs.select(quoted(id_col).alias("__id"), utf8(text).alias("data")).join(F.broadcast(known), "__id")
     return stored(rows.select("data", "y"), "labelled")
 
 
@@ -158,9 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(columns, names=["at", "x", "y"])
 
     # at most fit_rows short vectors, in an order that does not depend on the tasks
-    rows = sample.mapInArrow(vectors, "at array<int>, x array<float>, y int").orderBy("at", "x", "y").toArrow()
-    sparse = [(np.array(a, np.int32), np.array(x, np.float32)) for a, x in zip(rows.column("at").to_pylist(), rows.column("x").to_pylist(), strict=True)]
-    bias, weights, factors = fit_machine(sparse, rows.column("y").to_numpy().astype(np.float64), max(1, len(index)))
+    got = sample.mapInArrow(vectors, "at array<int>, x array<float>, y int").toArrow()
+    rows = sorted(zip(*[got.column(c).to_pylist() for c in ("at", "x", "y")], strict=True))
+    sparse = [(np.array(a, np.int32), np.array(x, np.float32)) for a, x, _ in rows]
+    bias, weights, factors = fit_machine(sparse, np.array([y for _, _, y in rows], np.float64), max(1, len(index)))
     return Model(index, bias, weights, factors)
 
 
