@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     # known has about fit_rows short rows at most, so it may be broadcast
-    rows = docs.select(quoted(id_col).alias("__id"), quoted(text).alias("text")).join(F.broadcast(known), "__id")
+    rows = docs.select(quoted(id_col).alias("__id"), quoted(text).alias("text")).join(F.broadcast(known), "__id").dropDuplicates(["__id"])
 
     def start():
         return lambda values: [[[line_features(*x) for x in lines_of(v)[0]] for v in values]]
