@@ -252,7 +252,7 @@ def test_differencing_of_neighbours(spark):
 def test_neighbours_by_longer_common_path(spark):
     rows = [(0, "h", "/a/1", [0]), (1, "h", "/a/2", [1]), (2, "h", "/b/1", [2]), (3, "h", "/b/12", [3]), (4, "i", "/b/12", [4]), (5, "h", "/b/12", [5]), (6, "j", "", [6]), (7, "j", "", [7])]
     df = spark.createDataFrame(rows, "row bigint, host string, path string, hashes array<bigint>")
-    got = {r.row: r.other for r in html_text.neighbours(df).collect()}
+    got = {r.row: r.other for r in html_text.neighbours(df, ["row"]).collect()}
     assert got == {0: [1], 1: [0], 2: [3], 3: [5], 4: None, 5: [3], 6: [7], 7: [6]}
 
 

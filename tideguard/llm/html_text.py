@@ -151,12 +151,12 @@ def main_text(lines: list[str], kinds: list[int], own: list[int], other: list[in
     return "\n".join(kept), len(copy)
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """Rows of row, host, path, hashes -> row, other: the hashes of the neighbour in (host, path) order, of the same host,
+def neighbours(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """Rows of ids, host, path, hashes -> ids, other: the hashes of the neighbour in (host, path) order, of the same host,
     whose path has the longer common start (the one before on a tie). A range sort gives ranks; a join on
     rank - 1 and rank + 1 then finds neighbours, so a host with any share of the pages is spread over tasks."""
     width = 33
-    ordered = rows.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
+    ordered = rows.repartitionByRange("host", "path", *ids).sortWithinPartitions("host", "path", *ids)
     ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
     parts = ordered.groupBy(F.shiftright("at", width).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a partition
     before, starts = 0, []
@@ -164,7 +164,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         starts += [F.lit(r.part), F.lit(before)]
         before += r.n
     if not starts:
-        return ordered.select("row", F.col("hashes").alias("other"), "path").where("false").drop("path")
+        return ordered.select(*ids, F.col("hashes").alias("other")).where("false")
     first = F.create_map(*starts)[F.shiftright("at", width)]
     ranked = ordered.withColumn("rank", first + F.col("at").bitwiseAND(F.lit((1 << width) - 1)))
     heads = F.split(F.col("path"), "")
@@ -182,47 +182,60 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
     up, down = alike("up"), alike("down")
     chosen = F.when((up < 0) & (down < 0), F.lit(None)).when(up >= down, F.col("up.hashes")).otherwise(F.col("down.hashes"))
-    return both.select("row", chosen.alias("other"))
+    return both.select(*ids, chosen.alias("other"))
 
 
 def extract(pages: DataFrame, *, page: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Add text, n_chars, n_lines and n_shared (lines that the paired page has too, boilerplate included).
 
-    A null or empty page gives an empty text, a null url is a host and path of its own kind; repeated rows are pages
-    of their own. Blocks are joined by one newline; an empty table gives an empty one; columns named as an output
-    are replaced. Pages of any size are read whole.
+    A null or empty page gives an empty text, a null url is a host and path of its own kind; rows that repeat url and
+    page are one page when pages are paired. Blocks are joined by one newline; an empty table gives an empty one;
+    columns named as an output are replaced. Pages of any size are read whole.
+
+    Pairing moves hashes of lines alone. Then each page meets its partner's hashes by a key of its content; for that it
+    is compressed, as only this join moves pages.
     """
+    import zstandard
+
     made = ["text", "n_chars", "n_lines", "n_shared"]
     keep = [c for c in (pages.columns if keep is None else keep) if c in set(without(pages, made))]
+    ids = ["__k1", "__k2"]  # 128 bits of content
+    place, data = F.coalesce(quoted(url).cast("string"), F.lit("")), utf8(page)
+    keyed = pages.withColumn("__k1", F.xxhash64(place, data)).withColumn("__k2", F.xxhash64(data, place, F.lit(1)))
 
-    def start():
+    def hashed():
         import xxhash
 
-        def compute(values):
-            got = [lines_of(v.decode("utf-8", "replace")) for v in values]
-            hashes = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in got]
-            return [x for x, _ in got], [k for _, k in got], hashes
+        return lambda values: [[[xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines_of(v.decode("utf-8", "replace"))[0]] for v in values]]
 
-        return compute
+    host = F.lower(F.regexp_extract(place, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
+    path = F.regexp_extract(place, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")
+    light = arrow_map(keyed.select(*ids, host, path, data.alias("data")), [F.col("data")], "hashes array<bigint>", hashed, [*ids, "host", "path"])
+    others = neighbours(light.dropDuplicates(ids), ids)
+
+    def small():
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return lambda values: [[pack(v) for v in values]]
 
-    place = F.coalesce(quoted(url).cast("string"), F.lit(""))
-    numbered = pages.withColumn("__row", F.monotonically_increasing_id()).withColumn("__host", F.lower(F.regexp_extract(place, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)))
-    numbered = numbered.withColumn("__path", F.regexp_extract(place, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1))
-    outputs = "__lines array<string>, __kinds array<int>, __hashes array<bigint>"
-    found = stored(arrow_map(numbered, [utf8(page)], outputs, start, [*keep, "__row", "__host", "__path"]), "lines")
-    pairs = neighbours(found.select(*[F.col(f"__{c}").alias(c) for c in ("row", "host", "path", "hashes")]))
-    joined = found.join(pairs.withColumnRenamed("row", "__row"), "__row", "left")
+    joined = arrow_map(keyed, [data], "__page binary", small, [*keep, *ids]).join(others, ids, "left")
 
     def finish():
-        def compute(lines, kinds, own, other):
-            got = [main_text(*x) for x in zip(lines, kinds, own, other, strict=True)]
-            return [t for t, _ in got], [len(t) for t, _ in got], [len(x) for x in lines], [n for _, n in got]
+        import xxhash
+
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def one(packed, other):
+            lines, kinds = lines_of(unpack(packed).decode("utf-8", "replace"))
+            own = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines]
+            text, shared = main_text(lines, kinds, own, other)
+            return text, len(text), len(lines), shared
+
+        def compute(packed, other):
+            return [list(c) for c in zip(*map(one, packed, other), strict=True)] or [[]] * 4
 
         return compute
 
-    return arrow_map(
-        joined, [F.col("__lines"), F.col("__kinds"), F.col("__hashes"), F.col("other")], "text string, n_chars bigint, n_lines int, n_shared int", finish, keep
-    )
+    return arrow_map(joined, [F.col("__page"), F.col("other")], "text string, n_chars bigint, n_lines int, n_shared int", finish, keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
