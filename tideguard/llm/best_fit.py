@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import quoted, stored, table, utf8, without
+from tideguard.llm.common import extended, quoted, stored, table, utf8, without
 
 #: Pieces that one task of the first round packs on average, and tasks whose leavings one task merges.
 PIECES_PER_TASK, FAN_IN = 200_000, 8
@@ -140,8 +140,7 @@ def pieces(docs: DataFrame, model: str, *, text: str = "text", capacity: int = 2
             made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*keep, "piece", "start", "length", "ids_crc32"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema.fields[:n])
-    return plan.mapInArrow(run, f"{fields}{', ' if n else ''}piece int, start bigint, length bigint, ids_crc32 bigint")
+    return plan.mapInArrow(run, extended(plan.schema.fields[:n], "piece int, start bigint, length bigint, ids_crc32 bigint"))
 
 
 def best_fit(sizes, capacity: int) -> list[tuple[int, int]]:
@@ -169,13 +168,13 @@ def best_fit(sizes, capacity: int) -> list[tuple[int, int]]:
 
 def first_round(rows: DataFrame, tasks: int, capacity: int) -> DataFrame:
     """Every piece with the bin and offset that best-fit decreasing gives it among the pieces dealt to its task."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        got = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        batches = list(batches)
+        got = pa.Table.from_batches(batches) if batches else None
         if got is None or not got.num_rows:
             return
         got = got.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("piece", "ascending")])
@@ -183,7 +182,7 @@ def first_round(rows: DataFrame, tasks: int, capacity: int) -> DataFrame:
         got = got.append_column("bin", pa.array([(task << 40) + b for b in bins], pa.int64()))
         yield from got.append_column("offset", pa.array(offsets, pa.int64())).to_batches(max_chunksize=65_536)
 
-    return rows.repartition(tasks).mapInArrow(run, f"{fields}, bin bigint, offset bigint")
+    return rows.repartition(tasks).mapInArrow(run, extended(rows.schema.fields, "bin bigint, offset bigint"))
 
 
 def merge_round(under: DataFrame, capacity: int) -> DataFrame:

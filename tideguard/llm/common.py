@@ -10,14 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-# ASCII white space, the class [\x20\x09-\x0D] of the word rule; bytes.split() splits on the same six.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +55,11 @@ def utf8(col: str = "text") -> Column:
     return F.coalesce(quoted(col).cast("string"), F.lit("")).cast("binary")
 
 
+def extended(fields: Sequence[StructField], more: str) -> StructType:
+    """A schema of fields and of those that a DDL string names."""
+    return StructType([*fields, *StructType.fromDDL(more).fields])
+
+
 def arrow_map(
     df: DataFrame,
     inputs: Sequence[Column],
@@ -78,7 +76,7 @@ def arrow_map(
     new = StructType.fromDDL(outputs)
     kept = [c for c in keep if c in set(without(df, new.names))]
     plan = df.select(*[quoted(c) for c in kept], *[x.alias(f"__in{i}") for i, x in enumerate(inputs)])
-    schema = StructType([*plan.schema.fields[: len(kept)], *new.fields])
+    schema = extended(plan.schema.fields[: len(kept)], outputs)
     n, width = len(kept), len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import quoted, stored, table, utf8, without
+from tideguard.llm.common import extended, quoted, stored, table, utf8, without
 
 #: Probes a splitter and round, and rows that one task ranks on average.
 PROBES, ROWS_PER_CHUNK = 32, 500_000
@@ -141,8 +141,7 @@ def shard_documents(
                 "__before", pa.array(starts[chunk] - starts[shard * inner] if len(starts) > 1 else starts[chunk], pa.int64())
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
-    dealt = keyed.mapInArrow(deal, f"{fields}, __chunk bigint, shard int, __before bigint")
+    dealt = keyed.mapInArrow(deal, extended(keyed.schema.fields, "__chunk bigint, shard int, __before bigint"))
     rank = F.expr(f"row_number() over (partition by __chunk order by {', '.join(KEYS)})")
     return dealt.withColumn("slot", F.col("__before") + rank - 1).select(
         *[quoted(c) for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
