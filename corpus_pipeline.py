@@ -6,34 +6,54 @@ documents; the last gives packed pieces. Labels are read from the folder; scores
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tideguard.llm import best_fit, line_crf, poisson_mix, simhash, toxicity
 from tideguard.llm.common import stored, table
+from tideguard.plans.cluster import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def shipped(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and whose words are mostly in content lines."""
     field = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     return line_crf.judge(docs, field).where("kept").select(docs.columns)
 
 
+@shipped
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not scored toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
 
 
+@shipped
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the least id."""
     return simhash.keep_one(docs)
 
 
+@shipped
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's rate, in a global shuffle."""
     return poisson_mix.mix_sources(docs).select(docs.columns)
 
 
+@shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and offset."""
     import public_tokenizers
