@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -11,7 +12,6 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -394,3 +394,63 @@ def test_pipeline_stages(spark):
             before = after
     packed = pipeline.run(spark, DATA)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def brute_mix(rows):
+    """Copies of (id, source, text) rows by a plain loop."""
+    size = Counter()
+    for _, source, text in rows:
+        size[source] += len(text.encode())
+    whole, weights = sum(size.values()), sum(n**0.5 for n in size.values())
+    for i, source, text in rows:
+        mean = size[source] ** 0.5 * whole / (weights * size[source])
+        u = (int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        term = total = math.exp(-mean)
+        k = 0
+        while total <= u:
+            k += 1
+            term *= mean / k
+            total += term
+        yield from [(i, text)] * k
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage by plain loops over the rows; only the two models are fitted by the operators."""
+    import corpus_pipeline as pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_text_operators import brute_components, brute_simhash
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    field = line_crf.fit(docs, labels)
+
+    def good(text):
+        n, _, _, _, repeats = brute_measures(text)
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        parts = [x.encode().split() for x in lines]
+        features = [line_crf.line_features(x.encode(), w, x in lines[:i]) for i, (x, w) in enumerate(zip(lines, parts))]
+        content = sum(len(w) for w, y in zip(parts, line_crf.viterbi(field, features)) if y)
+        return n >= 50 and 100 * repeats <= 50 * n and content >= 0.5 * n
+
+    rows = [r for r in docs.collect() if good(r.text)]
+    model = toxicity.fit(spark.createDataFrame(rows, docs.schema), labels)
+    terms = toxicity.Terms(model.index)
+    rows = [r for r in rows if toxicity.margin(model, *terms.vector(r.text)) < 0]
+    points = sorted({brute_simhash(r.text) for r in rows})
+    roots = dict(zip(points, brute_components(points, 3), strict=True))
+    first = {}
+    for r in rows:
+        k = roots[brute_simhash(r.text)]
+        first[k] = min(first.get(k, r.doc_id), r.doc_id)
+    rows = [r for r in rows if r.doc_id in set(first.values())]
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, text in brute_mix([(r.doc_id, r.source, r.text) for r in rows]):
+        ids = [*encoder.encode(text, add_special_tokens=False).ids, 0]
+        at, to, k = 0, len(ids) % 2048 or 2048, 0
+        while at < len(ids):
+            want[(i, k, at, to - at, zlib.crc32(np.array(ids[at:to], "<u4").tobytes()))] += 1
+            at, to, k = to, to + 2048, k + 1
+    got = pipeline.run(spark, DATA).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
