@@ -29,6 +29,7 @@ SHORT_RUN = 96
 LEAF, WORTH = 2_048, 0.8
 #: Rows that a task holds at once; a shard is never cut.
 HELD = 500_000
+INTERNAL = ["fp", "__id", "__row"]
 
 
 def fingerprint(value: bytes, words: int = 3) -> int:
@@ -264,9 +265,9 @@ def groups_of(light: DataFrame, bits: int, shard: int = SHARD) -> DataFrame:
 
 
 def marked_rows(docs: DataFrame, id_col: str, text: str, words: int, keep: list[str]) -> DataFrame:
-    """The columns keep, __id and fp, written to the shared folder, so fingerprints are computed once."""
-    marked = add_fingerprint(docs.withColumn("__id", quoted(id_col)), text=text, words=words, keep=[*keep, "__id"])
-    return stored(marked, "fingerprints")
+    """The columns keep, __id, fp and a row number, written to the shared folder, so all are settled and computed once."""
+    numbered = docs.withColumn("__id", quoted(id_col)).withColumn("__row", F.monotonically_increasing_id())
+    return stored(add_fingerprint(numbered, text=text, words=words, keep=[*keep, "__id", "__row"]), "fingerprints")
 
 
 def near_duplicates(
@@ -278,7 +279,7 @@ def near_duplicates(
     component; a null id never names a component unless all its ids are null. Short texts are one shingle. An empty
     table gives an empty one. Columns named as an output are replaced; texts are read whole, whatever their length.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, ["fp", "component_id", "__id"]))]
+    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, [*INTERNAL, "component_id"]))]
     marked = marked_rows(docs, id_col, text, words, keep)
     return marked.join(groups_of(marked.select("fp", "__id"), bits, shard), "fp").select(*[quoted(c) for c in keep], "fp", "component_id")
 
@@ -286,16 +287,16 @@ def near_duplicates(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
     """The rows of docs that name their component: one document of each group, with all of its columns.
 
-    Of rows that repeat an id one stays. A component without any id keeps one row a fingerprint. Groups are found on
-    ids and fingerprints alone; then texts move once, dealt by id, so a large group is spread.
+    Of rows that repeat an id one stays. A component without any id keeps one row a fingerprint. Columns named fp, __id or
+    __row are left out. Groups are found on
+    ids and fingerprints alone; then texts move once, dealt by row, so a large group is spread.
     """
-    kept = [c for c in docs.columns if c in set(without(docs, ["fp", "__id"]))]
+    kept = [c for c in docs.columns if c in set(without(docs, INTERNAL))]
     marked = marked_rows(docs, id_col, text, words, kept)
-    light = marked.select("fp", "__id")
+    light = marked.select("fp", "__id", "__row")
     named = light.join(groups_of(light, bits), "fp").where(F.col("__id").eqNullSafe(F.col("component_id")))
-    winners = named.select(F.col("fp").alias("f"), F.col("__id").alias("i")).distinct()
-    rows = marked.join(winners, (marked["fp"] == winners["f"]) & marked["__id"].eqNullSafe(winners["i"]), "left_semi")
-    return rows.dropDuplicates(["__id", "fp"]).select(*[quoted(c) for c in kept])
+    winners = named.groupBy("fp", "__id").agg(F.min("__row").alias("__row")).select("__row")
+    return marked.join(winners, "__row", "left_semi").select(*[quoted(c) for c in kept])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
