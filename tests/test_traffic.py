@@ -132,6 +132,23 @@ def test_longest_prefix(spark):
     assert "NestedLoop" not in prepare.cidr_match(df, rules)._jdf.queryExecution().toString()
 
 
+def test_longest_prefix_of_every_customer(spark):
+    from tideguard.plans import queries
+
+    data = "/root/testdata/sf0.01"
+    keys = sorted(r.c_custkey for r in spark.read.parquet(f"{data}/customer.parquet").collect())
+    rules = {}
+    for k in keys:
+        plen = 8 + 4 * (k % 3)
+        rules.setdefault((plen, (k * 2654435761 & 0xFFFFFFFF) >> 32 - plen), k)
+    want = []
+    for r in queries.events(spark, data).collect():
+        hits = [(rules[key], p) for p in (16, 12, 8) if (key := (p, r.src_ip >> 32 - p)) in rules]
+        want += [(r.record_id, r.src_ip, *h) for h in hits[:1]]
+    got = rows_of(queries.QUERIES["o7_cidr_match_all"](spark, data))
+    assert got == sorted(want, key=repr) and max(r[2] for r in got) > 40
+
+
 def test_pairs(spark):
     req = spark.createDataFrame([(1, "a", at(0), 10), (2, "a", at(30), 0), (3, "b", at(0), 5), (4, None, at(0), 5)], "record_id bigint, src string, ts timestamp_ntz, bytes bigint")
     resp = spark.createDataFrame([(11, "a", at(0), 1), (12, "a", at(60), 50), (13, "a", at(61), 7), (14, "b", at(61), 9)], "record_id bigint, src string, ts timestamp_ntz, bytes bigint")

@@ -119,6 +119,13 @@ def o6_match_unlisted(spark, sf_dir):
     return prepare.match_list(events(spark, sf_dir), building(spark, sf_dir), "src", "unlisted").select("record_id", "src")
 
 
+def cidr_rules(spark, sf_dir):
+    """Every customer as a rule of 8, 12 or 16 bits."""
+    plen = "cast(8 + 4 * (c_custkey % 3) as int)"
+    pfx = f"shiftright((c_custkey * 2654435761) & 4294967295, 32 - {plen})"
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as rule_id", f"{plen} as plen", f"{pfx} as pfx")
+
+
 @query(
     T
     + """, rules as (select c_custkey as rule_id, (8 + 4 * (c_custkey % 3))::int as plen, ((c_custkey * 2654435761) & 4294967295) >> (32 - (8 + 4 * (c_custkey % 3))::int) as pfx from customer where c_custkey <= 40),
@@ -126,10 +133,19 @@ def o6_match_unlisted(spark, sf_dir):
 select record_id, src_ip, rule_id, plen from hits where r = 1"""
 )
 def o7_cidr_match(spark, sf_dir):
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 40")
-    plen = "cast(8 + 4 * (c_custkey % 3) as int)"
-    rules = customers.selectExpr("c_custkey as rule_id", f"{plen} as plen", f"shiftright((c_custkey * 2654435761) & 4294967295, 32 - {plen}) as pfx")
-    return prepare.cidr_match(events(spark, sf_dir), rules).select("record_id", "src_ip", "rule_id", "plen")
+    return prepare.cidr_match(events(spark, sf_dir), cidr_rules(spark, sf_dir).where("rule_id <= 40")).select("record_id", "src_ip", "rule_id", "plen")
+
+
+@query(
+    T
+    + """, rules as (select plen, ((k * 2654435761) & 4294967295) >> (32 - plen) as pfx, min(k) as rule_id from (select c_custkey as k, (8 + 4 * (c_custkey % 3))::int as plen from customer) group by 1, 2),
+ hits as (select record_id, src_ip, rule_id, plen from traffic join rules on plen = 8 and src_ip >> 24 = pfx
+  union all select record_id, src_ip, rule_id, plen from traffic join rules on plen = 12 and src_ip >> 20 = pfx
+  union all select record_id, src_ip, rule_id, plen from traffic join rules on plen = 16 and src_ip >> 16 = pfx)
+select record_id, src_ip, rule_id, plen from (select *, row_number() over (partition by record_id order by plen desc) as r from hits) where r = 1"""
+)
+def o7_cidr_match_all(spark, sf_dir):
+    return prepare.cidr_match(events(spark, sf_dir), cidr_rules(spark, sf_dir)).select("record_id", "src_ip", "rule_id", "plen")
 
 
 @query(T + "select win, src, packets, round(bytes, 6) as bytes, round(packets / 86400.0::double, 9) as packet_rate from day")
