@@ -218,6 +218,20 @@ def test_main_text(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html class=nav><body class='has-sidebar menu'><main id=form><article class='post social'><p>a<p class='widget-history'>b</article></main>", "a\nb"),
+        ("<div id='page' class='no-comments'><p>a</div><div class='cookie-banner'>x</div><div class='big ads'>y</div><div id=ad_2>z</div>", "a"),
+        ("<article><p>a<svg viewBox='0 0 1 1'/>b<svg/><p>c<svg><text>x</text></svg>d</article>", "ab\ncd"),
+        ("<title>t<article><p>a<iframe src='x'><p>b<object data=x/>c<iframe><p>d</article>", "a\nbc\nd"),
+        ("<article><p>a<iframe src=http://x/>no</iframe>b</article><script>var x='<p>c</p>'", "ab"),
+    ],
+)
+def test_classes_and_raw_elements_keep_the_text(page, want):
+    assert text_of(page) == want
+
+
 def brute_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

@@ -22,6 +22,8 @@ RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 NOT_TEXT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
 ROOTS = {"article", "main"}
+NEVER = {"html", "body"} | ROOTS  # no class or id makes these boilerplate
+OPAQUE = {"script", "style"}  # never text, even if not closed
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BOILERPLATE = {
@@ -32,16 +34,20 @@ BOILERPLATE = {
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
+END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+SELF_CLOSED = re.compile(r"""(?:<[^\s/>]+|[\s"'])/>\Z""")
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-WORDS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[^\W\d_]+")
 
 
 def excluded(tag: str, attrs: str, in_root: bool) -> bool:
-    """Whether an element is boilerplate by its name or attributes. An article's own <header> is part of it."""
+    """Whether an element is boilerplate by its name or attributes. An article's own <header> is part of it.
+
+    A class or id counts if it is one of the words or made of them alone: cookie-banner does, has-sidebar does not.
+    """
     if tag in NOT_TEXT or tag == "header" and not in_root:
         return True
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
@@ -49,8 +55,8 @@ def excluded(tag: str, attrs: str, in_root: bool) -> bool:
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            words = set(WORDS.findall(value))
-            if words & BOILERPLATE and not (in_root and words & BOILERPLATE == {"header"}):
+            marks = {x for x in value.split() if x in BOILERPLATE or BOILERPLATE.issuperset(PARTS.findall(x) or [""])}
+            if marks and tag not in NEVER and not (in_root and marks == {"header"}):
                 return True
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -65,6 +71,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate from here on, under a root
     drop_p = False
     at = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
@@ -74,15 +81,25 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             kinds.append(0 if bad else 2 if stack and stack[-1][2] else 1)
         words.clear()
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         words.append(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:  # a comment, a raw element or a declaration
-            if m["raw"] and m["raw"].lower() == "title":
-                flush()
+        if not tag:  # a comment or a declaration
             continue
         closing = bool(m["close"] or m["close2"])
+        if tag in RAW and not closing:
+            if tag == "title":
+                flush()
+            if not SELF_CLOSED.search(m[0]):
+                end = None if tag in unclosed else END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in OPAQUE:
+                    at = len(page)
+                else:  # it ends at its own tag, as all of its kind from here on
+                    unclosed.add(tag)
+            continue
         if tag == "br":
             words.append(" ")
             continue
