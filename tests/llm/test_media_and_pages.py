@@ -232,6 +232,14 @@ def test_classes_and_raw_elements_keep_the_text(page, want):
     assert text_of(page) == want
 
 
+def test_a_teaser_is_not_the_main_text():
+    page = "<div>Site</div><div>{0} the long text of page {0}</div><div>and more of it</div><article>teaser</article>"
+    (lines, kinds), (others, _) = (html_text.lines_of(page.format(i)) for i in (1, 2))
+    own, other = ([hash(x) for x in y] for y in (lines, others))
+    assert html_text.main_text(lines, kinds, own, None)[0] == "Site\n1 the long text of page 1\nand more of it\nteaser"
+    assert html_text.main_text(lines, kinds, own, other) == ("1 the long text of page 1", 3)
+
+
 def brute_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

@@ -2,8 +2,9 @@
 
 Pages are ordered by (host, path); each is paired with the neighbour of the longer common path, their lines are aligned
 by a longest common subsequence, and lines that both have are deleted. Lines under <article> or <main> are exempt: two
-articles may well share a passage, and of two copies nothing would stay. So differencing decides pages without such a
-container, line by line, and what lies outside it elsewhere goes anyway.
+articles may well share a passage, and of two copies nothing would stay. Where these hold at least as much text as the
+lines of the page's own outside them, they are the text. On other pages (no container, or but a teaser in one) differencing
+decides every line.
 """
 
 from __future__ import annotations
@@ -163,8 +164,9 @@ def main_text(lines: list[str], kinds: list[int], own: list[int], other: list[in
         copy, shared = shared, set()
     else:
         copy = shared
-    rooted = 2 in kinds
-    kept = [x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if (k == 2 if rooted else k == 1 and i not in shared)]
+    inside = sum(len(x) for x, k in zip(lines, kinds, strict=True) if k == 2)
+    rooted = inside and inside >= sum(len(x) for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == 1 and i not in shared)
+    kept = [x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if (k == 2 if rooted else k and i not in shared)]
     return "\n".join(kept), len(copy)
 
 
