@@ -57,6 +57,19 @@ def test_trailing_rate_includes_both_ends(packets):
     assert got == {0: 1, 1: 2, 2: 2, 3: 3, 4: 1, 5: 1, 6: 1}  # 60 - 50 = 10 is in
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_trailing_rate_is_dealt_by_time(spark, kind):
+    rows = [(i, (i * 7919) % 5000 - 2500, "a" if i % 3 else "b") for i in range(300)] + [(300, None, "a"), (301, None, "a"), (302, 0, None)]
+    df = spark.createDataFrame(rows, "i int, s int, k string").selectExpr("i", "s", "k", f"cast(timestamp_seconds(s + 0.5) as {kind}) as ts")
+    want = {i: sum(k == l and (s is t is None or None not in (s, t) and t - 600 <= s <= t) for _, s, l in rows) for i, t, k in rows}
+    for bucket in (None, "1 minute", "7 minutes", "1 hour"):
+        got = rates.trailing_rate(df, "k", "10 minutes", bucket=bucket)
+        assert got.columns == [*df.columns, "trailing"]
+        assert sorted((r.i, r.trailing) for r in got.collect()) == sorted(want.items())
+    plan = got._jdf.queryExecution().toString()
+    assert "windowspecdefinition(k#" in plan and ", __bucket#" in plan.split("windowspecdefinition(k#", 1)[1][:40]
+
+
 def test_thresholds_and_top_keys(spark, packets):
     assert rows_of(rates.rate_threshold(packets, "src", "1 hour", max_packets=3).select("src")) == [("a",)]
     assert rates.rate_threshold(packets, "src", "1 hour").count() == 0
