@@ -121,6 +121,25 @@ def sharded(df, **options):
     return histogram_sort.shard_documents(df, **options).collect()
 
 
+def test_chunks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, '', repeat(concat('t', id), 200)) as text")
+    found = []
+    mapped = type(df).mapInArrow
+
+    def kept(self, *args):
+        found.append(mapped(self, *args))
+        return found[-1]
+
+    monkeypatch.setattr(type(df), "mapInArrow", kept)
+    rows = sharded(df, shards=2, rows_per_chunk=100)
+    monkeypatch.undo()
+    for s in (0, 1):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    sizes = [r["count"] for r in found[-1].groupBy("__chunk").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 150
+
+
+
 def check_shards(rows, docs, shards, slack):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in docs)
     assert all(r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards for r in rows)

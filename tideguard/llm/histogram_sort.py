@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tideguard.llm.common import extended, quoted, stored, table, utf8, without
 
-#: Probes a splitter and round, and rows that one task ranks on average.
+#: Probes a splitter and round, and about the most rows that one task ranks.
 PROBES, ROWS_PER_CHUNK = 32, 500_000
-#: A splitter may miss its target by this share of a shard; splits inside a shard by more, as they balance only tasks.
+#: A splitter may miss its target by this share of a shard; splits inside a shard, by rows, by more, as they balance only tasks.
 TOLERANCE, INNER_TOLERANCE = 0.001, 0.2
 KEYS = ["__k1", "__k2", "__k3"]
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
@@ -93,6 +93,29 @@ def place(cols: list[np.ndarray], keys: list[tuple]) -> np.ndarray:
     return at
 
 
+def chunks_of(keyed: DataFrame, total: int, rows: int, shards: int, tolerance: float, rows_per_chunk: int) -> tuple[list[tuple], list[int], list[int], list[int]]:
+    """The sorted keys that cut shards by bytes, and each shard by rows into chunks of about rows_per_chunk at most; for each
+    chunk the rows before it, its shard, and the rows before that."""
+    if not rows:
+        return [], [0], [0], [0]
+    each = total / shards
+    found = splitters(keyed, [each * i for i in range(1, shards)], [each * tolerance] * (shards - 1), total, rows)
+    bounds = [0, *[n for _, _, n in found], rows]
+    targets, tolerances = [], []
+    for lo, hi in zip(bounds, bounds[1:]):
+        parts = max(1, -(-(hi - lo) // rows_per_chunk))
+        targets += [lo + (hi - lo) * k / parts for k in range(1, parts)]
+        tolerances += [(hi - lo) / parts * INNER_TOLERANCE] * (parts - 1)
+    inner = splitters(keyed.withColumn("size", F.lit(1).cast("bigint")), targets, tolerances, rows, rows)
+    marked = sorted([(key, n, 1) for key, _, n in found] + [(key, n, 0) for key, _, n in inner])
+    before, shard_of, ahead = [0], [0], [0]
+    for _, n, new in marked:
+        before.append(n)
+        shard_of.append(shard_of[-1] + new)
+        ahead.append(n if new else ahead[-1])
+    return [key for key, _, _ in marked], before, shard_of, ahead
+
+
 def shard_documents(
     docs: DataFrame,
     *,
@@ -123,22 +146,15 @@ def shard_documents(
     )
     keyed = stored(keyed, "keys")
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    inner = max(1, -(-rows // (shards * rows_per_chunk)))
-    n = shards * inner
-    each = total / n
-    ends = [i for i in range(1, n)] if rows else []
-    found = splitters(keyed, [each * i for i in ends], [each * inner * tolerance if i % inner == 0 else each * INNER_TOLERANCE for i in ends], total, rows)
-    cuts = [k for k, _, _ in found]
-    before = [0, *[r for _, _, r in found]]  # rows before each chunk
+    cuts, before, shard_of, ahead = chunks_of(keyed, total, rows, shards, tolerance, rows_per_chunk)
 
     def deal(batches):
-        starts = np.array(before, np.int64)
+        starts, owner, first = (np.array(x, np.int64) for x in (before, shard_of, ahead))
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in KEYS]
             chunk = place(cols, cuts) if cuts else np.zeros(batch.num_rows, np.int64)
-            shard = chunk // inner
-            yield batch.append_column("__chunk", pa.array(chunk, pa.int64())).append_column("shard", pa.array(shard, pa.int32())).append_column(
-                "__before", pa.array(starts[chunk] - starts[shard * inner] if len(starts) > 1 else starts[chunk], pa.int64())
+            yield batch.append_column("__chunk", pa.array(chunk, pa.int64())).append_column("shard", pa.array(owner[chunk], pa.int32())).append_column(
+                "__before", pa.array(starts[chunk] - first[chunk], pa.int64())
             )
 
     dealt = keyed.mapInArrow(deal, extended(keyed.schema.fields, "__chunk bigint, shard int, __before bigint"))
