@@ -14,11 +14,13 @@ from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a local one if that is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. On a local master a new one if that is unset; a cluster must set it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         path = tempfile.mkdtemp(prefix="tideguard-", dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(path)
@@ -33,7 +35,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(spark: SparkSession, *paths: str | DataFrame) -> None:
+    """Remove folders, or what stored() wrote, once nothing reads them any more."""
+    for path in paths:
+        files, where = file_system(spark, path if isinstance(path, str) else path.stored_at)
+        files.delete(where, True)
+
+
+def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Give the files of a written folder another ending."""
+    files, where = file_system(spark, path)
+    for status in files.listStatus(where):
+        at = status.getPath()
+        if at.getName().endswith(old):
+            files.rename(at, where.suffix("/" + at.getName().removesuffix(old) + new))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,100 +1,149 @@
 """WARC archives with revisit resolution: equal payloads are stored once, later copies as revisit records.
 
-Archives are written and read by Spark's text source, so they may lie in any store that Spark reaches: a record is a
-row, the blank line that ends it is the line separator, and files are gzip, so each is read by one task in order. Only
-headers are shuffled by payload digest; payloads move once, to leave out the revisits.
+A record is a gzip member of its own, so any record can be read alone from its offset. Spark's text source writes the
+members and reads the files, so archives may lie in any store that Spark reaches. Only headers, stored after one read of
+the archive, are shuffled by payload digest; payloads move once, compressed, to leave out the revisits.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import new_path, quoted, table
+from tideguard.llm.common import discard, new_path, quoted, rename_files, stored, table, utf8
 
-#: Records in one archive file at most; a task reads a file as a stream.
-RECORDS_PER_FILE = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "record_id string, record_type string, page_id bigint, url string, date string, payload_digest string, "
     "refers_to_record string, refers_to bigint, payload_bytes bigint, payload binary"
 )
+#: A digest of at least one in so many records is hot. So there are no more hot ones than that, and these are broadcast.
+HOT_SHARE = 1_024
+#: The fastest level: archives are written once and mostly read.
+LEVEL = 1
+#: The last byte of a member's 32-bit length, which is 0 for all members under 16 MiB, is written as the line separator.
+LAST = "\0"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1, 32 characters: four groups of 40 bits, eight digits each."""
-    digest = F.sha1(data)
-    groups = [F.lpad(F.conv(F.substring(digest, 10 * i + 1, 10), 16, 32), 8, "0") for i in range(4)]
-    # conv's digits and RFC 4648's alphabet, in order
-    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+def digest_of(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def one_line(value: Column) -> Column:
-    """A header's value: line breaks percent-encoded, null as empty."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    return F.replace(F.replace(text, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+def new_id(archive: str, name: str) -> str:
+    """A record's id: unique in all archives, and the same if a lost task is run again."""
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{archive}:{name}'.encode()).digest(), version=4)}"
 
 
-def record(headers: dict[str, Column], block: Column) -> Column:
-    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in headers.items()]
-    length = F.concat(F.lit("Content-Length: "), F.octet_length(block))
-    return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines, length), F.lit("\r\n\r\n"), block)
+def one_line(value: object) -> str:
+    """A header's value: line breaks percent-encoded, null as empty."""
+    return "" if value is None else str(value).replace("\r", "%0D").replace("\n", "%0A")
 
 
-def response_block(payload: Column | None, n_bytes: Column) -> Column:
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n_bytes.cast("string"), F.lit("\r\n\r\n"))
-    return head if payload is None else F.concat(head, payload)
+def member(headers: dict[str, object], payload: bytes | None, said: int) -> bytes:
+    """A record as a gzip member, without its last byte (LAST). A revisit has no payload and says the length of it."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % said + (payload or b"")
+    lines = [f"{name}: {one_line(value)}" for name, value in {**headers, "Content-Length": len(block)}.items()]
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    head = "\r\n".join(["WARC/1.1", *lines, "", ""]).encode("utf-8", "replace")
+    data = pack.compress(head) + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
+    if data[-1]:  # a long record is followed by an empty member, which decompresses to nothing
+        data += zlib.compressobj(LEVEL, zlib.DEFLATED, 31).flush()
+    return data[:-1]
 
 
-def common_headers(kind: str, digest: Column) -> dict[str, Column]:
+def common_headers(kind: str, record_id: str, row: dict) -> dict[str, object]:
     return {
-        "WARC-Type": F.lit(kind),
-        "WARC-Record-ID": F.concat(F.lit("<"), F.col("record_id"), F.lit(">")),
-        "WARC-Date": one_line(F.col("date")),
-        "WARC-Target-URI": one_line(F.col("url")),
-        "WARC-Payload-Digest": F.concat(F.lit("sha1:"), digest),
-        "X-Page-ID": one_line(F.col("page_id")),
-        "Content-Type": F.lit("application/http; msgtype=response"),
+        "WARC-Type": kind,
+        "WARC-Record-ID": f"<{record_id}>",
+        "WARC-Date": row["date"],
+        "WARC-Target-URI": row["url"],
+        "WARC-Payload-Digest": f"sha1:{row['payload_digest']}",
+        "X-Page-ID": row["page_id"],
+        "Content-Type": "application/http; msgtype=response",
     }
 
 
-def responses(records: DataFrame) -> DataFrame:
-    """Rows of record_id, page_id, url, date and payload (string or binary) as response records."""
-    data = F.col("payload").cast("binary")
-    block = response_block(F.col("payload").cast("string"), F.length(data))
-    return records.select(record(common_headers("response", base32_sha1(data)), block).alias("value"))
+def response(record_id: str, row: dict) -> bytes:
+    return member(common_headers("response", record_id, row), row["payload"], len(row["payload"]))
 
 
-def revisits(records: DataFrame) -> DataFrame:
-    """Rows of resolve() as revisit records: headers only, with the length and digest of the payload left out."""
-    headers = common_headers("revisit", F.col("payload_digest")) | {
-        "WARC-Profile": F.lit(PROFILE),
-        "WARC-Refers-To": F.concat(F.lit("<"), F.col("original.record_id"), F.lit(">")),
-        "WARC-Refers-To-Target-URI": one_line(F.col("original.url")),
-        "WARC-Refers-To-Date": one_line(F.col("original.date")),
-        "X-Refers-To-Page-ID": one_line(F.col("original.page_id")),
+def revisit(archive: str, row: dict) -> bytes:
+    """A row of resolve() as a revisit record of an archive: headers only, with the length and digest of the payload left out."""
+    origin = row["original"]
+    headers = common_headers("revisit", new_id(archive, row["record_id"]), row) | {
+        "WARC-Profile": PROFILE,
+        "WARC-Refers-To": f"<{new_id(archive, origin['record_id'])}>",
+        "WARC-Refers-To-Target-URI": origin["url"],
+        "WARC-Refers-To-Date": origin["date"],
+        "X-Refers-To-Page-ID": origin["page_id"],
     }
-    return records.select(record(headers, response_block(None, F.col("payload_bytes"))).alias("value"))
+    return member(headers, None, row["payload_bytes"])
+
+
+def batches_of(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with their size in bytes as batches of bounded size."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if len(held) >= 2_000 or size > 16_000_000:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield from batch.slice(at, 500).to_pylist()
+
+
+def original_records(pages: DataFrame, archive: str) -> DataFrame:
+    """Rows of page_id, url, date and payload (binary) -> value, each a response record."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+
+        def rows():
+            for n, row in enumerate(rows_of(batches)):
+                row["payload_digest"] = digest_of(row["payload"])
+                value = response(new_id(archive, f"{task}:{n}"), row)
+                yield {"value": value}, len(value)
+
+        yield from batches_of(rows(), pa.schema([("value", pa.binary())]))
+
+    return pages.mapInArrow(run, "value binary")
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """One record a row to gzip WARC files under path; each record ends with a blank line, as the format asks."""
-    writer = records.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """The members in the column value to gzip WARC files under path, a file a task."""
+    spark = records.sparkSession
+    records.select(F.col("value").cast("string")).write.option("lineSep", LAST).text(path)
+    rename_files(spark, path, ".txt", ".warc.gz")
 
 
-def parsed(chunks: Iterator[bytes]) -> Iterator[dict]:
+def parsed(chunks: Iterator[bytes], verify: bool = True) -> Iterator[dict]:
     """The records of a stream of bytes, by their Content-Length, so payloads may hold anything."""
     held = bytearray()
     for chunk in chunks:
         held += chunk
         at = 0
-        while (end := held.find(b"\r\n\r\n", at)) >= 0:
+        while True:
+            while at < len(held) and held[at] in b"\r\n":  # blank lines between records
+                at += 1
+            end = held.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
             fields = {}
             for line in bytes(held[at:end]).decode("utf-8", "replace").split("\r\n")[1:]:
                 name, _, value = line.partition(": ")
@@ -103,11 +152,11 @@ def parsed(chunks: Iterator[bytes]) -> Iterator[dict]:
             last = first + int(fields["content-length"])
             if len(held) < last + 4:
                 break
-            block, at = bytes(held[first:last]), last + 4
-            http, _, payload = block.partition(b"\r\n\r\n")
-            revisit = fields["warc-type"] == "revisit"
+            http, _, payload = bytes(held[first:last]).partition(b"\r\n\r\n")
+            at = last + 4
+            again = fields["warc-type"] == "revisit"
             said = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
-            own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
             page, origin = fields.get("x-page-id", ""), fields.get("x-refers-to-page-id", "")
             yield {
                 "record_id": fields["warc-record-id"].strip("<>"),
@@ -115,42 +164,61 @@ def parsed(chunks: Iterator[bytes]) -> Iterator[dict]:
                 "page_id": int(page) if page else None,
                 "url": fields.get("warc-target-uri"),
                 "date": fields.get("warc-date"),
-                "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else own,
+                "payload_digest": digest if again or digest and not verify else digest_of(payload),
                 "refers_to_record": fields.get("warc-refers-to", "").strip("<>") or None,
                 "refers_to": int(origin) if origin else None,
-                "payload_bytes": said if revisit else len(payload),
-                "payload": None if revisit else payload,
+                "payload_bytes": said if again else len(payload),
+                "payload": None if again else payload,
             }
         del held[:at]
     if held:
         raise ValueError(f"an archive ends inside a record: {bytes(held[:80])!r}")
 
 
-def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
-    """The records under path. Digests and lengths of responses are computed from the payload bytes as read."""
+def stream(spark: SparkSession, path: str) -> DataFrame:
+    """The bytes of the archives under path, cut at blank lines, which chunks() puts back."""
+    return spark.read.option("lineSep", "\r\n\r\n").text(path).select(F.col("value").cast("binary"))
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        rows, size = [], 0
-        for row in parsed(b"".join(line.as_py() + b"\n" for line in b.column(0)) for b in batches):
-            size += len(row["payload"] or b"")
-            if not payloads:
-                del row["payload"]
-            rows.append(row)
-            if len(rows) >= 2_000 or size > 16_000_000:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
-                rows, size = [], 0
-        yield pa.RecordBatch.from_pylist(rows, arrow)
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield b"\r\n\r\n".join([*batch.column(0).slice(at, 500).to_pylist(), b""])
+
+
+def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
+    """The records under path. Digests and lengths of responses are computed from the payload bytes as read."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(RECORD if payloads else RECORD.rpartition(",")[0])
     arrow = to_arrow_schema(schema)
-    # Other than "\n" nothing ends a line, so joining lines with it restores the bytes.
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(F.col("value").cast("binary")).mapInArrow(run, schema)
+
+    def run(batches):
+        def rows():
+            for row in parsed(chunks(batches)):
+                size = len(row["payload"] or b"") if payloads else 200
+                if not payloads:
+                    del row["payload"]
+                yield row, size
+
+        yield from batches_of(rows(), arrow)
+
+    return stream(spark, path).mapInArrow(run, schema)
+
+
+def rewritten(spark: SparkSession, path: str, archive: str) -> DataFrame:
+    """record_id and value: every response under path as a record of another archive, with headers of its own."""
+
+    def run(batches):
+        def rows():
+            for row in parsed(chunks(batches), verify=False):
+                value = response(new_id(archive, row["record_id"]), row)
+                yield {"record_id": row["record_id"], "value": value}, len(value)
+
+        yield from batches_of(rows(), pa.schema([("record_id", pa.string()), ("value", pa.binary())]))
+
+    return stream(spark, path).mapInArrow(run, "record_id string, value binary")
 
 
 def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
@@ -158,41 +226,56 @@ def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
 
     Of the records with one digest and length, at least least bytes long, the one with the largest page_id (then
     record_id) stays. One aggregate finds it, with partial sums before the shuffle; digests that occur once are left
-    out of the join, and a digest that many records share is split by adaptive execution.
+    out. A digest that many records share isn't shuffled for the join: hot ones, HOT_SHARE at most, are broadcast.
     """
     heads = headers.where(F.col("payload_bytes") >= least)
     key = ["payload_digest", "payload_bytes"]
     last = F.max(F.struct("page_id", "record_id", "url", "date"))
-    originals = heads.groupBy(*key).agg(F.count("*").alias("n"), last.alias("original")).where("n > 1").drop("n")
-    return heads.join(originals, key).where("record_id <> original.record_id")
+    originals = stored(heads.groupBy(*key).agg(F.count("*").alias("n"), last.alias("original")).where("n > 1"), "originals")
+    many = F.col("n") * HOT_SHARE >= heads.count()
+    hot = F.broadcast(originals.where(many).drop("n"))
+    found = heads.join(hot, key).unionByName(heads.join(hot.drop("original"), key, "left_anti").join(originals.where(~many).drop("n"), key))
+    return found.where("record_id <> original.record_id")
+
+
+def revisits(repeats: DataFrame, archive: str) -> DataFrame:
+    def run(batches):
+        def rows():
+            for row in rows_of(batches):
+                value = revisit(archive, row)
+                yield {"value": value}, len(value)
+
+        yield from batches_of(rows(), pa.schema([("value", pa.binary())]))
+
+    return repeats.mapInArrow(run, "value binary")
 
 
 def archive_pages(
-    pages: DataFrame, *, least: int = 0, id_col: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z"
+    pages: DataFrame, *, least: int = 0, id_col: str = "page_id", url: str = "url", payload: str = "html", date: str | None = None
 ) -> tuple[str, str]:
     """Write pages as response records, read them back, resolve revisits, and write deduplicated archives.
 
-    Returns the two folders. A null payload is empty; null ids and urls are empty headers, and such pages still
-    refer and are referred to by record; repeated rows are records of their own; an empty table gives
-    archives without records; other columns are ignored.
+    Returns the two folders. Each record of either has an id of its own; a revisit names its original by id, URI and date.
+    date is the time of capture of all pages (by default now, in UTC), which the second archive keeps. A null payload is
+    empty; null ids and urls are empty headers, and such pages still refer and are referred to by record; repeated rows
+    are records of their own; payloads of any length and content are kept; an empty table gives archives without
+    records; other columns are ignored.
     """
     spark = pages.sparkSession
-    rows = pages.select(
-        quoted(id_col).cast("bigint").alias("page_id"), quoted(url).alias("url"), F.coalesce(quoted(payload), F.lit("")).alias("payload"), F.lit(date).alias("date")
-    )
-    # written at once and read back ever after, so the row number is settled
-    rows = rows.withColumn("record_id", F.concat_ws(":", F.lit("urn:x-page"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.monotonically_increasing_id()))
+    when = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = pages.select(quoted(id_col).cast("bigint").alias("page_id"), quoted(url).cast("string").alias("url"), F.lit(when).alias("date"), utf8(payload).alias("payload"))
     raw, clean = new_path(spark, "warc-raw"), new_path(spark, "warc")
-    write_archives(responses(rows), raw)
-    repeats = resolve(read_archives(spark, raw, payloads=False), least)
-    whole = read_archives(spark, raw)
-    kept = whole.join(repeats.select("record_id"), "record_id", "left_anti")
-    write_archives(responses(kept).unionByName(revisits(repeats)), clean)
+    write_archives(original_records(rows, raw), raw)
+    headers = stored(read_archives(spark, raw, payloads=False), "headers")
+    repeats = stored(resolve(headers, least), "revisits")
+    kept = rewritten(spark, raw, clean).join(repeats.select("record_id"), "record_id", "left_anti").select("value")
+    write_archives(kept.unionByName(revisits(repeats, clean)), clean)
     return raw, clean
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    _, clean = archive_pages(table(spark, sf_dir, "pages"))
+    raw, clean = archive_pages(table(spark, sf_dir, "pages"))
+    discard(spark, raw)
     return read_archives(spark, clean, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
