@@ -318,3 +318,56 @@ def test_mixing_odd_rows(odd, empty):
     assert got.columns == [*odd.columns, "rate", "copies", "copy", "shuffle_key"]
     assert got.where("doc_id is null").count() >= 0
     assert poisson_mix.mix_sources(empty).count() == 0
+
+
+def test_vantage_tree_prunes_and_keeps_pairs(spark):
+    rng = random.Random(10)
+    points = sorted({rng.getrandbits(64) for _ in range(6000)} | set(planted(rng)))
+    fps = spark.createDataFrame([(x,) for x in np.array(points, np.uint64).view(np.int64).tolist()], "fp bigint")
+    tree, leaves = simhash.vantage_tree(fps, 3)
+    assert isinstance(tree, tuple) and leaves >= 4
+    array, pruned, homes = np.array(points, np.uint64), [], defaultdict(set)
+    for at, leaf in simhash.descend(tree, array, np.arange(len(array)), 3, pruned):
+        for i in at.tolist():
+            homes[i].add(leaf)
+    assert len(homes) == len(points) and sum(map(len, homes.values())) < leaves * len(points) / 2 and sum(pruned) > 0
+    for i in range(len(points)):
+        for j in np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= 3) + i + 1:
+            assert homes[i] & homes[int(j)]  # a pair meets in some leaf
+    edges = simhash.links(fps, 3).collect()
+    where = {x: i for i, x in enumerate(array.view(np.int64).tolist())}
+    roots = simhash.joined(len(points), np.array([where[r.a] for r in edges]), np.array([where[r.b] for r in edges]))
+    assert roots.tolist() == brute_components_fast(array, 3)
+
+
+def brute_components_fast(array, bits):
+    a, b = [], []
+    for i in range(len(array)):
+        hit = np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= bits) + i + 1
+        a += [i] * len(hit)
+        b += hit.tolist()
+    roots = list(range(len(array)))
+    for _ in range(len(array)):
+        before = list(roots)
+        for i, j in zip(a, b):
+            roots[i] = roots[j] = min(roots[i], roots[j])
+        if roots == before:
+            return roots
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, "x", 5), (2, "a b c d", 8, "y", 6), (3, "quite another text", 9, None, None)], "doc_id bigint, text string, fp int, __id string, c0 int").withColumn("__row", F.lit(0))
+    rows = sorted(map(tuple, simhash.keep_one(docs).collect()))
+    assert rows == [(1, "a b c d", 7, "x", 5, 0), (3, "quite another text", 9, None, None, 0)]
+    got = simhash.near_duplicates(docs, keep=["__id", "c0"])
+    assert got.columns == ["__id", "c0", "fp", "component_id"] and Counter(r.component_id for r in got.collect()) == {1: 2, 3: 1}
+
+
+def test_hot_keys_of_a_join_are_not_shuffled(spark):
+    from tideguard.llm.common import spread_join
+
+    rows = spark.createDataFrame([(i, 5 if i % 2 else 10_000 + i) for i in range(4000)], "i int, k int")
+    keyed = rows.groupBy("k").agg(F.max("i").alias("m"))
+    got = spread_join(rows, keyed, "k")
+    assert Counter((r.i, r.k, r.m) for r in got.collect()) == Counter((r.i, r.k, r.m) for r in rows.join(keyed, "k").collect())
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()

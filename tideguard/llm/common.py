@@ -62,6 +62,22 @@ def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
             files.rename(at, where.suffix("/" + at.getName().removesuffix(old) + new))
 
 
+#: A key of at least one in so many rows is hot in a join, so there are no more hot keys than that.
+HOT_SHARE = 1_024
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """rows joined with keyed, which has one row a key. The rows of hot keys stay where they are: the at most HOT_SHARE rows
+    of keyed that they need are broadcast. rows should be stored, as they're read several times."""
+    n = rows.count()
+    found = rows.groupBy(key).count().where(F.col("count") * HOT_SHARE >= n).select(key).collect()
+    hot = [r[0] for r in found if r[0] is not None]
+    if not hot:
+        return rows.join(keyed, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key).unionByName(rows.where(~is_hot).join(keyed, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

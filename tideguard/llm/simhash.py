@@ -1,12 +1,12 @@
-"""SimHash near-duplicates: fingerprints are sharded by vantage points, and shards are searched for exact pairs.
-
-Fingerprints of unrelated texts lie 32 +- 4 bits apart, so a ball of 3 bits meets both sides of almost any split by
-distance to one vantage point. The first split is therefore made where triangle bounds do prune: fingerprints that
-differ in at most b bits agree in one of b + 1 blocks of bits, so in that block the search radius is 0 and the
-distance from any vantage value decides the shard alone. Shards that stay too large are split further by vantage points
-on all 64 bits, and those in the overlap of a boundary go to both sides; in each shard the same split repeats
-until what is left is compared directly. No link is lost, and no group's pairs are emitted: a shard gives a spanning star
-for each of its components.
+"""SimHash near-duplicates: fingerprints are sharded by a vantage-point tree, and shards are searched for exact pairs.
+
+A node of the tree is a vantage point and a distance t. By the triangle inequality, a fingerprint at distance d from the
+vantage point has all its neighbours within b bits at distances d - b to d + b. So the branch of larger distances is pruned
+for those with d <= t, that of smaller ones for those with d > t + b, and only the fingerprints between go to both: each
+linked pair meets whole in some leaf. Leaves are shards, dealt over tasks. Within a shard blocks of bits speed up the
+search: fingerprints that differ in at most b bits agree in one of b + 1 blocks, and each run of one block value is searched
+by vantage points again where it is long, else compared directly. No link is lost, and no group's pairs are emitted: a
+shard gives a spanning star for each of its components.
 """
 
 from __future__ import annotations
@@ -19,17 +19,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import arrow_map, quoted, stored, table, utf8, without
+from tideguard.llm.common import arrow_map, discard, quoted, spread_join, stored, table, utf8, without
 
-#: Fingerprints of one block value beyond which the shard is split by vantage points, and those sampled for that.
-SHARD, TOP_SAMPLE = 200_000, 4_096
+#: Fingerprints of a shard at most (as the sample judges it). There are as many shards as parallel tasks if these are fewer
+#: but not below LEAST_SHARD.
+SHARD, LEAST_SHARD = 8_000_000, 512
+#: Fingerprints drawn to fit the tree: one in SAMPLE_ONE_IN, and SAMPLE at most on average.
+SAMPLE, SAMPLE_ONE_IN = 262_144, 4
+#: A node is fitted on at least so many of the sample.
+LEAST_SAMPLE = 64
 #: Within a task: runs up to this length are compared pair by pair, vectorised over all runs.
 SHORT_RUN = 96
-#: Below this many a shard is searched directly; a split that leaves more than this share on one side is not made.
+#: Below this many a run is searched directly; a split that leaves more than this share on one side is not made.
 LEAF, WORTH = 2_048, 0.8
 #: Rows that a task holds at once; a shard is never cut.
 HELD = 500_000
-INTERNAL = ["fp", "__id", "__row"]
 
 
 def fingerprint(value: bytes, words: int = 3) -> int:
@@ -68,16 +72,20 @@ def near(a: np.ndarray, b, bits: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= bits
 
 
-def split(points: np.ndarray, bits: int, candidates: int = 4):
+def distances(points: np.ndarray, vantage) -> np.ndarray:
+    return np.bitwise_count(points ^ vantage)
+
+
+def split(points: np.ndarray, bits: int, candidates: int = 8):
     """The vantage point and boundary t that part points best: left is distance <= t + bits, right is > t, so that
     each pair within bits lies whole in one of them. None if no candidate leaves at most WORTH on both sides."""
     best = None
     for v in points[:: max(1, len(points) // candidates)][:candidates]:
-        d = np.sort(np.bitwise_count(points ^ v).astype(np.int64))
-        for t in {int(d[len(d) * q // 100]) - bits // 2 - 1 for q in (35, 50, 65)}:
-            left, right = np.searchsorted(d, t + bits, "right"), len(d) - np.searchsorted(d, t, "right")
-            if max(left, right) <= WORTH * len(d) and (best is None or max(left, right) < best[0]):
-                best = (max(left, right), v, t)
+        within = np.bincount(distances(points, v), minlength=65 + bits).cumsum()
+        most = np.maximum(within[bits : bits + 65], len(points) - within[:65])
+        t = int(most.argmin())
+        if most[t] <= WORTH * len(points) and (best is None or most[t] < best[0]):
+            best = (most[t], v, t)
     return best[1:] if best else None
 
 
@@ -106,7 +114,7 @@ def components(points: np.ndarray, bits: int) -> np.ndarray:
         if cut is None:
             direct(at)
         else:
-            d = np.bitwise_count(points[at] ^ cut[0]).astype(np.int64)
+            d = distances(points[at], cut[0])
             todo += [at[d <= cut[1] + bits], at[d > cut[1]]]
     return joined(len(points), np.concatenate(a), np.concatenate(b)) if a else roots
 
@@ -124,94 +132,116 @@ def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return roots
 
 
-def stars(shard: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by (shard, fp) -> links from each component's first fingerprint to its others, by shard."""
-    new = np.r_[True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])]
-    shard, fp = shard[new], fp[new]
-    points = fp.view(np.uint64)
-    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-    length = np.diff(np.r_[first, len(shard)])
+def blocks_of(bits: int) -> list[tuple[int, int]]:
+    """Shift and mask of bits + 1 blocks of the 64 bits."""
+    edges = [64 * i // (bits + 1) for i in range(bits + 2)]
+    return [(lo, (1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:])]
+
+
+def shard_stars(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's distinct fingerprints -> links from each component's first fingerprint to its others."""
     a, b = [], []
-    left = np.repeat(first + length, length) - np.arange(len(shard))  # rows from here to the end of the run
-    short = np.flatnonzero(np.repeat(length, length) <= SHORT_RUN)
-    for s in range(1, SHORT_RUN):
-        short = short[left[short] > s]
-        if not len(short):
-            break
-        hit = short[near(points[short], points[short + s], bits)]
-        a.append(hit), b.append(hit + s)
-    for at, n in zip(first[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
-        roots = components(points[at : at + n], bits)
-        member = np.flatnonzero(roots != np.arange(n))
-        a.append(at + roots[member]), b.append(at + member)
-    if not a:
-        return fp[:0], fp[:0]
-    roots = joined(len(fp), np.concatenate(a), np.concatenate(b))
+    for shift, mask in blocks_of(bits):
+        value = fp.view(np.uint64) >> np.uint64(shift) & np.uint64(mask)
+        order = np.argsort(value, kind="stable")
+        value, points = value[order], fp.view(np.uint64)[order]
+        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        length = np.diff(np.r_[first, len(value)])
+        left = np.repeat(first + length, length) - np.arange(len(value))  # rows from here to the end of the run
+        short = np.flatnonzero(np.repeat(length, length) <= SHORT_RUN)
+        for s in range(1, SHORT_RUN):
+            short = short[left[short] > s]
+            if not len(short):
+                break
+            hit = short[near(points[short], points[short + s], bits)]
+            a.append(order[hit]), b.append(order[hit + s])
+        for at, n in zip(first[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
+            roots = components(points[at : at + n], bits)
+            member = np.flatnonzero(roots != np.arange(n))
+            a.append(order[at + roots[member]]), b.append(order[at + member])
+    roots = joined(len(fp), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(fp))
     member = np.flatnonzero(roots != np.arange(len(fp)))
     return fp[roots[member]], fp[member]
 
 
-def top_tree(sample: np.ndarray, count: int, bits: int, most: int, leaves: list):
-    """Nested (vantage, t, left, right) over a shard of count points, or a leaf's number; sizes are judged by the sample."""
-    cut = split(sample, bits) if count > most and len(sample) >= 64 else None
+def stars(shard: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by shard, without repeats -> the stars of all shards."""
+    ends = np.flatnonzero(np.r_[shard[1:] != shard[:-1], True]) + 1
+    got = [shard_stars(fp[lo:hi], bits) for lo, hi in zip(np.r_[0, ends[:-1]], ends) if hi - lo > 1]
+    return tuple(np.concatenate([fp[:0], *x]) for x in zip(*got)) if got else (fp[:0], fp[:0])
+
+
+def fit_tree(sample: np.ndarray, bits: int, count: float, most: float, leaves: list):
+    """Nested (vantage, t, left, right) over count points, or a leaf's number; sizes are judged by the sample."""
+    cut = split(sample, bits) if count > most and len(sample) >= LEAST_SAMPLE else None
     if cut is None:
-        leaves.append(len(leaves))
-        return leaves[-1]
-    d = np.bitwise_count(sample ^ cut[0]).astype(np.int64)
+        leaves.append(count)
+        return len(leaves) - 1
+    d = distances(sample, cut[0])
     left, right = sample[d <= cut[1] + bits], sample[d > cut[1]]
     size = len(sample)
-    return (cut[0], cut[1], top_tree(left, count * len(left) // size, bits, most, leaves), top_tree(right, count * len(right) // size, bits, most, leaves))
+    return (*cut, fit_tree(left, bits, count * len(left) / size, most, leaves), fit_tree(right, bits, count * len(right) / size, most, leaves))
 
 
-def descend(tree, points: np.ndarray, at: np.ndarray, bits: int):
-    """(positions, leaf) for every leaf that holds or may be asked for some of points[at]."""
+def descend(tree, points: np.ndarray, at: np.ndarray, bits: int, pruned: list):
+    """(positions, leaf) for every leaf that holds or may be asked for some of points[at]. Branches that the triangle bound
+    rules out, of the two at each node that a point reaches, are added to pruned."""
     if not isinstance(tree, tuple):
         yield at, tree
         return
-    d = np.bitwise_count(points[at] ^ tree[0]).astype(np.int64)
-    yield from descend(tree[2], points, at[d <= tree[1] + bits], bits)
-    yield from descend(tree[3], points, at[d > tree[1]], bits)
+    vantage, t, low, high = tree
+    d = distances(points[at], vantage)
+    left, right = at[d <= t + bits], at[d > t]
+    pruned.append(2 * len(at) - len(left) - len(right))
+    if len(left):
+        yield from descend(low, points, left, bits, pruned)
+    if len(right):
+        yield from descend(high, points, right, bits, pruned)
+
+
+def vantage_tree(fps: DataFrame, bits: int, shard: int = SHARD):
+    """The tree over distinct fingerprints fp and its number of leaves, fitted on a bounded sample drawn by a hash. All
+    fingerprints are routed by it. It has a shard a parallel task, or more where these would exceed shard fingerprints."""
+    n = fps.count()
+    share = min(1 / SAMPLE_ONE_IN, SAMPLE / max(n, 1))
+    drawn = fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()
+    sample = np.sort(drawn["fp"].to_numpy(np.int64).view(np.uint64))
+    sample = np.random.default_rng(len(sample)).permutation(sample)  # candidates come from all over, whatever the order
+    leaves: list[float] = []
+    tree = fit_tree(sample, bits, n, min(shard, max(n / fps.sparkSession.sparkContext.defaultParallelism, LEAST_SHARD)), leaves)
+    return tree, len(leaves)
+
+
+def routed(fps: DataFrame, tree, bits: int) -> DataFrame:
+    """fp -> shard, fp for every leaf that a fingerprint's ball of radius bits meets."""
+    sent = fps.sparkSession.sparkContext.broadcast(tree)  # a few numbers a leaf
+
+    def route(batches):
+        own = sent.value
+
+        def dealt(held):
+            fp = np.concatenate(held)
+            for at, leaf in descend(own, fp.view(np.uint64), np.arange(len(fp)), bits, []):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int64)), pa.array(fp[at])], names=["shard", "fp"])
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            rows += batch.num_rows
+            if rows >= HELD:
+                yield from dealt(held)
+                held, rows = [], 0
+        if rows:
+            yield from dealt(held)
+
+    return fps.select("fp").mapInArrow(route, "shard bigint, fp bigint")
 
 
 def links(fps: DataFrame, bits: int = 3, shard: int = SHARD) -> DataFrame:
     """Distinct fingerprints fp -> links a, b that join just those which chains of links of at most bits join."""
     if bits < 1:  # distinct fingerprints differ
         return fps.where("false").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    blocks = bits + 1
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = F.array(
-        *[F.shiftleft(F.lit(i).cast("bigint"), 57) + F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    )
-    keyed = fps.select("fp", F.explode(keys).alias("key"))
-    # At most blocks * 2^(64 / blocks) keys have a count, and of those only the hot ones come to the driver.
-    hot = {r.key: r.n for r in keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard).collect()}
-    plain = keyed
-    shards = []
-    if hot:
-        listed = fps.sparkSession.createDataFrame([(k,) for k in hot], "key bigint")
-        plain = keyed.join(F.broadcast(listed), "key", "left_anti")
-        crowded = keyed.join(F.broadcast(listed), "key")
-        want = F.create_map(*[F.lit(x) for k, n in hot.items() for x in (k, TOP_SAMPLE / n)])
-        drawn = crowded.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < want[F.col("key")] * (1 << 30)).collect()
-        trees = {}
-        for k, n in hot.items():
-            sample = np.array([r.fp for r in drawn if r.key == k], np.int64).view(np.uint64)
-            trees[k] = top_tree(sample, n, bits, shard, [])
-
-        def route(batches):
-            for batch in batches:
-                key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
-                for k in np.unique(key):
-                    own = np.flatnonzero(key == k)
-                    for at, leaf in descend(trees[int(k)], fp.view(np.uint64), own, bits):
-                        rows = [pa.array(np.full(len(at), k)), pa.array(np.full(len(at), leaf, np.int64)), pa.array(fp[at])]
-                        yield pa.RecordBatch.from_arrays(rows, names=["key", "leaf", "fp"])
-
-        shards = [crowded.select("key", "fp").mapInArrow(route, "key bigint, leaf bigint, fp bigint")]
-    dealt = plain.select("key", F.lit(0).cast("bigint").alias("leaf"), "fp")
-    for more in shards:
-        dealt = dealt.unionByName(more)
-    dealt = dealt.select(F.xxhash64("key", "leaf").alias("shard"), "fp")
+    tree, leaves = vantage_tree(fps, bits, shard)
 
     def search(batches):
         held: list[pa.RecordBatch] = []
@@ -233,41 +263,57 @@ def links(fps: DataFrame, bits: int = 3, shard: int = SHARD) -> DataFrame:
         a, b = stars(got.column("shard").to_numpy(), got.column("fp").to_numpy(), bits)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(search, "a bigint, b bigint")
+    tasks = min(leaves, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return routed(fps, tree, bits).repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(search, "a bigint, b bigint")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """Links a, b -> node, root (the least node of its component), by label passing with pointer jumps.
 
-    Each round is written to the shared folder; the rounds grow with the logarithm of the longest chain.
+    Each round is written to the shared folder, and the one before is removed; the rounds grow with the logarithm of the
+    longest chain. Nodes with many links, and roots of many nodes, are broadcast (spread_join).
     """
+    spark = edges.sparkSession
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = stored(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
     roots = stored(both.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root")), "roots")
     while True:
-        seen = both.join(roots.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("seen"))
-        passed = roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
+        seen = spread_join(both, roots.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("seen"))
+        passed = stored(roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root")), "passed")
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = stored(passed.join(up, "root").select("node", "old", F.least("root", "above").alias("root")), "roots")
+        jumped = stored(spread_join(passed, up, "root").select("node", "old", F.least("root", "above").alias("root")), "roots")
+        discard(spark, roots, passed)
         roots = jumped.select("node", "root")
+        roots.stored_at = jumped.stored_at
         if jumped.where("root < old").isEmpty():
+            discard(spark, both)
             return roots
 
 
 def groups_of(light: DataFrame, bits: int, shard: int = SHARD) -> DataFrame:
-    """Rows of fp and __id -> one row a fingerprint with its component_id."""
+    """Rows of fp and __id -> one row a fingerprint with its component_id, stored."""
+    spark = light.sparkSession
     fps = stored(light.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
-    roots = connected(stored(links(fps.select("fp"), bits, shard), "stars"))
-    member = roots.join(fps, roots.node == fps.fp).select("fp", "root", "least")
+    edges = stored(links(fps.select("fp"), bits, shard), "stars")
+    roots = connected(edges)
+    member = stored(roots.join(fps, roots.node == fps.fp).select("fp", "root", "least"), "members")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = member.join(least, "root").select("fp", "component_id")
-    return fps.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    grouped = spread_join(member, least, "root").select("fp", "component_id")
+    found = stored(fps.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "groups")
+    discard(spark, fps, edges, roots, member)
+    return found
 
 
 def marked_rows(docs: DataFrame, id_col: str, text: str, words: int, keep: list[str]) -> DataFrame:
-    """The columns keep, __id, fp and a row number, written to the shared folder, so all are settled and computed once."""
-    numbered = docs.withColumn("__id", quoted(id_col)).withColumn("__row", F.monotonically_increasing_id())
-    return stored(add_fingerprint(numbered, text=text, words=words, keep=[*keep, "__id", "__row"]), "fingerprints")
+    """The columns keep as c0, c1, ... (so no name can clash), __id, fp and a row number, written to the shared folder, so all
+    are settled and computed once."""
+    plain = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)], quoted(id_col).alias("__id"), quoted(text).alias("__text"))
+    numbered = plain.withColumn("__row", F.monotonically_increasing_id())
+    return stored(add_fingerprint(numbered, text="__text", words=words, keep=[c for c in numbered.columns if c != "__text"]), "fingerprints")
+
+
+def named_back(marked: DataFrame, keep: list[str], *more: str) -> DataFrame:
+    return marked.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *more)
 
 
 def near_duplicates(
@@ -279,24 +325,23 @@ def near_duplicates(
     component; a null id never names a component unless all its ids are null. Short texts are one shingle. An empty
     table gives an empty one. Columns named as an output are replaced; texts are read whole, whatever their length.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, [*INTERNAL, "component_id"]))]
+    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, ["fp", "component_id"]))]
     marked = marked_rows(docs, id_col, text, words, keep)
-    return marked.join(groups_of(marked.select("fp", "__id"), bits, shard), "fp").select(*[quoted(c) for c in keep], "fp", "component_id")
+    return named_back(spread_join(marked, groups_of(marked.select("fp", "__id"), bits, shard), "fp"), keep, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of docs that name their component: one document of each group, with all of its columns.
+    """The rows of docs that name their component: one document of each group, with all of its columns, whatever their names.
 
-    Of rows that repeat an id one stays. A component without any id keeps one row a fingerprint. Columns named fp, __id or
-    __row are left out. Groups are found on
-    ids and fingerprints alone; then texts move once, dealt by row, so a large group is spread.
+    Of rows that repeat an id one stays. A component without any id keeps one row a fingerprint. Groups are found on
+    ids and fingerprints alone; then texts move once, dealt by row, so a large group is spread. An empty table gives an
+    empty one.
     """
-    kept = [c for c in docs.columns if c in set(without(docs, INTERNAL))]
-    marked = marked_rows(docs, id_col, text, words, kept)
+    marked = marked_rows(docs, id_col, text, words, docs.columns)
     light = marked.select("fp", "__id", "__row")
-    named = light.join(groups_of(light, bits), "fp").where(F.col("__id").eqNullSafe(F.col("component_id")))
+    named = spread_join(light, groups_of(light, bits), "fp").where(F.col("__id").eqNullSafe(F.col("component_id")))
     winners = named.groupBy("fp", "__id").agg(F.min("__row").alias("__row")).select("__row")
-    return marked.join(winners, "__row", "left_semi").select(*[quoted(c) for c in kept])
+    return named_back(marked.join(winners, "__row", "left_semi"), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
