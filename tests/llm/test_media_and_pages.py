@@ -394,6 +394,132 @@ def test_field_learns_labels(spark):
     assert line_crf.judge(docs, none).where("kept = base_failed").count() == 0
 
 
+# --- line labels against plain code ----------------------------------------------------------------------------------
+
+STEPS = [(1, 3, 8, 20, 60), (3, 4.5, 6, 8, 11), (0, 0.02, 0.1, 0.3), (0, 0.1, 0.3, 0.7), (0, 0.05, 0.3), (0.2, 0.4, 0.6, 0.8), (0, 0.2)]
+
+
+def plain_features(lines):
+    """The active features of each line, counted one by one from the text."""
+    out = []
+    for i, line in enumerate(lines):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+        n = len(words)
+        ascii_letters = [re.sub(r"[^A-Za-z]", "", w) for w in words]
+        values = [
+            n,
+            sum(len(w.encode()) for w in words) / n,
+            sum(c in "#*$%&|<>" for c in line) / n,
+            sum(1 for x in ascii_letters if x and x == x.upper()) / n,
+            sum(c == "!" for c in line) / n,
+            len({w for w in words}) / n if n >= 8 else 1.0,
+            sum(1 for w in words if re.fullmatch(r"[0-9]+", w)) / n,
+        ]
+        on, base = [], 0
+        for value, steps in zip(values, STEPS):
+            on.append(base + sum(1 for x in steps if x < value))
+            base += len(steps) + 1
+        for yes in (n < 8, line.rstrip(" \t\n\r\x0b\x0c")[-1] in '.!?:"', line in lines[:i]):
+            on.append(base + int(yes))
+            base += 2
+        out.append(on)
+    return out
+
+
+def plain_share(text, field):
+    """The share of words in content lines of the best of all labellings, and the words."""
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    on = plain_features(lines)
+    sizes = [len([w for w in re.split(r"[\x20\x09-\x0D]+", x) if w]) for x in lines]
+    best, found = -math.inf, ()
+    for path in itertools.product((0, 1), repeat=len(lines)):
+        value = sum(sum(field.weights[f] for f in x) for x, y in zip(on, path) if y) + sum(field.moves[a][b] for a, b in zip(path, path[1:]))
+        if value > best:
+            best, found = value, path
+    return (sum(n for n, y in zip(sizes, found) if y) / sum(sizes) if sizes else 0.0), sum(sizes)
+
+
+def test_verdicts_equal_all_labellings(spark, odd_rows):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = line_crf.fit(docs, labels)
+    texts = [r.text for r in docs.limit(400).collect()] + [r[1] for r in odd_rows]
+    texts = [t for t in texts if (t or "").count("\n") < 9]
+    got = line_crf.judge(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), field).collect()
+    assert len(got) == len(texts) > 150
+    for r in got:
+        share, n = plain_share(r.text, field)
+        assert abs(r.content_share - share) < 1e-12 and r.kept == (not r.base_failed and n > 0 and share >= 0.5), r.text
+    assert sum(0 < r.content_share < 1 for r in got) > 10
+
+
+def test_gradient_is_that_of_all_labellings():
+    rng = np.random.default_rng(11)
+    rows = [{"y": y, "lines": rng.integers(0, line_crf.N_FEATURES, (n, len(line_crf.SIZES))).tolist(), "hashes": list(range(n)), "words": [1] * n, "sizes": [n]} for y, n in ((0, 3), (1, 4))]
+    lines = line_crf.Lines(rows)
+    y = lines.first_targets()
+    params = rng.normal(size=line_crf.N_FEATURES + 4)
+
+    def loss(p):
+        total = 0.0
+        for r, own in zip(rows, y):
+            emit = [p[x].sum() for x in r["lines"]]
+            moves = p[line_crf.N_FEATURES :].reshape(2, 2)
+            value = lambda path: sum(e for e, on in zip(emit, path) if on) + sum(moves[int(a), int(b)] for a, b in zip(path, path[1:]))
+            total += math.log(sum(math.exp(value(path)) for path in itertools.product((0, 1), repeat=len(emit)))) - value(own[: len(emit)])
+        return total / 7 + line_crf.DECAY * (p @ p) / 2
+
+    grad, _ = line_crf.gradient(params, lines, y)
+    for i in (*range(0, line_crf.N_FEATURES, 7), *range(line_crf.N_FEATURES, line_crf.N_FEATURES + 4)):
+        step = np.zeros_like(params)
+        step[i] = 1e-5
+        assert abs((loss(params + step) - loss(params - step)) / 2e-5 - grad[i]) < 1e-6
+
+
+def test_lines_are_labelled_apart(spark):
+    """Good documents with a line that recurs among others, low ones with a good first line: labels differ inside both."""
+    rng = random.Random(12)
+    prose = lambda: " ".join(rng.choice(["river", "stone", "walked", "evening", "under", "quietly"]) + rng.choice("abcdefghij") + rng.choice("klmnopqr") for _ in range(30)) + "."
+    junk = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "CHEAP!!"]) + "#" for _ in range(25))
+    rows, labels = [], []
+    for i in range(200):
+        lines = [prose(), prose(), "Share this page", prose()] if i % 4 else [prose(), junk(), junk(), junk()]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(i % 4 > 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id int, quality int")
+    field = line_crf.fit(docs, known.where("doc_id % 5 > 0"))
+    assert line_crf.viterbi(field, plain_features(rows[1][1].split("\n"))) == [1, 1, 0, 1]
+    assert line_crf.viterbi(field, plain_features(rows[0][1].split("\n"))) == [1, 0, 0, 0]
+    got = {r.doc_id: r for r in line_crf.judge(docs, field).collect()}
+    assert all(got[i].kept == bool(y) and 0 < got[i].content_share < 1 for i, y in labels if i % 5 == 0)
+
+
+def test_held_out_quality(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fold = "crc32(cast(cast(doc_id as string) as binary)) % 5"
+    judged = line_crf.judge(docs, line_crf.fit(docs, labels.where(f"{fold} <> 0")), keep=["doc_id"]).where("not base_failed")
+    seen = judged.join(labels.where(f"{fold} = 0"), "doc_id").groupBy("quality", "kept").count().collect()
+    counts = Counter({(r.quality, r.kept): r["count"] for r in seen})
+    assert counts[1, True] / (counts[1, True] + counts[1, False]) > 0.98 and counts[0, False] / (counts[0, False] + counts[0, True]) > 0.95
+    assert judged.where("content_share > 0 and content_share < 1").count() > 0.2 * judged.count()
+
+
+def test_fits_do_not_depend_on_the_order_of_rows(spark):
+    docs = spark.createDataFrame([(i % 30, f"line {i} of text\n" * (i % 7) + "WOW!! " * (20 * (i % 30 < 9))) for i in range(90)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i >= 9), int(i % 3 == 0)) for i in range(30)], "doc_id int, quality int, toxic int")
+    a, b = (line_crf.fit(x, labels) for x in (docs, docs.orderBy(F.rand(3)).repartition(7)))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.moves, b.moves)
+    a, b = (toxicity.fit(x, labels) for x in (docs, docs.orderBy(F.rand(3)).repartition(7)))
+    assert a.index == b.index and np.allclose(a.factors, b.factors)
+
+
+def test_fitted_lines_are_bounded():
+    for n in (0, 1, 32, 33, 64, 65, 100_000):
+        cuts = line_crf.chosen_windows(n, b"%d" % n)
+        assert sum(hi - lo for lo, hi in cuts) <= line_crf.MOST_WINDOWS * line_crf.WINDOW and all(0 <= lo < hi <= n for lo, hi in cuts)
+        assert n > 64 or sum(hi - lo for lo, hi in cuts) == n
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 

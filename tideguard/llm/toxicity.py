@@ -119,15 +119,16 @@ def held_out(id_col: str):
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, fit_rows: int) -> DataFrame:
     """The rows of at most about fit_rows labelled ids, none of them held out: data and y. Several labels of one id count as
-    the largest; of rows that repeat an id one is fitted, so the sample stays bounded."""
+    the largest; of rows that repeat an id the one with the least hash, then text, is fitted: the sample is bounded and settled."""
     known = labels.where(quoted(label).isNotNull() & quoted(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(quoted(id_col).alias("__id")).agg(F.max((quoted(label) > 0).cast("int")).alias("y"))
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     # known has about fit_rows short rows at most, so it may be broadcast
-    rows = docs.select(quoted(id_col).alias("__id"), utf8(text).alias("data")).join(F.broadcast(known), "__id").dropDuplicates(["__id"])
-    return stored(rows.select("data", "y"), "labelled")
+    rows = docs.select(quoted(id_col).alias("__id"), utf8(text).alias("data")).join(F.broadcast(known), "__id")
+    first = rows.groupBy("__id").agg(F.min(F.struct(F.xxhash64("data"), "data", "y")).alias("first"))
+    return stored(first.select("first.data", "first.y"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
