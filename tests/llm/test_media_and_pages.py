@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -278,6 +279,52 @@ def test_neighbours_by_longer_common_path(spark):
     assert got == {0: [1], 1: [0], 2: [3], 3: [5], 4: None, 5: [3], 6: [7], 7: [6]}
 
 
+def test_differencing_decides_blocks_of_containers(spark):
+    """Sites whose articles hold unmarked boilerplate: without the alignment most pages would have other texts."""
+    page = "<div>Site</div><article><h1>Same title</h1><div>By the newsroom</div><p>Own text {0}.</p><p>A shared passage.</p><ul><li>Read more</li><li>Print</li></ul>{0}</article><div>Rights</div>"
+    rows = [(i, f"http://h{i % 3}.org/{i // 30}/{i:03}", page.format(i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for c in ("other", "k1", "k2", "packed", "place", "data", "__salt", "hashes"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = html_text.extract(df).collect()
+    assert all(r.text == f"Same title\nOwn text {r.page_id}.\nA shared passage.\n{r.page_id}" and r.n_shared == 7 and (r.other, r.k1, r.hashes) == ("mine",) * 3 for r in got)
+    alone = [text_of(p) for _, _, p in rows]
+    assert sum(a == r.text for a, r in zip(alone, got)) < 10
+
+
+def test_a_page_is_paired_with_another_before_a_copy(spark):
+    rows = [(0, "h", "/a/1", [1, 2]), (1, "h", "/a/2", [1, 2]), (2, "h", "/b", [3]), (3, "i", "/x/1", [4]), (4, "i", "/x/1", [4])]
+    got = {r.row: r.other for r in html_text.neighbours(spark.createDataFrame(rows, "row bigint, host string, path string, hashes array<bigint>"), ["row"]).collect()}
+    assert got == {0: [1, 2], 1: [3], 2: [1, 2], 3: [4], 4: [4]}
+
+
+def test_one_content_on_most_pages(spark):
+    rows = [(i, None, None) for i in range(300)] + [(i, "http://a.org/x", "<p>hot</p>") for i in range(300, 700)] + [(i, f"http://a.org/y{i}", f"<div>hot</div><div>{i}</div>") for i in range(700, 710)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(6)).collect()}
+    assert len(got) == 710 and all(got[i] == "" for i in range(300)) and all(got[i] == "hot" for i in range(300, 700)) and all(got[i] == str(i) for i in range(701, 710))
+
+
+@pytest.mark.parametrize("room", [1, 8, 1 << 22])
+def test_alignment_in_bounded_memory(monkeypatch, room):
+    monkeypatch.setattr(html_text, "ROW_BYTES", room)
+    rng = random.Random(13)
+    for _ in range(200):
+        a, b = ([rng.randrange(7) for _ in range(rng.randrange(40))] for _ in range(2))
+        got = html_text.common(a, b)
+        it = iter(b)
+        assert got == sorted(set(got)) and len(got) == brute_lcs(a, b) and all(a[i] in it for i in got)
+
+
+def test_very_long_pages_are_aligned():
+    rng = random.Random(14)
+    own, other = ([rng.randrange(50_000) if rng.random() < 0.5 else i for i in range(100_000)] for _ in range(2))
+    began = time.time()
+    got = html_text.common(own, other)
+    assert len(got) > 20_000 and time.time() - began < 120
+    it = iter(other)
+    assert all(own[i] in it for i in got)
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 

@@ -63,7 +63,7 @@ def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
 
 
 #: A key of at least one in so many rows is hot in a join, so there are no more hot keys than that.
-HOT_SHARE = 1_024
+HOT_SHARE, SALTS = 1_024, 64
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
@@ -78,6 +78,20 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
     return rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key).unionByName(rows.where(~is_hot).join(keyed, key))
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: Sequence[str], counts: DataFrame) -> DataFrame:
+    """rows left-joined with keyed, which has one row a key, where both may be wide. Rows of hot keys are dealt over SALTS tasks,
+    to each of which goes a copy of the key's row. counts has the first key and n, how many rows have it."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.groupBy(keys[0]).agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SHARE >= total).select(keys[0]).collect()  # HOT_SHARE at most
+    hot = [r[0] for r in found if r[0] is not None]
+    if not hot:
+        return rows.join(keyed, list(keys), "left")
+    is_hot = F.coalesce(F.col(keys[0]).isin(hot), F.lit(False))
+    dealt = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    copies = keyed.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*keys, "__salt"], "left").drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

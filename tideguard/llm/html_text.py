@@ -1,10 +1,11 @@
 """Main text of web pages: structural blocks, and line differencing against the page nearest by URL path on the same host.
 
-Pages are ordered by (host, path); each is paired with the neighbour of the longer common path, their lines are aligned
-by a longest common subsequence, and lines that both have are deleted. Lines under <article> or <main> are exempt: two
-articles may well share a passage, and of two copies nothing would stay. Where these hold at least as much text as the
+Pages are ordered by (host, path); each is paired with the neighbour of the longer common path (of another content, if either
+is), their lines are aligned by a longest common subsequence, and lines that both have are deleted. Exempt is prose of a
+container, <article> or <main>: its headings, paragraphs, quotations and bare text, as two articles may well share a passage;
+list items, table cells and plain blocks in a container are not. Where containers hold at least as much text as the
 lines of the page's own outside them, they are the text. On other pages (no container, or but a teaser in one) differencing
-decides every line.
+decides every line. Of two pages with the same lines nothing would stay, so these keep all.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from __future__ import annotations
 import html
 import re
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import arrow_map, quoted, stored, table, utf8, without
+from tideguard.llm.common import arrow_map, quoted, salted_join, stored, table, utf8, without
 
 # HTML's elements by role, and class, id and role words that mark what is not the article.
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "math", "object"}
@@ -24,6 +25,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 NOT_TEXT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"}
 ROOTS = {"article", "main"}
 NEVER = {"html", "body"} | ROOTS  # no class or id makes these boilerplate
+PROSE = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre"} | ROOTS
 OPAQUE = {"script", "style"}  # never text, even if not closed
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
@@ -42,6 +44,10 @@ END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 SELF_CLOSED = re.compile(r"""(?:<[^\s/>]+|[\s"'])/>\Z""")
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PARTS = re.compile(r"[^\W\d_]+")
+#: Kinds of lines: boilerplate, outside containers, prose of one, and other blocks in one.
+OUT, PLAIN, BODY, BLOCK = range(4)
+#: Bytes of the rows that an alignment holds at once; beyond them it halves the page.
+ROW_BYTES = 1 << 22
 
 
 def excluded(tag: str, attrs: str, in_root: bool) -> bool:
@@ -67,19 +73,20 @@ def excluded(tag: str, attrs: str, in_root: bool) -> bool:
 
 
 def lines_of(page: str) -> tuple[list[str], list[int]]:
-    """A page's text blocks in order, and for each 2 under article or main, 1 elsewhere, 0 in boilerplate."""
+    """A page's text blocks in order, and the kind of each."""
     lines, kinds, words = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate from here on, under a root
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate from here on, under a root, prose of it
     drop_p = False
+    inner = ""  # the paragraph, list item or cell that is open
     at = 0
     unclosed: set[str] = set()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            bad = drop_p or bool(stack) and stack[-1][1]
+            _, bad, root, prose = stack[-1] if stack else ("", False, False, False)
             lines.append(text)
-            kinds.append(0 if bad else 2 if stack and stack[-1][2] else 1)
+            kinds.append(OUT if bad or drop_p else PLAIN if not root else BODY if (inner in PROSE if inner else prose) else BLOCK)
         words.clear()
 
     while m := TOKEN.search(page, at):
@@ -104,7 +111,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
         if tag == "br":
             words.append(" ")
             continue
-        bad, root = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, bad, root, prose = stack[-1] if stack else ("", False, False, False)
         if tag in INLINE:
             if closing:
                 if stack and stack[-1][0] == tag:
@@ -112,14 +119,15 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
                     stack.pop()
             elif bad and stack[-1][0] == tag or not bad and m["attrs"] and excluded(tag, m["attrs"], root):
                 flush()
-                stack.append((tag, True, root))
+                stack.append((tag, True, root, prose))
             continue
         flush()
-        drop_p = False
+        drop_p, inner = False, ""
         if tag in VOID:
             continue
         if tag in SELF_CLOSING:
             drop_p = not closing and excluded(tag, m["attrs"] or "", root)
+            inner = "" if closing else tag
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
@@ -127,24 +135,43 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
                     del stack[i:]
                     break
         else:
-            root = root or tag in ROOTS or bool(m["attrs"] and re.search(r"""role\s*=\s*["']?main\b""", m["attrs"], re.I))
-            stack.append((tag, bad or excluded(tag, m["attrs"] or "", root), root))
+            within = root or tag in ROOTS or bool(m["attrs"] and re.search(r"""role\s*=\s*["']?main\b""", m["attrs"], re.I))
+            stack.append((tag, bad or excluded(tag, m["attrs"] or "", within), within, tag in PROSE or within and not root))
     words.append(page[at:])
     flush()
     return lines, kinds
 
 
-def common(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of one longest common subsequence of a and b: bit-parallel rows, then a walk back."""
+def rows_of(a: list[int], b: list[int]):
+    """After each item of a, the bits of b at which the longest common subsequence of their starts grows are 0."""
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    rows = [full]
+    v = full
     for x in a:
-        v = rows[-1]
         u = v & where.get(x, 0)
-        rows.append(((v + u) | (v - u)) & full)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of a and each start of b."""
+    *_, last = rows_of(a, b)
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little", count=len(b))
+    return np.r_[0, (1 - bits.astype(np.int64)).cumsum()]
+
+
+def aligned(a: list[int], b: list[int]) -> list[int]:
+    """Positions in a of one longest common subsequence of a and b: bit-parallel rows and a walk back, after a is halved, with b
+    where that loses nothing, until the rows fit in ROW_BYTES."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > 8 * ROW_BYTES:
+        half = len(a) // 2
+        cut = int((lengths(a[:half], b) + lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return aligned(a[:half], b[:cut]) + [half + i for i in aligned(a[half:], b[cut:])]
+    rows = [(1 << len(b)) - 1, *rows_of(a, b)]
     found, i, j = [], len(a), len(b)
     while i and j:
         if rows[i] >> (j - 1) & 1:
@@ -157,22 +184,32 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
+def common(a: list[int], b: list[int]) -> list[int]:
+    """Positions in a of one longest common subsequence of a and b. Common ends, and what only one of them holds, are set aside."""
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    tail = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    own, other = set(a[head : len(a) - tail]), set(b[head : len(b) - tail])
+    at = [i for i in range(head, len(a) - tail) if a[i] in other]
+    middle = aligned([a[i] for i in at], [x for x in b[head : len(b) - tail] if x in own])
+    return [*range(head), *(at[i] for i in middle), *range(len(a) - tail, len(a))]
+
+
 def main_text(lines: list[str], kinds: list[int], own: list[int], other: list[int] | None) -> tuple[str, int]:
     """The text and the number of lines shared with the paired page. A copy of it is left as it is."""
     shared = set(common(own, other)) if other else set()
-    if len(shared) == len(own):
-        copy, shared = shared, set()
-    else:
-        copy = shared
-    inside = sum(len(x) for x, k in zip(lines, kinds, strict=True) if k == 2)
-    rooted = inside and inside >= sum(len(x) for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == 1 and i not in shared)
-    kept = [x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if (k == 2 if rooted else k and i not in shared)]
-    return "\n".join(kept), len(copy)
+    copy = len(shared)
+    if copy == len(own):
+        shared = set()
+    inside = sum(len(x) for x, k in zip(lines, kinds, strict=True) if k in (BODY, BLOCK))
+    rooted = inside and inside >= sum(len(x) for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == PLAIN and i not in shared)
+    kept = [x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if (k == BODY if rooted and i in shared else k in (BODY, BLOCK) if rooted else k and i not in shared)]
+    return "\n".join(kept), copy
 
 
 def neighbours(rows: DataFrame, ids: list[str]) -> DataFrame:
     """Rows of ids, host, path, hashes -> ids, other: the hashes of the neighbour in (host, path) order, of the same host,
-    whose path has the longer common start (the one before on a tie). A range sort gives ranks; a join on
+    whose path has the longer common start (the one before on a tie); one with other hashes goes before a copy. A range sort gives ranks; a join on
     rank - 1 and rank + 1 then finds neighbours, so a host with any share of the pages is spread over tasks."""
     width = 33
     ordered = rows.repartitionByRange("host", "path", *ids).sortWithinPartitions("host", "path", *ids)
@@ -197,6 +234,7 @@ def neighbours(rows: DataFrame, ids: list[str]) -> DataFrame:
         same = F.zip_with(heads, F.split(F.col(f"{name}.path"), ""), lambda x, y: x.eqNullSafe(y))
         length = F.coalesce(F.array_position(same, False) - 1, F.size(same).cast("bigint"))
         length = F.when(length < 0, F.size(same)).otherwise(length)
+        length = F.when(F.col(f"{name}.hashes") == F.col("hashes"), F.lit(0)).otherwise(length + 1)
         return F.when(F.col(f"{name}.host") == F.col("host"), length).otherwise(F.lit(-1))
 
     up, down = alike("up"), alike("down")
@@ -209,18 +247,19 @@ def extract(pages: DataFrame, *, page: str = "html", url: str = "url", keep: lis
 
     A null or empty page gives an empty text, a null url is a host and path of its own kind; rows that repeat url and
     page are one page when pages are paired. Blocks are joined by one newline; an empty table gives an empty one;
-    columns named as an output are replaced. Pages of any size are read whole.
+    columns named as an output are replaced, and others may have any name. Pages of any size are read whole.
 
     Pairing moves hashes of lines alone. Then each page meets its partner's hashes by a key of its content; for that it
-    is compressed, as only this join moves pages.
+    is compressed, as only this join moves pages. Rows of a content that many pages share are spread over tasks.
     """
     import zstandard
 
-    made = ["text", "n_chars", "n_lines", "n_shared"]
-    keep = [c for c in (pages.columns if keep is None else keep) if c in set(without(pages, made))]
-    ids = ["__k1", "__k2"]  # 128 bits of content
-    place, data = F.coalesce(quoted(url).cast("string"), F.lit("")), utf8(page)
-    keyed = pages.withColumn("__k1", F.xxhash64(place, data)).withColumn("__k2", F.xxhash64(data, place, F.lit(1)))
+    keep = [c for c in (pages.columns if keep is None else keep) if c in set(without(pages, ["text", "n_chars", "n_lines", "n_shared"]))]
+    held = [f"c{i}" for i in range(len(keep))]  # so that no name can clash
+    ids = ["k1", "k2"]  # 128 bits of content
+    place, data = F.col("place"), F.col("data")
+    plain = pages.select(*[quoted(c).alias(h) for c, h in zip(keep, held)], F.coalesce(quoted(url).cast("string"), F.lit("")).alias("place"), utf8(page).alias("data"))
+    keyed = plain.withColumn("k1", F.xxhash64(place, data)).withColumn("k2", F.xxhash64(data, place, F.lit(1)))
 
     def hashed():
         import xxhash
@@ -229,14 +268,16 @@ def extract(pages: DataFrame, *, page: str = "html", url: str = "url", keep: lis
 
     host = F.lower(F.regexp_extract(place, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
     path = F.regexp_extract(place, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")
-    light = arrow_map(keyed.select(*ids, host, path, data.alias("data")), [F.col("data")], "hashes array<bigint>", hashed, [*ids, "host", "path"])
-    others = neighbours(light.dropDuplicates(ids), ids)
+    light = arrow_map(keyed.select(*ids, host, path, "data"), [data], "hashes array<bigint>", hashed, [*ids, "host", "path"])
+    firsts = [F.first(c).alias(c) for c in ("host", "path", "hashes")]
+    different = stored(light.groupBy(*ids).agg(*firsts, F.count("*").alias("n")), "pages")
+    others = neighbours(different.drop("n"), ids)
 
     def small():
         pack = zstandard.ZstdCompressor(level=3).compress
         return lambda values: [[pack(v) for v in values]]
 
-    joined = arrow_map(keyed, [data], "__page binary", small, [*keep, *ids]).join(others, ids, "left")
+    joined = salted_join(arrow_map(keyed, [data], "packed binary", small, [*held, *ids]), others, ids, different.select("k1", "n"))
 
     def finish():
         import xxhash
@@ -254,7 +295,8 @@ def extract(pages: DataFrame, *, page: str = "html", url: str = "url", keep: lis
 
         return compute
 
-    return arrow_map(joined, [F.col("__page"), F.col("other")], "text string, n_chars bigint, n_lines int, n_shared int", finish, keep)
+    found = arrow_map(joined, [F.col("packed"), F.col("other")], "text string, n_chars bigint, n_lines int, n_shared int", finish, held)
+    return found.select(*[F.col(h).alias(c) for c, h in zip(keep, held)], "text", "n_chars", "n_lines", "n_shared")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
