@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions only.
 
 Each document gets a uniform number from a hash of its id and the seed, inverts the Poisson distribution whose mean
-is its source's target repetition rate, and is repeated that many times; then all copies are shuffled globally.
+is its source's target repetition rate, and is repeated that many times; then all copies are shuffled globally, once: their
+keys are uniform, so the range of keys that goes to a task is known beforehand and nothing is sampled or drawn twice.
 """
 
 from __future__ import annotations
@@ -74,13 +75,15 @@ def mix_sources(
 
     Adds rate (the mean), copies (the count), copy (from 1) and shuffle_key, by which the result is ordered. Rows
     with count 0 go: that is the draw. Null sources are one source, the empty name; a null text has no bytes; rows with
-    equal ids draw equal counts (null ids too) and each row is repeated by itself. An empty table gives an empty
-    one. Columns named as an output are replaced. A mean above 32 is a fixed whole part plus a Poisson part.
+    equal ids draw equal counts and each row is repeated by itself. A row without an id draws by its text and its row number in
+    docs, so such rows draw independently; docs should be a table, whose row numbers are settled. An empty table gives
+    an empty one. Columns named as an output are replaced. A mean above 32 is a fixed whole part plus a Poisson part.
     """
     made = ["rate", "copies", "copy", "shuffle_key"]
     keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, made))]
     rates = source_rates(docs, source, text, weights, epochs)
-    key = F.coalesce(quoted(id_col).cast("string"), F.lit(""))
+    unnamed = F.concat_ws(":", F.lit("row"), F.monotonically_increasing_id(), F.xxhash64(quoted(text)))
+    key = F.coalesce(quoted(id_col).cast("string"), unnamed)
     rows = docs.select(*[quoted(c) for c in keep], key.alias("__id"), F.coalesce(quoted(source).cast("string"), F.lit("")).alias("__source"))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
@@ -93,7 +96,11 @@ def mix_sources(
     rows = rows.withColumn("copies", copies).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.col("__id"), F.col("copy")))
-    return rows.select(*[quoted(c) for c in keep], F.col("__rate").alias("rate"), "copies", "copy", order.alias("shuffle_key")).orderBy("shuffle_key")
+    rows = rows.select(*[quoted(c) for c in keep], F.col("__rate").alias("rate"), "copies", "copy", order.alias("shuffle_key"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # task i gets the i-th of equal ranges of the keys' first 32 bits
+    part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint") * tasks / F.lit(1 << 32)).cast("int")
+    return rows.repartitionById(tasks, part).sortWithinPartitions("shuffle_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
