@@ -154,17 +154,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     index = {r.bucket: i for i, r in enumerate(top)}
 
     def vectors(batches):
+        import xxhash
+
         terms = Terms(index)
         for batch in batches:
-            got = [terms.vector(d.decode("utf-8", "replace")) for d in batch.column(0).to_pylist()]
-            columns = [pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float32())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "x", "y"])
-
-    # at most fit_rows short vectors, in an order that does not depend on the tasks
-    got = sample.mapInArrow(vectors, "at array<int>, x array<float>, y int").toArrow()
-    rows = sorted(zip(*[got.column(c).to_pylist() for c in ("at", "x", "y")], strict=True))
-    sparse = [(np.array(a, np.int32), np.array(x, np.float32)) for a, x, _ in rows]
-    bias, weights, factors = fit_machine(sparse, np.array([y for _, _, y in rows], np.float64), max(1, len(index)))
+            data = batch.column(0).to_pylist()
+            got = [terms.vector(d.decode("utf-8", "replace")) for d in data]
+            keys = pa.array([xxhash.xxh64_intdigest(d) - (1 << 63) for d in data], pa.int64())
+            columns = [keys, pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float32())), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "x", "y"])
+
+    # at most fit_rows short vectors, as Arrow arrays, in an order that does not depend on the tasks
+    got = sample.mapInArrow(vectors, "key bigint, at array<int>, x array<float>, y int").toArrow().combine_chunks()
+    y = got.column("y").to_numpy()
+    order = np.lexsort((y, got.column("key").to_numpy()))
+    at, x = (got.column(c).chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "x"))
+    ends, at, x = at.offsets.to_numpy(), at.values.to_numpy(), x.values.to_numpy()
+    sparse = [(at[ends[i] : ends[i + 1]], x[ends[i] : ends[i + 1]]) for i in order]
+    bias, weights, factors = fit_machine(sparse, y[order].astype(np.float64), max(1, len(index)))
     return Model(index, bias, weights, factors)
 
 
