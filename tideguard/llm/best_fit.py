@@ -224,11 +224,13 @@ def pack_documents(
 
     A null or empty text is the end id alone. Repeated rows are packed once each; a null id is carried along; very
     long texts are cut into full pieces after a first one with the remainder; ties between pieces of one length
-    fall either way. An empty table gives an empty one. Columns named as an output are replaced.
+    fall either way. An empty table gives an empty one. Columns named as an output are replaced; others may have any name.
     """
-    made = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bin", "into", "base"]
+    made = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, made))]
-    rows = stored(pieces(docs, model, text=text, capacity=capacity, keep=keep), "pieces")
+    held = [f"c{i}" for i in range(len(keep))]  # so that no name can clash
+    plain = docs.select(*[quoted(c).alias(h) for c, h in zip(keep, held)], quoted(text).alias("text"))
+    rows = stored(pieces(plain, model, capacity=capacity, keep=held), "pieces")
     tasks = max(1, -(-rows.count() // pieces_per_task))
     placed = stored(first_round(rows, tasks, capacity), "bins")
     moved = None
@@ -258,7 +260,7 @@ def pack_documents(
     if moved is not None:
         placed = placed.join(moved, "bin", "left")
         sequence, offset = F.coalesce("into", "bin"), F.col("offset") + F.coalesce("base", F.lit(0))
-    return placed.select(*[quoted(c) for c in keep], "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
+    return placed.select(*[F.col(h).alias(c) for c, h in zip(keep, held)], "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
