@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideguard.llm import best_fit, histogram_sort, poisson_mix, simhash, token_counts
+from tideguard.llm.common import new_path
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = [" ", "  ", "a", "the", "'s", " ing", "\n", "\t", "▁", "é", "日", "<s>", "</s>", "<|endoftext|>", "　", "\xa0", "\r", ";", "x1", "\x00", "😀", ".", ","]
@@ -316,7 +317,8 @@ def test_mixing_meets_weights(spark, monkeypatch, limit):
 def test_mixing_odd_rows(odd, empty):
     got = poisson_mix.mix_sources(clash(odd, "Copies", "copy", "rate"), epochs=3.0)
     assert got.columns == [*odd.columns, "rate", "copies", "copy", "shuffle_key"]
-    assert got.where("doc_id is null").count() >= 0
+    unnamed = got.where("doc_id is null")
+    assert unnamed.select("shuffle_key").distinct().count() == unnamed.count()
     assert poisson_mix.mix_sources(empty).count() == 0
 
 
@@ -371,3 +373,49 @@ def test_hot_keys_of_a_join_are_not_shuffled(spark):
     got = spread_join(rows, keyed, "k")
     assert Counter((r.i, r.k, r.m) for r in got.collect()) == Counter((r.i, r.k, r.m) for r in rows.join(keyed, "k").collect())
     assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
+def test_rows_without_an_id_draw_independently(spark):
+    rows = [(None, "same text", "a")] * 1500 + [(None, f"text {i}", "a") for i in range(1500)] + [(i, "named", "a") for i in range(1000)]
+    path = str(new_path(spark, "no-ids"))
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for seed in (1, 2, 3, 4):
+        got = poisson_mix.mix_sources(docs, seed=seed).collect()
+        for same in (True, False):
+            mine = [r for r in got if r.doc_id is None and (r.text == "same text") == same]
+            assert 1500 - 200 < len(mine) < 1500 + 200  # five deviations
+            draws = Counter(r.copies for r in mine if r.copy == 1)
+            assert {1, 2, 3} <= set(draws) and 1500 * 0.31 < draws[1] < 1500 * 0.43
+        assert len({r.shuffle_key for r in got}) == len(got)
+        assert [r.shuffle_key for r in got] == sorted(r.shuffle_key for r in got)
+
+
+def test_mixing_draws_once(odd):
+    plan = poisson_mix.mix_sources(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_frequent_parts_are_not_shuffled_by_key(spark, monkeypatch):
+    """Summaries of tasks are merged as rows; the table holds just the parts of the needed share."""
+    monkeypatch.setattr(token_counts, "SAMPLE_ONE_IN", 1)
+    monkeypatch.setattr(token_counts, "FAN_IN", 2)
+    monkeypatch.setattr(token_counts, "FREQUENT", 20)
+    texts_ = ["the cat and the dog"] * 30 + [f"rare{i} the" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts_], "text string").repartition(7)
+    calls = []
+    monkeypatch.setattr(type(docs), "groupBy", lambda *a, **k: calls.append(a))
+    words, lengths = token_counts.frequent_lengths(docs, "text", PIECES)
+    monkeypatch.undo()
+    counts = Counter(w for t in texts_ for w in t.split(" "))
+    total = sum(counts.values())
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert not calls and words.split("\n") == sorted(w for w, n in counts.items() if n * 20 >= total)
+    assert list(lengths) == [len(model.encode(w)) for w in words.split("\n")]
+
+
+def test_packing_keeps_columns_of_any_name(odd):
+    names = ["bin", "into", "base", "c0", "task", "__text"]
+    got = best_fit.pack_documents(odd.select("doc_id", "text", *[F.lit(n).alias(n) for n in names]), BPE, capacity=512, pieces_per_task=6)
+    assert got.columns == ["doc_id", "text", *names, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert all([r[n] for n in names] == names for r in got.collect())
