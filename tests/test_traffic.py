@@ -1,5 +1,6 @@
 """Traffic operators on hand-worked tables: boundaries, nulls, ties, silent windows, late rows and scenarios."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -293,3 +294,106 @@ def test_detectors_on_scenarios(spark):
     crowd = scenario(spark, lambda i: (f"c{i // 2}", "web", "SYN" if i % 2 == 0 else "FIN"))
     assert rates.rate_threshold(crowd, "dst", "1 hour", max_packets=200).count() == 2  # a rate alone can't tell a crowd
     assert rates.ratio_by_window(crowd, "dst", "1 hour", "flag = 'SYN'", "flag = 'FIN'").where("ratio > 3").count() == 0
+
+
+# --- hot keys, and operators against plain loops ---------------------------------------------------------------------
+
+
+@pytest.fixture
+def not_adaptive(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def hot(spark, n=4000):
+    """Nine in ten records are of one source."""
+    rows = [(i, T0 + timedelta(seconds=(i * 7919) % 86_400, microseconds=i % 3), "hot" if i % 10 else f"s{i}", i % 97) for i in range(n)]
+    return spark.createDataFrame(rows, "record_id bigint, ts timestamp_ntz, src string, bytes bigint")
+
+
+def test_a_hot_key_is_many_tasks_work(spark, not_adaptive):
+    df = hot(spark)
+    for got in (rates.trailing_rate(df, "src", "2 hours"), pairing.amplification_factor(df, df, "src", "2 hours")):
+        by_task = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(by_task) == 4000 and max(by_task) < 0.5 * 4000
+    for got in (sessions.sessionize(df, "src", "1 minute"), sessions.flow_features(df, "src")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        by_key = plan.index("hashpartitioning(src#")  # the topmost exchange moves rows of buckets, not records
+        assert re.match(r"src#\d+, \w+#\d+L?\]", plan[by_key:].split("HashAggregate(keys=[", 1)[1])
+
+
+def test_trailing_sums_and_answers_equal_loops(spark):
+    import random
+
+    rng = random.Random(15)
+    rows = [(i, T0 + timedelta(seconds=rng.randrange(4000), microseconds=rng.choice([0, 0, 1, 999_999])), rng.choice(["a", "b", None]), rng.choice([1, 2, 5, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "record_id bigint, ts timestamp_ntz, src string, bytes bigint").withColumn("responses_", F.lit("x"))
+    for span, seconds_ in (("10 minutes", 600), ("7 seconds", 7), ("1 second", 1), ("2 hours", 7200)):
+        width = timedelta(seconds=seconds_)
+        got = {r.record_id: r.trailing for r in rates.trailing_rate(df, "src", span, packets="bytes").collect()}
+        assert got == {i: sum(b or 0 for _, u, l, b in rows if l == k and t - width <= u <= t) for i, t, k, _ in rows}
+        got = {r.record_id: (r.response_bytes, r.responses) for r in pairing.amplification_factor(df, df, "src", span, bucket="3 minutes").collect()}
+        want = {i: [b or 0 for _, u, l, b in rows if k is not None and l == k and t < u <= t + width] for i, t, k, _ in rows}
+        assert got == {i: (sum(x), len(x)) for i, x in want.items()}
+
+
+def test_sessions_and_flows_equal_loops(spark):
+    import random
+    import statistics
+
+    rng = random.Random(16)
+    rows = [(i, T0 + timedelta(seconds=rng.choice([1, 60, 3600]) * rng.randrange(40)), rng.choice(["a", "b", "c", None]), rng.choice([0, 3, 8, None])) for i in range(200)]
+    rows += [(500 + i, T0 + timedelta(hours=i), "even", 1) for i in range(30)] + [(600, None, "a", 1), (601, T0, "one", None)]
+    df = spark.createDataFrame(rows, "record_id bigint, ts timestamp_ntz, src string, bytes bigint")
+    want = []
+    for key in {r[2] for r in rows}:
+        times = sorted((t, b or 0) for _, t, k, b in rows if k == key and t is not None)
+        open_ = None
+        for t, b in times:
+            if open_ and t <= open_[1] + timedelta(minutes=5):
+                open_ = [open_[0], t, open_[2] + 1, open_[3] + b]
+            else:
+                want += [open_] if open_ else []
+                open_ = [t, t, 1, b]
+            open_.append(key)
+            open_ = open_[:4]
+        want.append(open_)
+    got = [(r.start, r.end - timedelta(minutes=5), r.packets, r.bytes or 0) for r in sessions.sessionize(df, "src", "5 minutes", bytes_col="bytes").collect()]
+    assert sorted(got) == sorted(map(tuple, want))
+    for bucket in ("1 hour", "10 seconds", "30 days"):
+        for r in sessions.flow_features(df, "src", bucket=bucket).collect():
+            own = [x for x in rows if x[2] == r.src]
+            times, sizes = sorted(x[1] for x in own if x[1]), [x[3] for x in own if x[3] is not None]
+            gaps = [(b - a).total_seconds() for a, b in zip(times, times[1:])]
+            near = lambda x, y: x == y or None not in (x, y) and abs(x - y) < 1e-6
+            assert (r.packets, r.bytes, r.min_bytes, r.max_bytes) == (len(own), sum(sizes) if sizes else None, min(sizes, default=None), max(sizes, default=None))
+            assert near(r.mean_bytes, sum(sizes) / len(sizes) if sizes else None) and near(r.sd_bytes, statistics.stdev(sizes) if len(sizes) > 1 else None)
+            assert near(r.mean_gap, sum(gaps) / len(gaps) if gaps else None) and near(r.sd_gap, statistics.stdev(gaps) if len(gaps) > 1 else None)
+            assert near(r.duration, sum(gaps) if gaps else None)
+
+
+def test_longest_prefix_of_many_rules(spark, monkeypatch):
+    df = spark.createDataFrame([(i, (i * 2654435761) & 0xFFFFFFFF) for i in range(500)] + [(500, None)], "record_id bigint, src_ip bigint").withColumn("pfx", F.lit("mine"))
+    rules = spark.createDataFrame([(k, (k * 40503 * 7919) & 0xFFFFFFFF, 4 + k % 9) for k in range(300)], "rule_id bigint, ip bigint, plen int").selectExpr("rule_id", "shiftright(ip, 32 - plen) as pfx", "plen")
+    few = rows_of(prepare.cidr_match(df, rules))
+    plan = prepare.cidr_match(df, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(prepare, "BROADCAST_RULES", 0)
+    assert rows_of(prepare.cidr_match(df.drop("pfx"), rules).withColumn("pfx", F.lit("mine")).select("record_id", "src_ip", "pfx", "rule_id", "plen")) == few and len(few) > 100
+
+
+def test_windows_outside_the_baseline_appear(spark):
+    rows = [(at(0), c) for c in "xy"] + [(at(60), "new")] * 5 + [(at(120), c) for c in ("x", "x", "new", None)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, c string")
+    mix = spark.createDataFrame([("x", 0.5), ("y", 0.5)], "c string, share double")
+    got = [(r.win, r.packets, r.outside, r.chi2) for r in shape.chi2_shift(df, "c", "1 hour", mix).orderBy("win").collect()]
+    assert got == [(at(0), 2, 0, 0.0), (at(60), 0, 5, 0.0), (at(120), 2, 2, 2.0)]
+
+
+def test_clear_errors_and_exact_sketches(spark, packets):
+    with pytest.raises(ValueError, match="id_cols"):
+        pairing.unanswered(packets, packets, "src", "1 hour", bucket="10 minutes")
+    rows = spark.range(3000).selectExpr("pmod(id * id, 61) as k")
+    want = {(r.k, r["count"]) for r in rows.groupBy("k").count().collect()}
+    assert {(r.k, r.packets) for r in rates.approx_top_talkers(rows, "k", 100, max_items=1000).collect()} == want

@@ -1,4 +1,4 @@
-"""Pairing requests with responses. All three are equi-joins on a key with the interval as a further condition.
+"""Pairing requests with responses: equi-joins on a key with the interval as a further condition, or sums without pairs.
 
 With bucket given, the key is extended by a time bucket of that span, which spreads a key that holds most of the
 traffic: a request is repeated for the buckets that its interval touches.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideguard.functions.columns import listed
 from tideguard.functions.time import interval, seconds
+from tideguard.operators.buckets import sums_within
 
 
 def bucket_of(column: str, span: str) -> Column:
@@ -47,7 +48,9 @@ def match_responses(req: DataFrame, resp: DataFrame, on: str | Sequence[str], wi
 
 
 def unanswered(req: DataFrame, resp: DataFrame, on: str | Sequence[str], within: str, time_col: str = "ts", id_cols: str | Sequence[str] | None = None, bucket: str | None = None) -> DataFrame:
-    """O26. Requests without any response in time. With a bucket, id_cols tell requests apart."""
+    """O26. Requests without any response in time. With a bucket, id_cols, which must not be null, tell requests apart."""
+    if bucket is not None and not listed(id_cols or []):
+        raise ValueError("unanswered with a bucket needs id_cols")
     on, a, b, r, s, in_time = sides(req, resp, on, within, time_col, bucket)
     if bucket is not None:
         ids = listed(id_cols or [])
@@ -61,14 +64,17 @@ def unanswered(req: DataFrame, resp: DataFrame, on: str | Sequence[str], within:
     return found.select(*[F.col(c if c in on else f"req_{c}").alias(c) for c in req.columns])
 
 
-def amplification_factor(req: DataFrame, resp: DataFrame, on: str | Sequence[str], within: str, bytes_col: str = "bytes", id_col: str = "record_id", time_col: str = "ts") -> DataFrame:
+def amplification_factor(
+    req: DataFrame, resp: DataFrame, on: str | Sequence[str], within: str, bytes_col: str = "bytes", id_col: str = "record_id", time_col: str = "ts", bucket: str | None = None
+) -> DataFrame:
     """O27. Response bytes over request bytes for each request: 0 if unanswered, null if the request has 0 bytes.
 
-    A response in several requests' intervals counts for each of them.
+    A response in several requests' intervals counts for each of them. No pair is made: requests meet running sums of the
+    responses, dealt by time buckets (sums_within). A null key is never answered; repeated requests are rows of their own.
     """
-    pairs = match_responses(req, resp, on, within, time_col)
-    sums = pairs.groupBy(F.col(f"req_{id_col}").alias(id_col)).agg(F.sum(f"resp_{bytes_col}").alias("response_bytes"), F.count("*").alias("responses"))
-    asked = req.select(id_col, *listed(on), F.col(bytes_col).alias("request_bytes"))
-    zero = {"response_bytes": F.coalesce("response_bytes", F.lit(0)), "responses": F.coalesce("responses", F.lit(0))}
-    both = asked.join(sums, id_col, "left").withColumns(zero)
+    keys = listed(on)
+    asked = req.select(id_col, *keys, time_col, F.col(bytes_col).alias("request_bytes"))
+    answers = resp.where(" and ".join(f"`{c}` is not null" for c in [*keys, time_col]))
+    sums = {"response_bytes": F.col(bytes_col), "responses": F.lit(1).cast("bigint")}
+    both = sums_within(asked, answers, keys, within, sums, ahead=True, time_col=time_col, bucket=bucket).drop(time_col)
     return both.withColumn("factor", F.try_divide(F.col("response_bytes").cast("double"), F.col("request_bytes")))

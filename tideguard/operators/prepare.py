@@ -20,7 +20,7 @@ def filter_traffic(df: DataFrame, start: str | None = None, end: str | None = No
 
 
 def dedup_records(df: DataFrame, id_cols: str | Sequence[str]) -> DataFrame:
-    """O5. One record of each that was exported several times under one id."""
+    """O5. One record of each that was exported several times under one id. Which of them stays is arbitrary."""
     return df.dropDuplicates(listed(id_cols))
 
 
@@ -31,19 +31,39 @@ def match_list(df: DataFrame, entries: DataFrame, on: str | Sequence[str], keep:
     return df.join(entries.select(*listed(on)).distinct(), listed(on), "left_semi" if keep == "listed" else "left_anti")
 
 
+#: Different prefixes up to which the rules are broadcast.
+BROADCAST_RULES = 1_000_000
+
+
 def cidr_match(df: DataFrame, rules: DataFrame, ip_col: str = "src_ip", id_cols: str | Sequence[str] = "record_id") -> DataFrame:
     """O7. Each record's rule of the longest matching prefix; ties go to the lowest rule_id. Adds rule_id and plen.
 
-    rules: rule_id, pfx (the prefix's leading plen bits as a number), plen (0 to 32). A record is repeated once for each
-    prefix length that occurs (33 at most), so the match is an equi-join; id_cols must tell records apart. Records
+    rules: rule_id, pfx (the prefix's leading plen bits as a number), plen (0 to 32). Up to BROADCAST_RULES prefixes, which
+    are counted first, records look one up for each length that occurs (33 at most), so no record moves. With more, a
+    record is repeated for each length and joined on length and prefix; then id_cols must tell records apart. Records
     without a match are left out.
     """
     # one rule for each prefix, so that a record meets at most one of each length
     best = rules.groupBy("plen", "pfx").agg(F.min("rule_id").alias("rule_id"))
-    lengths = [r.plen for r in rules.select("plen").distinct().orderBy("plen").collect()]  # 33 at most
+    counts = {r.plen: r.n for r in best.groupBy("plen").agg(F.count("*").alias("n")).collect() if r.plen is not None}  # 33 lengths at most
+    if sum(counts.values()) > BROADCAST_RULES:
+        return joined_by_length(df, best, sorted(counts), ip_col, listed(id_cols))
+    found = df
+    for p in sorted(counts, reverse=True):
+        own = best.where(F.col("plen") == p).select(F.col("pfx").cast("bigint").alias(f"__p{p}"), F.col("rule_id").alias(f"__r{p}"))
+        found = found.join(F.broadcast(own), F.expr(f"shiftright(cast(`{ip_col}` as bigint), {32 - p})") == F.col(f"__p{p}"), "left")
+    if not counts:
+        return df.where("false").select("*", F.lit(None).cast(best.schema["rule_id"].dataType).alias("rule_id"), F.lit(None).cast("int").alias("plen"))
+    hits = [(F.col(f"__p{p}").isNotNull(), p) for p in sorted(counts, reverse=True)]
+    plen = F.coalesce(*[F.when(hit, F.lit(p).cast("int")) for hit, p in hits])
+    rule = F.coalesce(*[F.when(hit, F.struct(F.col(f"__r{p}").alias("id"))) for hit, p in hits])["id"]
+    return found.select(*df.columns, rule.alias("rule_id"), plen.alias("plen")).where("plen is not null")
+
+
+def joined_by_length(df: DataFrame, best: DataFrame, lengths: list[int], ip_col: str, ids: list[str]) -> DataFrame:
     wide = df.withColumn("plen", F.explode(F.array(*[F.lit(p).cast("int") for p in lengths]).cast("array<int>")))
     keyed = wide.withColumn("pfx", F.expr(f"shiftright(cast(`{ip_col}` as bigint), 32 - plen)"))
     found = keyed.join(best.withColumn("plen", F.col("plen").cast("int")), ["plen", "pfx"]).drop("pfx")
-    rest = [c for c in df.columns if c not in listed(id_cols)]
-    picked = found.groupBy(*listed(id_cols)).agg(F.max_by(F.struct(*rest, "rule_id", "plen"), F.col("plen")).alias("__best"))
-    return picked.select(*listed(id_cols), *[F.col(f"__best.{c}").alias(c) for c in [*rest, "rule_id", "plen"]]).select(*df.columns, "rule_id", "plen")
+    rest = [c for c in df.columns if c not in ids]
+    picked = found.groupBy(*ids).agg(F.max_by(F.struct(*rest, "rule_id", "plen"), F.col("plen")).alias("__best"))
+    return picked.select(*ids, *[F.col(f"__best.{c}").alias(c) for c in [*rest, "rule_id", "plen"]]).select(*df.columns, "rule_id", "plen")

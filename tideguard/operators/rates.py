@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.functions.columns import listed, names, ratio, weight
-from tideguard.functions.time import interval, seconds, window_start
+from tideguard.functions.time import seconds, window_start
+from tideguard.operators.buckets import sums_within
 
 
 def rate_by_window(
@@ -36,23 +37,10 @@ def rate_by_window(
 def trailing_rate(df: DataFrame, keys: str | Sequence[str], span: str, time_col: str = "ts", packets: str | None = None, bucket: str | None = None) -> DataFrame:
     """O9. For each record the packets of its key in [time - span, time], as trailing.
 
-    A window partition, which is one task's, is a key in a time bucket (of the span, unless given); a record is copied as
-    history to the later buckets that its span reaches. Per-second sums (rate_by_window with '1 second', its packets as
-    the packets column) bound what a hot key has in a bucket.
+    The work of a key is dealt over tasks by time buckets (sums_within), each a divisor of the span and at most bucket if that
+    is given. A null time counts the key's records without one; a null number of packets counts 0.
     """
-    length = max(seconds(bucket or span), 1)
-    zoned = dict(df.dtypes)[time_col] == "timestamp"
-
-    def bucket_at(time: str) -> Column:
-        epoch = f"unix_seconds({time})" if zoned else f"timestampdiff(SECOND, timestamp_ntz'1970-01-01', cast({time} as timestamp_ntz))"
-        return F.floor(F.expr(epoch) / F.lit(length))
-
-    first = bucket_at(f"`{time_col}`")
-    reached = F.coalesce(F.sequence(first, bucket_at(f"`{time_col}` + {interval(span)}")), F.array(first))  # a null time has a bucket of its own
-    dealt = df.withColumn("__bucket", F.explode(reached)).withColumn("__own", first.eqNullSafe(F.col("__bucket")))
-    frame = f"partition by {names(keys)}, `__bucket` order by `{time_col}` range between {interval(span)} preceding and current row"
-    value = "1" if packets is None else f"`{packets}`"
-    return dealt.withColumn("trailing", F.expr(f"sum({value}) over ({frame})")).where("__own").drop("__bucket", "__own")
+    return sums_within(df, df, keys, span, {"trailing": weight(packets)}, ahead=False, time_col=time_col, bucket=bucket)
 
 
 def rate_threshold(df: DataFrame, keys: str | Sequence[str], size: str, max_packets: float | None = None, max_bytes: float | None = None, **columns: str) -> DataFrame:

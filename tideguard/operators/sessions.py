@@ -4,39 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.functions.columns import listed, names
 from tideguard.functions.time import elapsed, interval, seconds
+from tideguard.operators.buckets import bucket_at
 
 
 def sessionize(df: DataFrame, keys: str | Sequence[str], gap: str, time_col: str = "ts", bytes_col: str | None = None) -> DataFrame:
     """O28. Records of a key no further apart than gap; exactly gap still joins. end is the last record's time plus gap.
 
-    A session window ends before its gap does, so the gap is a microsecond longer inside.
+    Records in one time bucket as long as the gap are in one session, so they're summed first, partly where they are read; a
+    key then has a row a bucket, however hot it is, and these are merged. Records without a time are left out.
     """
-    window = F.session_window(F.col(time_col), F.lit(f"{seconds(gap)} seconds 1 microsecond"))
+    keys = listed(keys)
     total = F.sum(F.col(bytes_col) if bytes_col else F.lit(0))
-    found = df.groupBy(window.alias("w"), *listed(keys)).agg(F.count("*").alias("packets"), total.alias("bytes"))
-    end = F.col("w.end") - F.expr("interval '0.000001' second")
-    return found.select(*listed(keys), F.col("w.start").alias("start"), end.alias("end"), "packets", "bytes")
+    timed = df.where(F.col(time_col).isNotNull())
+    times = F.min(time_col).alias("start"), F.max(time_col).alias("__last")
+    parts = timed.groupBy(*keys, bucket_at(timed, time_col, seconds(gap)).alias("__bucket")).agg(*times, F.count("*").alias("packets"), total.alias("bytes"))
+    order = f"partition by {names(keys)} order by __bucket"
+    flagged = parts.withColumn("__new", F.expr(f"case when start <= lag(__last) over ({order}) + {interval(gap)} then 0 else 1 end"))
+    numbered = flagged.withColumn("__n", F.expr(f"sum(__new) over ({order} rows unbounded preceding)"))
+    end = (F.max("__last") + F.expr(interval(gap))).alias("end")
+    return numbered.groupBy(*keys, "__n").agg(F.min("start").alias("start"), end, F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes")).drop("__n")
+
+
+def spread(sums: str, counts: str, means: str, deviations: str, mean: str) -> Column:
+    """The sample deviation of a whole from its parts' counts, means and sums of squared deviations."""
+    n = F.sum(counts)
+    between = F.sum(F.col(counts) * F.pow(F.col(means) - F.col(mean), F.lit(2)))
+    squares = F.coalesce(F.sum(deviations), F.lit(0.0)) + F.coalesce(between, F.lit(0.0))
+    return F.when(n > 1, F.sqrt(squares / (n - 1))).alias(sums)
 
 
-def flow_features(df: DataFrame, keys: str | Sequence[str], bytes_col: str = "bytes", time_col: str = "ts", order_col: str = "record_id") -> DataFrame:
-    """O29. Each flow's records, sizes, duration, and mean and deviation of the seconds between its records."""
-    previous = F.expr(f"lag(`{time_col}`) over (partition by {names(keys)} order by `{time_col}`, `{order_col}`)")
-    gaps = df.withColumn("__previous", previous).withColumn("__gap", elapsed("__previous", time_col))
-    return gaps.groupBy(*listed(keys)).agg(
+def flow_features(df: DataFrame, keys: str | Sequence[str], bytes_col: str = "bytes", time_col: str = "ts", order_col: str = "record_id", bucket: str = "1 hour") -> DataFrame:
+    """O29. Each flow's records, sizes, duration, and mean and deviation of the seconds between its records.
+
+    A flow's records are dealt over tasks by time buckets; a bucket is summed up with its first and last time, and the gaps
+    between buckets are added. Records without a time have no gap before or after them.
+    """
+    keys = listed(keys)
+    at = df.withColumn("__bucket", bucket_at(df, time_col, seconds(bucket)))
+    by = f"partition by {names(keys)}, __bucket"
+    gaps = at.withColumn("__previous", F.expr(f"lag(`{time_col}`) over ({by} order by `{time_col}`, `{order_col}`)")).withColumn("__gap", elapsed("__previous", time_col))
+    value = F.col(bytes_col)
+    parts = gaps.groupBy(*keys, "__bucket").agg(
         F.count("*").alias("packets"),
-        F.sum(bytes_col).alias("bytes"),
-        F.min(bytes_col).alias("min_bytes"),
-        F.max(bytes_col).alias("max_bytes"),
-        F.avg(bytes_col).alias("mean_bytes"),
-        F.stddev_samp(bytes_col).alias("sd_bytes"),
-        F.avg("__gap").alias("mean_gap"),
-        F.stddev_samp("__gap").alias("sd_gap"),
-        F.sum("__gap").alias("duration"),
+        F.sum(value).alias("__sum"),
+        F.count(value).alias("__n"),
+        F.avg(value).alias("__mean"),
+        (F.var_pop(value) * F.count(value)).alias("__m2"),
+        F.min(value).alias("__min"),
+        F.max(value).alias("__max"),
+        F.min(time_col).alias("__first"),
+        F.max(time_col).alias("__last"),
+        F.count("__gap").alias("__gaps"),
+        F.avg("__gap").alias("__gap_mean"),
+        (F.var_pop("__gap") * F.count("__gap")).alias("__gap_m2"),
+    )
+    parts = parts.withColumn("__before", F.expr(f"lag(__last) over (partition by {names(keys)} order by __bucket)")).withColumn("__step", elapsed("__before", "__first"))
+    whole = f"over (partition by {names(keys)})"
+    steps = parts.withColumn("__all", F.expr(f"sum(coalesce(__gap_mean * __gaps, 0) + coalesce(__step, 0)) {whole}"))
+    steps = steps.withColumn("__count", F.expr(f"sum(__gaps + if(__step is null, 0, 1)) {whole}"))
+    steps = steps.withColumn("__mid", F.try_divide("__all", "__count")).withColumn("__centre", F.expr(f"try_divide(cast(sum(__sum) {whole} as double), sum(__n) {whole})"))
+    # a gap between buckets is a part of one value
+    each = steps.withColumn("__part", F.explode(F.array(F.struct(F.col("__gaps").alias("n"), F.col("__gap_mean").alias("mean"), F.col("__gap_m2").alias("m2"), F.lit(True).alias("own")), F.struct(F.when(F.col("__step").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("n"), F.col("__step").alias("mean"), F.lit(0.0).alias("m2"), F.lit(False).alias("own")))))
+    each = each.select(*keys, "__mid", "__centre", "__all", "__count", F.col("__part.n").alias("__pn"), F.col("__part.mean").alias("__pm"), F.col("__part.m2").alias("__p2"), *[F.when(F.col("__part.own"), F.col(c)).alias(c) for c in ("packets", "__sum", "__n", "__mean", "__m2", "__min", "__max")])
+    return each.groupBy(*keys).agg(
+        F.sum("packets").alias("packets"),
+        F.sum("__sum").alias("bytes"),
+        F.min("__min").alias("min_bytes"),
+        F.max("__max").alias("max_bytes"),
+        F.first("__centre").alias("mean_bytes"),
+        spread("sd_bytes", "__n", "__mean", "__m2", "__centre"),
+        F.first("__mid").alias("mean_gap"),
+        spread("sd_gap", "__pn", "__pm", "__p2", "__mid"),
+        F.first(F.when(F.col("__count") > 0, F.col("__all"))).alias("duration"),
     )
 
 

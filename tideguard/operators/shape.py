@@ -30,14 +30,19 @@ def entropy_by_window(df: DataFrame, feature: str, size: str, time_col: str = "t
 def chi2_shift(df: DataFrame, feature: str, size: str, baseline: DataFrame, time_col: str = "ts") -> DataFrame:
     """O20. Pearson's chi-square of each window's mix of a feature against a baseline mix (feature, share).
 
-    A category of the baseline that a window lacks counts as 0 there: with t records, sum over categories of
+    Every window has a row: packets are its records in categories of the baseline, on which chi2 is taken (0 without any), and
+    outside is how many others it has, null values included; look at both, as a category that the baseline lacks has no
+    expected number. A category of the baseline that a window lacks counts as 0: with t records, sum over categories of
     (n - qt)^2 / (qt) is sum(n^2 / (qt)) - 2 n + t over those present, as shares sum to 1. So no grid of windows and
-    categories is built. Records outside the baseline's categories are left out.
+    categories is built.
     """
     mix = baseline.where("share > 0").select(feature, "share")
     counts = df.groupBy(window_start(time_col, size).alias("win"), feature).agg(F.count("*").alias("n"))
-    sums = counts.join(mix, feature).groupBy("win").agg(F.sum("n").alias("packets"), F.sum(F.col("n") * F.col("n") / F.col("share")).alias("__s"))
-    return sums.withColumn("chi2", F.col("__s") / F.col("packets") - F.col("packets")).drop("__s")
+    known = F.when(F.col("share").isNotNull(), F.col("n")).otherwise(F.lit(0))
+    squares = F.sum(F.col("n") * F.col("n") / F.col("share"))
+    sums = counts.join(mix, feature, "left").groupBy("win").agg(F.sum(known).alias("packets"), squares.alias("__s"), (F.sum("n") - F.sum(known)).alias("outside"))
+    chi2 = F.coalesce(F.try_divide(F.col("__s"), F.col("packets")) - F.col("packets"), F.lit(0.0))
+    return sums.select("win", "packets", chi2.alias("chi2"), "outside")
 
 
 def baseline_mix(df: DataFrame, feature: str) -> DataFrame:

@@ -50,9 +50,11 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, or in a local one where that is unset (tests)."""
+    """A new folder in spark.checkpoint.dir, or on a local master in a new one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tideguard-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -239,7 +241,20 @@ select t.win, t.t as packets, round(sum((coalesce(n, 0) - share * t) ** 2 / (sha
 )
 def o20_chi2_shift(spark, sf_dir):
     rows = events(spark, sf_dir)
-    return rounded(shape.chi2_shift(rows, "dst", "1 day", shape.baseline_mix(rows, "dst")), "chi2")
+    return rounded(shape.chi2_shift(rows, "dst", "1 day", shape.baseline_mix(rows, "dst")), "chi2").drop("outside")
+
+
+@query(
+    T
+    + """, q as (select dst, count(*) / sum(count(*)) over ()::double as share from traffic where dst in ('click', 'view') group by dst),
+ c as (select time_bucket(interval '1 hour', ts, timestamp '1970-01-01')::timestamp as win, dst, count(*) as n from traffic group by 1, 2),
+ w as (select win, sum(n) filter (dst in (select dst from q)) as t, sum(n) as total from c group by win)
+select w.win, coalesce(t, 0)::bigint as packets, (total - coalesce(t, 0))::bigint as outside, round(coalesce(sum((coalesce(n, 0) - share * t) ** 2 / (share * t)), 0), 6) as chi2
+ from w cross join q left join c on c.win = w.win and c.dst = q.dst group by w.win, t, total"""
+)
+def o20_chi2_outside(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return rounded(shape.chi2_shift(rows, "dst", "1 hour", shape.baseline_mix(rows.where("dst in ('click', 'view')"), "dst")), "chi2")
 
 
 GRID = T + ", grid as (select src, unnest(generate_series(min(win), max(win), interval '1 day')) as win from day group by src), dense as (select g.src, g.win::timestamp as win, coalesce(packets, 0) as packets from grid g left join day d on d.src = g.src and d.win = g.win)\n"
@@ -413,7 +428,7 @@ def o36_stream_match(spark, sf_dir):
     return drained(detect.stream_match(req, resp, "src", "6 hours", "1 hour").select("src", "req_record_id", "resp_record_id"), "o36")
 
 
-@query()
+@query(PAIRS + "select src, record_id from a where record_id not in (select req from pairs) and ts + interval '6 hours' < least((select max(ts) from a), (select max(ts) from b)) - interval '1 hour'")
 def o37_stream_unanswered(spark, sf_dir):
     req, resp = both_sides(stream(spark, sf_dir))[0], both_sides(stream(spark, sf_dir))[1]
     return drained(detect.stream_unanswered(req, resp, "src", "6 hours", "1 hour").select("src", "record_id"), "o37")
