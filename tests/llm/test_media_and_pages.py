@@ -132,6 +132,21 @@ def test_media_query(spark):
         assert r.media_bytes > r.payload_bytes and len(r.media_sha256) == 64
 
 
+def test_long_payloads_are_worked_on_in_bounded_parts(spark, monkeypatch):
+    most = []
+    decode = jpeg.decode_lanes
+    monkeypatch.setattr(jpeg, "decode_lanes", lambda lanes, *rest: most.append(sum(map(len, lanes))) or decode(lanes, *rest))
+    rng = random.Random(17)
+    data = bytes(rng.randrange(256) for _ in range(192 * 1000)) * 40
+    files = jpeg.encode_payloads([data])
+    assert b"".join(t.tobytes() for t in jpeg.thumbnails(jpeg.parse(files[0]))) == data and max(most) <= jpeg.AT_ONCE
+    monkeypatch.undo()
+    text = ("A long line of text, and on. " * 90_000)[: 192 * 8191 + 100]
+    got = jpeg.decode_media(jpeg.encode_payload(spark.createDataFrame([(text,), ("short",)], "text string"))).collect()
+    assert sorted(bytes(r.pixels).decode().rstrip() for r in got) == sorted([text.rstrip(), "short"])
+    assert {r.pictures for r in got} == {2, 1} and bytes(got[0].media) in (jpeg.encode_payloads([jpeg.padded(t.encode())])[0] for t in (text, "short"))
+
+
 # --- WARC -----------------------------------------------------------------------------------------------------------
 
 PAGES = [

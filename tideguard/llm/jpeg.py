@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import arrow_map, quoted, table, utf8, without
+from tideguard.llm.common import arrow_map, quoted, stored, table, utf8, without
 
 ACROSS = 192
 #: Rows of blocks in one picture at most: JPEG's 65,535 lines.
@@ -220,7 +220,7 @@ def thumbnails(pictures: list[Picture]) -> list[np.ndarray]:
     groups: dict[tuple, list[int]] = {}
     for i, p in enumerate(pictures):
         groups.setdefault((tuple(p.dc), tuple(p.ac), tuple(c[1:3] for c in p.components)), []).append(i)
-    for (dc, ac, sampling), members in groups.items():
+    for (dc, ac, sampling), members in ((key, all_[s]) for key, all_ in groups.items() for s in blocks_of([pictures[i].lanes for i in all_])):
         if len(sampling) == 1:
             sampling = ((1, 1),)  # one component is not interleaved: an MCU is a block
         h, v = sampling[0]
@@ -256,26 +256,35 @@ def average_hash(picture: np.ndarray) -> str:
     return np.packbits(a > a.mean()).tobytes().hex()
 
 
-def blocks_of(values: Sequence[bytes]) -> list[slice]:
-    """Slices of values of about AT_ONCE bytes each."""
+def blocks_of(values: Sequence[bytes] | Sequence[list[bytes]]) -> list[slice]:
+    """Slices of values (or of lists of lanes) of about AT_ONCE bytes each; what is longer has a slice of its own."""
     cuts, held = [0], 0
     for i, v in enumerate(values):
-        if held and held + len(v) > AT_ONCE:
+        size = len(v) if isinstance(v, bytes) else sum(map(len, v))
+        if held and held + size > AT_ONCE:
             cuts.append(i)
             held = 0
-        held += len(v)
+        held += size
     return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True)]
 
 
 def encode_payload(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add n_bytes and media: the text's UTF-8 bytes, padded with spaces to a positive multiple of 192, as JPEG.
 
-    A null text is empty (192 spaces). Texts of any length are stored whole; equal texts give equal media.
+    A null text is empty (192 spaces). Texts of any length are stored whole, a picture at a time; equal texts give equal media.
+    Repeated rows stay; columns named as an output are replaced; an empty table gives an empty one.
     """
+    picture = MOST_ROWS * ACROSS
 
     def start():
+        def encoded(values):
+            """Payloads up to a picture's size together, longer ones picture by picture."""
+            if len(values) > 1 or len(values[0]) <= picture:
+                return encode_payloads(values)
+            return [b"".join(encode_payloads([values[0][at : at + picture]])[0] for at in range(0, len(values[0]), picture))]
+
         def compute(values):
-            media = [m for s in blocks_of(values) for m in encode_payloads([padded(v) for v in values[s]])]
+            media = [m for s in blocks_of(values) for m in encoded([padded(v) for v in values[s]])]
             return [len(v) for v in values], media
 
         return compute
@@ -287,7 +296,8 @@ def decode_media(df: DataFrame, *, media: str = "media", keep: list[str] | None
     """Add width, height, pictures, pixels (the thumbnails' bytes), feature and error, read from a JPEG column.
 
     What is null or isn't baseline JPEG has an error and nulls. feature is size, pictures and the average hash of all
-    thumbnails below one another. Columns named as an output are replaced.
+    thumbnails below one another. Pictures are decoded AT_ONCE bytes at a time, or one by one if they are larger.
+    Repeated rows stay; columns named as an output are replaced; an empty table gives an empty one.
     """
 
     def start():
@@ -332,7 +342,9 @@ def decode_media(df: DataFrame, *, media: str = "media", keep: list[str] | None
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    read = decode_media(encode_payload(docs, keep=["doc_id"]).withColumn("media_sha256", F.sha2("media", 256)).withColumn("media_bytes", F.length("media").cast("bigint")), keep=["doc_id", "n_bytes", "media_sha256", "media_bytes"])
+    media = stored(encode_payload(docs, keep=["doc_id"]), "media", compression="zstd")
+    marked = media.withColumn("media_sha256", F.sha2("media", 256)).withColumn("media_bytes", F.length("media").cast("bigint"))
+    read = decode_media(marked, keep=["doc_id", "n_bytes", "media_sha256", "media_bytes"])
     return read.select(
         "doc_id",
         "n_bytes",
