@@ -404,6 +404,50 @@ def test_toxicity_of_given_documents(spark):
     assert hit[1, 1] / (hit[1, 1] + hit[1, 0]) > 0.85 and hit[0, 1] / (hit[0, 0] + hit[0, 1]) < 0.01
 
 
+def plain_score(text, model):
+    """The machine's score by a sum over all terms and all pairs of them, from words on."""
+    counts = Counter()
+    for word in re.findall(r"\w+", (text or "").lower()):
+        places = {zlib.crc32(word.encode("utf-32-le", "replace")) % (1 << 24)}
+        places |= {zlib.crc32(word[:k].encode("utf-32-le", "replace"), 1) % (1 << 24) for k in range(3, 8) if k < len(word)}
+        counts.update(places)
+    x = {model.index[b]: 1 + math.log(n) for b, n in counts.items() if b in model.index}
+    value = model.bias + sum(float(model.weights[i]) * v for i, v in x.items())
+    value += sum(float(np.dot(model.factors[i].astype(float), model.factors[j].astype(float))) * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, value))))
+
+
+def test_scores_equal_sums_over_pairs(spark, odd_rows):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.limit(60).collect()] + [r[1] for r in odd_rows[:14]]
+    for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect():
+        assert abs(r.score - plain_score(r.text, model)) < 1e-4 and r.predicted == (r.score >= 0.5)
+
+
+def test_terms_are_those_of_largest_chi_square(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TERMS", 300)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = [(r.doc_id, r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in text]
+    seen = {0: Counter(), 1: Counter()}
+    for i, y in known:
+        words = set(re.findall(r"\w+", (text[i] or "").lower()))
+        seen[y].update({zlib.crc32(w.encode("utf-32-le")) % (1 << 24) for w in words} | {zlib.crc32(w[:k].encode("utf-32-le"), 1) % (1 << 24) for w in words for k in range(3, 8) if k < len(w)})
+    n1 = sum(y for _, y in known)
+    n0, chi = len(known) - n1, {}
+    for b in set(seen[0]) | set(seen[1]):
+        n = seen[0][b] + seen[1][b]
+        if n >= 3:
+            chi[b] = (seen[1][b] * n0 - seen[0][b] * n1) ** 2 / (n * (n0 + n1 + 1 - n))
+    want = sorted(chi, key=lambda b: (-chi[b], b))[:300]
+    least = chi[want[-1]]
+    assert len(model.index) == 300 and {b for b in model.index if chi[b] > least * 1.000001} == {b for b in want if chi[b] > least * 1.000001}
+    assert all(chi[b] >= least * 0.999999 for b in model.index)
+
+
+
 # --- line labels ----------------------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: made: the folders named so far in each scratch() block that this thread has open.
+_SCRATCH = threading.local()
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_SCRATCH, "made", []):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, every folder that was named within it. What the block keeps it writes elsewhere."""
+    made: list[str] = []
+    outer = getattr(_SCRATCH, "made", [])
+    _SCRATCH.made = [*outer, made]
+    try:
+        yield
+    finally:
+        _SCRATCH.made = outer
+        discard(spark, *made)
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None, path: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stored_at = path

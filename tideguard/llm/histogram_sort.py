@@ -7,6 +7,8 @@ narrowing the probes around each target, which moves a few numbers a round and n
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tideguard.llm.common import extended, quoted, stored, table, utf8, without
 
-#: Probes a splitter and round, and about the most rows that one task ranks.
-PROBES, ROWS_PER_CHUNK = 32, 500_000
+#: Probes a splitter and round, and about the most rows that one task ranks (it sorts a few numbers a row, and spills if need be).
+#: The splitters inside shards are as many as rows by ROWS_PER_CHUNK: some 25,000 for 5e10 rows, whose probes are 6 MB.
+PROBES, ROWS_PER_CHUNK = 32, 2_000_000
 #: A splitter may miss its target by this share of a shard; splits inside a shard, by rows, by more, as they balance only tasks.
 TOLERANCE, INNER_TOLERANCE = 0.001, 0.2
 KEYS = ["__k1", "__k2", "__k3"]
@@ -65,13 +68,12 @@ def splitters(keys: DataFrame, targets: list[float], tolerances: list[float], to
         for i in now:
             s = state[i]
             base = s.get("base", (0, 0))
-            for v, b, n in zip(asked[s["prefix"]], *got[s["prefix"]], strict=True):
-                b, n = b + base[0], n + base[1]
-                if s["lo"][0] < v and b <= targets[i]:
-                    s["lo"] = (v, b, n)
-                elif v < s["hi"][0] and b > targets[i]:
-                    s["hi"] = (v, b, n)
-                    break
+            values, sizes, numbers = asked[s["prefix"]], *got[s["prefix"]]
+            above = bisect_right(sizes, targets[i] - base[0])  # bytes below probes ascend
+            if above and values[above - 1] > s["lo"][0]:
+                s["lo"] = (values[above - 1], sizes[above - 1] + base[0], numbers[above - 1] + base[1])
+            if above < len(values) and values[above] < s["hi"][0]:
+                s["hi"] = (values[above], sizes[above] + base[0], numbers[above] + base[1])
             near = min((s["lo"], s["hi"]), key=lambda x: abs(x[1] - targets[i]))
             if abs(near[1] - targets[i]) <= tolerances[i] or s["hi"][0] - s["lo"][0] <= 1 and level + 1 == len(KEYS):
                 done[i] = ((*s["prefix"], near[0], *[LOWEST] * (len(KEYS) - level - 1)), near[1], near[2])
