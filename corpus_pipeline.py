@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tideguard.llm import best_fit, line_crf, poisson_mix, simhash, toxicity
-from tideguard.llm.common import stored, table
+from tideguard.llm.common import discard, new_path, scratch, stored, table
 from tideguard.plans.cluster import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -68,9 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces. A stage's own files go once its result is written, and that result once the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, path=path)
+        discard(spark, *before)
+        before = [path]
     return docs
 
 
