@@ -95,6 +95,40 @@ def test_any_baseline_jpeg(sampling, interval):
     assert all(np.array_equal(t, w) for t, w in zip(thumbs, want, strict=True))
 
 
+def scans_apart(planes, sampling, interval, rng, order, size):
+    """A colour JPEG with a scan a component, in the given order; size: its width and height. AC terms are left out."""
+    h, v = max(x for x, _ in sampling), max(y for _, y in sampling)
+    table = lambda kind, code: jpeg.segment(0xC4, bytes([kind] + [len(code) if i == 3 else 0 for i in range(16)] + list(code)))
+    frame = struct.pack(">BHHB", 8, size[1], size[0], 3) + b"".join(bytes([i + 1, x << 4 | y, 0]) for i, (x, y) in enumerate(sampling))
+    out = b"\xff\xd8" + jpeg.segment(0xDB, bytes([0] + [16] * 64)) + table(0, range(12)) + table(0x10, [0]) + jpeg.segment(0xDD, struct.pack(">H", interval)) + jpeg.segment(0xC0, frame)
+    for c in order:
+        x, y = sampling[c]
+        across, down = -(-(-(-size[0] * x // h)) // 8), -(-(-(-size[1] * y // v)) // 8)
+        bits, last, scan = [], 0, b""
+        for n, dc in enumerate(planes[c][:down, :across].reshape(-1).tolist()):
+            if interval and n and n % interval == 0:
+                scan += bits_of(bits) + bytes([0xFF, 0xD0 + (n // interval - 1) % 8])
+                bits, last = [], 0
+            d, last = dc - last, dc
+            s = abs(d).bit_length()
+            bits += [(s, 4), (d if d >= 0 else d + (1 << s) - 1, s), (0, 4)]
+        out += jpeg.segment(0xDA, bytes([1, c + 1, 0, 0, 63, 0])) + scan + bits_of(bits)
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling", [[(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1), (2, 2), (1, 1)]])
+@pytest.mark.parametrize("interval", [0, 3])
+def test_components_in_scans_of_their_own(sampling, interval):
+    rng = random.Random(18)
+    for order in ((0, 1, 2), (2, 0, 1)):
+        for size in ((8, 8), (50, 33), (17, 100)):
+            planes = [np.array([[rng.randint(-60, 60) for _ in range(40)] for _ in range(40)]) for _ in sampling]
+            got = jpeg.thumbnails(jpeg.parse(scans_apart(planes, sampling, interval, rng, order, size)))[0]
+            x, y = sampling[0]
+            across, down = math.ceil(math.ceil(size[0] * x / max(a for a, _ in sampling)) / 8), math.ceil(math.ceil(size[1] * y / max(b for _, b in sampling)) / 8)
+            assert np.array_equal(got, np.clip(planes[0][:down, :across] * 2 + 128, 0, 255))
+
+
 def test_payloads_are_lossless(monkeypatch):
     rng = random.Random(2)
     payloads = [jpeg.padded(bytes(rng.randrange(256) for _ in range(n))) for n in (0, 1, 191, 192, 193, 5000)] + [b"\xff" * 1920, b"\x00\xff" * 960]
@@ -120,6 +154,8 @@ def test_broken_media(spark):
     got = {r.id: r for r in jpeg.decode_media(spark.createDataFrame(rows, "id int, media binary").coalesce(1)).collect()}
     assert [i for i in got if got[i].error is None] == [1, 8]
     assert all(got[i].pixels is None for i in (2, 3, 4, 5, 6, 7))
+    bare = jpeg.decode_media(spark.createDataFrame([(good[: good.index(b"\xff\xda")] + b"\xff\xd9",), (b"\xff\xd8\xff\xd9",), (good,)], "media binary").coalesce(1)).collect()
+    assert [r.error for r in bare] == ["no scan of luminance", "no scan of luminance", None]
 
 
 def test_media_query(spark):

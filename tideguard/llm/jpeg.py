@@ -1,7 +1,7 @@
 """Media columns: baseline JPEG files, their parsing and Huffman decoding, and DC-only luminance thumbnails, in numpy.
 
-decode_media() reads any baseline (SOF0) grey or colour JPEG: it parses the markers, decodes the scan, keeps each luminance
-block's DC term, and so gives the picture at an eighth of its size. Scans are decoded in lockstep: restart
+decode_media() reads any baseline (SOF0) grey or colour JPEG: it parses the markers, decodes the scan that holds luminance,
+alone or with other components, keeps each luminance block's DC term, and so gives the picture at an eighth of its size. Scans are decoded in lockstep: restart
 intervals are independent of each other, so each step decodes the next block of thousands of them at once.
 
 encode_payload() stores bytes without loss in that format: a byte is the DC term of one grey 8 x 8 block, quantised by 8,
@@ -92,7 +92,21 @@ def encode_payloads(payloads: Sequence[bytes]) -> list[bytes]:
 class Picture:
     """One parsed baseline JPEG: its frame, tables and entropy-coded scan, cut at restart markers."""
 
-    __slots__ = ("ac", "components", "dc", "height", "interval", "lanes", "quant", "width")
+    __slots__ = ("ac", "components", "dc", "height", "interval", "lanes", "quant", "scan", "width")
+
+    def layout(self) -> tuple[int, int, int, int]:
+        """The luminance scan's MCUs across and down, and its blocks across and down one. A scan of one component has MCUs of a
+        block, as many as its own size needs; in others they are as many as the largest sampling factors need."""
+        _, h, v, _ = self.components[0]
+        most_h, most_v = max(c[1] for c in self.components), max(c[2] for c in self.components)
+        if len(self.scan) == 1:
+            return -(-(-(-self.width * h // most_h)) // 8), -(-(-(-self.height * v // most_v)) // 8), 1, 1
+        return -(-self.width // (8 * most_h)), -(-self.height // (8 * most_v)), h, v
+
+    def blocks(self) -> tuple[int, int]:
+        """Luminance blocks across and down that show the picture."""
+        _, h, v, _ = self.components[0]
+        return -(-(-(-self.width * h // max(c[1] for c in self.components))) // 8), -(-(-(-self.height * v // max(c[2] for c in self.components))) // 8)
 
 
 SCAN_END = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]")
@@ -112,6 +126,8 @@ def parse(data: bytes) -> list[Picture]:
         elif marker == 0xD8:
             picture, quant, huffman, interval = Picture(), {}, {}, 0
         elif marker == 0xD9:
+            if not hasattr(picture, "lanes"):
+                raise ValueError("no scan of luminance")
             found.append(picture)
         else:
             (length,) = struct.unpack_from(">H", data, at)
@@ -136,15 +152,15 @@ def parse(data: bytes) -> list[Picture]:
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
                 raise ValueError("not baseline")
             elif marker == 0xDA:
-                if body[0] != len(picture.components):
-                    raise ValueError("components in scans of their own")
                 chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-                picture.dc = [huffman[chosen[c[0]] >> 4] for c in picture.components]
-                picture.ac = [huffman[16 + (chosen[c[0]] & 15)] for c in picture.components]
-                picture.quant, picture.interval = quant[picture.components[0][3]], interval
                 end = SCAN_END.search(data, at)
                 stop = end.start() if end else len(data)
-                picture.lanes = [x.replace(b"\xff\x00", b"\xff") for x in RESTART.split(data[at:stop])]
+                if picture.components[0][0] in chosen:  # a scan without luminance is passed over
+                    picture.scan = [c for c in picture.components if c[0] in chosen]
+                    picture.dc = [huffman[chosen[c[0]] >> 4] for c in picture.scan]
+                    picture.ac = [huffman[16 + (chosen[c[0]] & 15)] for c in picture.scan]
+                    picture.quant, picture.interval = quant[picture.scan[0][3]], interval
+                    picture.lanes = [x.replace(b"\xff\x00", b"\xff") for x in RESTART.split(data[at:stop])]
                 at = stop
     return found
 
@@ -219,30 +235,28 @@ def thumbnails(pictures: list[Picture]) -> list[np.ndarray]:
     result: list = [None] * len(pictures)
     groups: dict[tuple, list[int]] = {}
     for i, p in enumerate(pictures):
-        groups.setdefault((tuple(p.dc), tuple(p.ac), tuple(c[1:3] for c in p.components)), []).append(i)
+        groups.setdefault((tuple(p.dc), tuple(p.ac), tuple(c[1:3] for c in p.scan)), []).append(i)
     for (dc, ac, sampling), members in ((key, all_[s]) for key, all_ in groups.items() for s in blocks_of([pictures[i].lanes for i in all_])):
         if len(sampling) == 1:
-            sampling = ((1, 1),)  # one component is not interleaved: an MCU is a block
-        h, v = sampling[0]
-        most = max(x for x, _ in sampling), max(y for _, y in sampling)
+            sampling = ((1, 1),)
         blocks = [(c, dc[c], ac[c]) for c, (x, y) in enumerate(sampling) for _ in range(x * y)]
         lanes, units, spans = [], [], []
         for i in members:
             p = pictures[i]
-            across, down = -(-p.width // (8 * most[0])), -(-p.height // (8 * most[1]))
+            across, down, h, v = p.layout()
             total, each = across * down, p.interval or across * down
             if len(p.lanes) != -(-total // each):
                 raise ValueError("restart intervals are missing")
-            spans.append((len(lanes), len(p.lanes), across, down))
+            spans.append((len(lanes), len(p.lanes), across, down, h, v))
             lanes += p.lanes
             units += [min(each, total - k * each) for k in range(len(p.lanes))]
         terms = decode_lanes(lanes, np.array(units, np.int64), blocks)
-        for i, (first, n, across, down) in zip(members, spans, strict=True):
+        for i, (first, n, across, down, h, v) in zip(members, spans, strict=True):
             p = pictures[i]
             flat = terms[first : first + n].reshape(-1, h * v)[: across * down]
             grid = flat.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-            wide = -(-(-(-p.width * h // most[0])) // 8), -(-(-(-p.height * v // most[1])) // 8)
-            grid = grid[: wide[1], : wide[0]].astype(np.int64)
+            wide, high = p.blocks()
+            grid = grid[:high, :wide].astype(np.int64)
             result[i] = np.clip((grid * p.quant + 4) // 8 + 128, 0, 255).astype(np.uint8)
     return result
 
