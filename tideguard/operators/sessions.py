@@ -69,8 +69,13 @@ def flow_features(df: DataFrame, keys: str | Sequence[str], bytes_col: str = "by
     steps = steps.withColumn("__count", F.expr(f"sum(__gaps + if(__step is null, 0, 1)) {whole}"))
     steps = steps.withColumn("__mid", F.try_divide("__all", "__count")).withColumn("__centre", F.expr(f"try_divide(cast(sum(__sum) {whole} as double), sum(__n) {whole})"))
     # a gap between buckets is a part of one value
-    each = steps.withColumn("__part", F.explode(F.array(F.struct(F.col("__gaps").alias("n"), F.col("__gap_mean").alias("mean"), F.col("__gap_m2").alias("m2"), F.lit(True).alias("own")), F.struct(F.when(F.col("__step").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("n"), F.col("__step").alias("mean"), F.lit(0.0).alias("m2"), F.lit(False).alias("own")))))
-    each = each.select(*keys, "__mid", "__centre", "__all", "__count", F.col("__part.n").alias("__pn"), F.col("__part.mean").alias("__pm"), F.col("__part.m2").alias("__p2"), *[F.when(F.col("__part.own"), F.col(c)).alias(c) for c in ("packets", "__sum", "__n", "__mean", "__m2", "__min", "__max")])
+    stepped = F.when(F.col("__step").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    inner = F.struct(F.col("__gaps").alias("n"), F.col("__gap_mean").alias("mean"), F.col("__gap_m2").alias("m2"), F.lit(True).alias("own"))
+    outer = F.struct(stepped.alias("n"), F.col("__step").alias("mean"), F.lit(0.0).alias("m2"), F.lit(False).alias("own"))
+    each = steps.withColumn("__part", F.explode(F.array(inner, outer)))
+    sizes = [F.when(F.col("__part.own"), F.col(c)).alias(c) for c in ("packets", "__sum", "__n", "__mean", "__m2", "__min", "__max")]
+    gap_parts = [F.col(f"__part.{c}").alias(f"__part_{c}") for c in ("n", "mean", "m2")]
+    each = each.select(*keys, "__mid", "__centre", "__all", "__count", *gap_parts, *sizes)
     return each.groupBy(*keys).agg(
         F.sum("packets").alias("packets"),
         F.sum("__sum").alias("bytes"),
@@ -79,7 +84,7 @@ def flow_features(df: DataFrame, keys: str | Sequence[str], bytes_col: str = "by
         F.first("__centre").alias("mean_bytes"),
         spread("sd_bytes", "__n", "__mean", "__m2", "__centre"),
         F.first("__mid").alias("mean_gap"),
-        spread("sd_gap", "__pn", "__pm", "__p2", "__mid"),
+        spread("sd_gap", "__part_n", "__part_mean", "__part_m2", "__mid"),
         F.first(F.when(F.col("__count") > 0, F.col("__all"))).alias("duration"),
     )
 

@@ -195,6 +195,12 @@ def o14_approx_top_talkers(spark, sf_dir):
     return rates.approx_top_talkers(events(spark, sf_dir), "src", 10)
 
 
+@query(T + "select src, count(*) as packets from traffic group by src")
+def o14_approx_all_talkers(spark, sf_dir):
+    """Exact, as the sketch tracks more keys than there are; with more it would estimate."""
+    return rates.approx_top_talkers(events(spark, sf_dir), "src", 100_000, 1_000_000)
+
+
 @query(T + "select date_trunc('day', ts)::timestamp as win, dst, count(distinct src) as peers from traffic group by 1, 2")
 def o15_distinct_peers(spark, sf_dir):
     return rates.distinct_peers(events(spark, sf_dir), "dst", "src", "1 day")
