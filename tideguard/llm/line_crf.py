@@ -159,6 +159,10 @@ class Lines:
             hi = lo + r["sizes"][i]
             self.x[w, : hi - lo], self.words[w, : hi - lo], self.mask[w, : hi - lo] = r["lines"][lo:hi], r["words"][lo:hi], True
             hashes.append(r["hashes"][lo:hi])
+        length = self.mask.sum(axis=1)
+        # windows of similar length, cut to the longest of them
+        groups = [(np.flatnonzero((length > least) & (length <= n)), n) for least, n in ((0, 2), (2, 4), (4, 8), (8, 16), (16, WINDOW))]
+        self.parts = [(at, n, self.x[at, :n], self.mask[at, :n]) for at, n in groups if len(at)]
         found = recurring(hashes, self.doc_of.tolist())
         for w, own in enumerate(hashes):
             self.recurs[w, : len(own)] = [h in found for h in own]
@@ -189,29 +193,31 @@ class Lines:
 
 def gradient(params: np.ndarray, lines: Lines, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the negative log-likelihood of targets y, by forward-backward sums; and the probability of content of each line."""
-    mask, pairs = lines.mask, lines.mask[:, 1:]
     moves = params[N_FEATURES:].reshape(2, 2)
-    emit = params[lines.x].sum(axis=2)
-    e = np.stack([np.zeros(mask.shape), emit], axis=2)
-    forward, backward = np.zeros_like(e), np.zeros_like(e)
-    forward[:, 0] = e[:, 0]
-    for t in range(1, WINDOW):
-        go = np.logaddexp(forward[:, t - 1, :1] + moves[0], forward[:, t - 1, 1:] + moves[1]) + e[:, t]
-        forward[:, t] = np.where(mask[:, t, None], go, forward[:, t - 1])
-    for t in range(WINDOW - 2, -1, -1):
-        ahead = e[:, t + 1] + backward[:, t + 1]
-        go = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
-        backward[:, t] = np.where(mask[:, t + 1, None], go, backward[:, t + 1])
-    norm = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-    content = np.exp(forward[:, :, 1] + backward[:, :, 1] - norm[:, None]) * mask
-    grad = np.zeros_like(params)
-    grad[:N_FEATURES] = np.bincount(lines.x.reshape(-1), np.repeat((content - y).reshape(-1), len(SIZES)), N_FEATURES)
-    for a in (0, 1):
-        for b in (0, 1):
-            joint = np.exp(forward[:, :-1, a] + moves[a, b] + e[:, 1:, b] + backward[:, 1:, b] - norm[:, None]) * pairs
-            seen = (y[:, :-1] == a) & (y[:, 1:] == b) & pairs
-            grad[N_FEATURES + 2 * a + b] = joint.sum() - seen.sum()
-    return grad / mask.sum() + DECAY * params, content
+    grad, content = np.zeros_like(params), np.zeros(lines.mask.shape)
+    for at, n, x, mask in lines.parts:
+        target, pairs = y[at, :n], mask[:, 1:]
+        emit = params[x].sum(axis=2)
+        e = np.stack([np.zeros(mask.shape), emit], axis=2)
+        forward, backward = np.zeros_like(e), np.zeros_like(e)
+        forward[:, 0] = e[:, 0]
+        for t in range(1, n):
+            go = np.logaddexp(forward[:, t - 1, :1] + moves[0], forward[:, t - 1, 1:] + moves[1]) + e[:, t]
+            forward[:, t] = np.where(mask[:, t, None], go, forward[:, t - 1])
+        for t in range(n - 2, -1, -1):
+            ahead = e[:, t + 1] + backward[:, t + 1]
+            go = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
+            backward[:, t] = np.where(mask[:, t + 1, None], go, backward[:, t + 1])
+        norm = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+        likely = np.exp(forward[:, :, 1] + backward[:, :, 1] - norm[:, None]) * mask
+        content[at, :n] = likely
+        grad[:N_FEATURES] += np.bincount(x.reshape(-1), np.repeat((likely - target).reshape(-1), len(SIZES)), N_FEATURES)
+        for a in (0, 1):
+            for b in (0, 1):
+                joint = np.exp(forward[:, :-1, a] + moves[a, b] + e[:, 1:, b] + backward[:, 1:, b] - norm[:, None]) * pairs
+                seen = (target[:, :-1] == a) & (target[:, 1:] == b) & pairs
+                grad[N_FEATURES + 2 * a + b] += joint.sum() - seen.sum()
+    return grad / lines.mask.sum() + DECAY * params, content
 
 
 def fit_field(rows: list[dict]) -> Field:
