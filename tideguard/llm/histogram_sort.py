@@ -75,7 +75,8 @@ def splitters(keys: DataFrame, targets: list[float], tolerances: list[float], to
             if above < len(values) and values[above] < s["hi"][0]:
                 s["hi"] = (values[above], sizes[above] + base[0], numbers[above] + base[1])
             near = min((s["lo"], s["hi"]), key=lambda x: abs(x[1] - targets[i]))
-            if abs(near[1] - targets[i]) <= tolerances[i] or s["hi"][0] - s["lo"][0] <= 1 and level + 1 == len(KEYS):
+            single = s["hi"][2] - s["lo"][2] <= 1  # one row is left between the bounds, and no cut goes through it
+            if single or abs(near[1] - targets[i]) <= tolerances[i] or s["hi"][0] - s["lo"][0] <= 1 and level + 1 == len(KEYS):
                 done[i] = ((*s["prefix"], near[0], *[LOWEST] * (len(KEYS) - level - 1)), near[1], near[2])
             elif s["hi"][0] - s["lo"][0] <= 1:  # one key value spans the target: cut inside its rows
                 state[i] = {"prefix": (*s["prefix"], s["lo"][0]), "base": s["lo"][1:], "lo": (LOWEST, *s["lo"][1:]), "hi": (HIGHEST, *s["hi"][1:])}
