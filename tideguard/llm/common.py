@@ -88,12 +88,17 @@ def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
 HOT_SHARE, SALTS = 1_024, 64
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
-    """rows joined with keyed, which has one row a key. The rows of hot keys stay where they are: the at most HOT_SHARE rows
-    of keyed that they need are broadcast. rows should be stored, as they're read several times."""
-    n = rows.count()
+def hot_keys(rows: DataFrame, key: str, n: int | None = None) -> list:
+    """The keys of at least one in HOT_SHARE of the n rows (counted unless given), null left out; HOT_SHARE at most."""
+    n = rows.count() if n is None else n
     found = rows.groupBy(key).count().where(F.col("count") * HOT_SHARE >= n).select(key).collect()
-    hot = [r[0] for r in found if r[0] is not None]
+    return [r[0] for r in found if r[0] is not None]
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, hot: list | None = None) -> DataFrame:
+    """rows joined with keyed, which has one row a key. The rows of hot keys (found unless given) stay where they are: the at most
+    HOT_SHARE rows of keyed that they need are broadcast. rows should be stored, as they're read several times."""
+    hot = hot_keys(rows, key) if hot is None else hot
     if not hot:
         return rows.join(keyed, key)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import arrow_map, discard, quoted, spread_join, stored, table, utf8, without
+from tideguard.llm.common import arrow_map, discard, hot_keys, quoted, spread_join, stored, table, utf8, without
 
 #: Fingerprints of a shard at most (as the sample judges it). There are as many shards as parallel tasks if these are fewer
 #: but not below LEAST_SHARD.
@@ -277,11 +277,12 @@ def connected(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = stored(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
     roots = stored(both.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root")), "roots")
+    nodes, hubs = roots.count(), hot_keys(both, "other")
     while True:
-        seen = spread_join(both, roots.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("seen"))
+        seen = spread_join(both, roots.select(F.col("node").alias("other"), "root"), "other", hubs).groupBy("node").agg(F.min("root").alias("seen"))
         passed = stored(roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root")), "passed")
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = stored(spread_join(passed, up, "root").select("node", "old", F.least("root", "above").alias("root")), "roots")
+        jumped = stored(spread_join(passed, up, "root", hot_keys(passed, "root", nodes)).select("node", "old", F.least("root", "above").alias("root")), "roots")
         discard(spark, roots, passed)
         roots = jumped.select("node", "root")
         roots.stored_at = jumped.stored_at
