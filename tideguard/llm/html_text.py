@@ -46,8 +46,8 @@ ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 PARTS = re.compile(r"[^\W\d_]+")
 #: Kinds of lines: boilerplate, outside containers, prose of one, and other blocks in one.
 OUT, PLAIN, BODY, BLOCK = range(4)
-#: Bytes of the rows that an alignment holds at once; beyond them it halves the page.
-ROW_BYTES = 1 << 22
+#: Bytes of the rows that an alignment holds at once; beyond them it halves the page. Lines with so many places are frequent.
+ROW_BYTES, FREQUENT = 1 << 22, 64
 
 
 def excluded(tag: str, attrs: str, in_root: bool) -> bool:
@@ -144,20 +144,30 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
 
 def rows_of(a: list[int], b: list[int]):
     """After each item of a, the bits of b at which the longest common subsequence of their starts grows are 0."""
-    where: dict[int, int] = {}
+    where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
+        where.setdefault(x, []).append(j)
+
+    def mask(x: int) -> int:
+        bits = 0
+        for j in where.get(x, ()):
+            bits |= 1 << j
+        return bits
+
+    # masks as long as b are held for frequent items alone, which are few
+    frequent = {x: mask(x) for x, at in where.items() if len(at) >= FREQUENT}
     full = (1 << len(b)) - 1
     v = full
     for x in a:
-        u = v & where.get(x, 0)
+        u = v & (frequent[x] if x in frequent else mask(x))
         v = ((v + u) | (v - u)) & full
         yield v
 
 
 def lengths(a: list[int], b: list[int]) -> np.ndarray:
     """The length of the longest common subsequence of a and each start of b."""
-    *_, last = rows_of(a, b)
+    for last in rows_of(a, b):  # noqa: B007, only the last is needed, and not all at once
+        pass
     bits = np.unpackbits(np.frombuffer(last.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little", count=len(b))
     return np.r_[0, (1 - bits.astype(np.int64)).cumsum()]
 
@@ -202,15 +212,21 @@ def main_text(lines: list[str], kinds: list[int], own: list[int], other: list[in
     if copy == len(own):
         shared = set()
     inside = sum(len(x) for x, k in zip(lines, kinds, strict=True) if k in (BODY, BLOCK))
-    rooted = inside and inside >= sum(len(x) for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == PLAIN and i not in shared)
-    kept = [x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if (k == BODY if rooted and i in shared else k in (BODY, BLOCK) if rooted else k and i not in shared)]
-    return "\n".join(kept), copy
+    outside = sum(len(x) for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == PLAIN and i not in shared)
+    rooted = inside and inside >= outside
+
+    def stays(i: int) -> bool:
+        if rooted:
+            return kinds[i] == BODY or kinds[i] == BLOCK and i not in shared
+        return kinds[i] != OUT and i not in shared
+
+    return "\n".join(x for i, x in enumerate(lines) if stays(i)), copy
 
 
 def neighbours(rows: DataFrame, ids: list[str]) -> DataFrame:
     """Rows of ids, host, path, hashes -> ids, other: the hashes of the neighbour in (host, path) order, of the same host,
-    whose path has the longer common start (the one before on a tie); one with other hashes goes before a copy. A range sort gives ranks; a join on
-    rank - 1 and rank + 1 then finds neighbours, so a host with any share of the pages is spread over tasks."""
+    whose path has the longer common start (the one before on a tie); one with other hashes goes before a copy. A range sort
+    gives ranks; a join on rank - 1 and rank + 1 then finds neighbours, so a host with any share of the pages is spread."""
     width = 33
     ordered = rows.repartitionByRange("host", "path", *ids).sortWithinPartitions("host", "path", *ids)
     ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
