@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import extended, quoted, stored, table, utf8, without
+from tideguard.llm.common import discard, extended, quoted, stored, table, utf8, without
 
 #: Pieces that one task of the first round packs on average, and tasks whose leavings one task merges.
 PIECES_PER_TASK, FAN_IN = 200_000, 8
@@ -233,6 +233,7 @@ def pack_documents(
     rows = stored(pieces(plain, model, capacity=capacity, keep=held), "pieces")
     tasks = max(1, -(-rows.count() // pieces_per_task))
     placed = stored(first_round(rows, tasks, capacity), "bins")
+    discard(docs.sparkSession, rows)
     moved = None
     if tasks > 1:
         sizes = placed.groupBy("bin").agg(F.sum("length").alias("size"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.llm.common import arrow_map, quoted, stored, table, utf8, without
+from tideguard.llm.common import arrow_map, discard, quoted, stored, table, utf8, without
 
 #: Labelled rows that are fitted at most (drawn by a hash of the id), terms of the model, and factors of a term.
 #: TERMS is feature selection, by chi-square: on 825 held-out documents, 97 of them toxic, 256 terms find 89 with 4 clean ones
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
 
     # at most fit_rows short vectors, as Arrow arrays, in an order that does not depend on the tasks
     got = sample.mapInArrow(vectors, "key bigint, at array<int>, x array<float>, y int").toArrow().combine_chunks()
+    discard(docs.sparkSession, sample)
     y = got.column("y").to_numpy()
     order = np.lexsort((y, got.column("key").to_numpy()))
     at, x = (got.column(c).chunk(0) if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "x"))

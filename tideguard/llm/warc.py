@@ -270,6 +270,7 @@ def archive_pages(
     repeats = stored(resolve(headers, least), "revisits")
     kept = rewritten(spark, raw, clean).join(repeats.select("record_id"), "record_id", "left_anti").select("value")
     write_archives(kept.unionByName(revisits(repeats, clean)), clean)
+    discard(spark, headers, repeats)
     return raw, clean
 
 
