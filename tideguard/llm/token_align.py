@@ -24,7 +24,7 @@ from tideguard.llm.best_fit import byte_ranks
 from tideguard.llm.common import discard, extended, quoted, stored, table, utf8, without
 
 #: Parts whose alignment one worker keeps, and their most characters; parts that are aligned in one product, by their characters.
-CACHE, LONGEST_CACHED, AT_ONCE = 200_000, 48, 200_000
+CACHE, LONGEST_CACHED, AT_ONCE = 250_000, 48, 32_000
 #: Pairs that hold at least one in so many of all (document, pair) rows are sent to the tasks: so many at most, 16 bytes each.
 FREQUENT = 1 << 19
 #: A space between two characters that are no white space: no token of either tokenizer goes across it.
@@ -139,15 +139,13 @@ def pieces(path: str) -> Tokens:
     return Tokens(lambda texts: model.encode(texts, num_threads=1), entries, splits)
 
 
-class Part(NamedTuple):
-    """The alignment of one part of a text: keys holds A id * 2^32 + B id for each link."""
+#: What is known of a part: tokens of A and of B, groups, shared-group links, the written groups, and A id * 2^32 + B id of each link as bytes.
+Part = tuple[int, int, int, int, bytes, bytes]
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_group_links: int
-    groups: bytes
-    keys: np.ndarray
+
+def enders(n: int, marks: str) -> np.ndarray:
+    """The decimal of each id under n followed by each mark: that of mark k at id + k * n."""
+    return np.array([f"{i}{m}" for m in marks for i in range(n)], object)
 
 
 class Aligner(dict):
@@ -158,62 +156,71 @@ class Aligner(dict):
         self.a, self.b = byte_level(path_a), pieces(path_b)
         self.splits = self.a.splits and self.b.splits
         self.len_a, self.len_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
-        self.names_a, self.names_b = ([str(i) for i in range(len(t.bytes))] for t in (self.a, self.b))
+        # an id is followed by another of its side, by the other side, and on B's side by the next group or the end of the part
+        self.names_a, self.names_b = enders(len(self.len_a), ",|"), enders(len(self.len_b), ",;\n")
 
     def cut(self, text: str) -> list[str]:
         """Parts that both tokenizers encode as they do within the text; each regains the space before it."""
         return CUT.split(text) if self.splits else [text]
 
+    def tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both tokenizers for parts beside each other, or None if either's tokens don't spell them."""
+        joined = " ".join(parts)
+        a, b = self.a.encode([" " + joined])[0], self.b.encode([joined])[0]
+        data = (" " + joined).encode("utf-8", "replace")
+        if b"".join(map(self.a.bytes.__getitem__, a)) == data == b"".join(map(self.b.bytes.__getitem__, b)):
+            return np.array(a, np.int64), np.array(b, np.int64)
+        return None
+
     def align(self, parts: list[str]) -> list[Part | None]:
-        """All parts in one pair of products: their matrices stand along a diagonal."""
-        a, b = self.a.encode([" " + p for p in parts]), self.b.encode(parts)
-        found: list[Part | None] = [None] * len(parts)
-        good = []
-        for i, (x, y, part) in enumerate(zip(a, b, parts, strict=True)):
-            data = (" " + part).encode("utf-8", "replace")
-            if b"".join(map(self.a.bytes.__getitem__, x)) == data == b"".join(map(self.b.bytes.__getitem__, y)):
-                good.append(i)
-        if not good:
-            return found
-        n_a, n_b = (np.array([len(t[i]) for i in good]) for t in (a, b))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(t[i] for i in good), np.int64) for t in (a, b))
+        """Parts that may stand in one text, one after the other, aligned in one pair of products. If their tokens don't spell
+        them, halves are tried, down to the parts to blame."""
+        ends = np.cumsum([len(p.encode("utf-8", "replace")) + 1 for p in parts])
+        ids = self.tokens(parts)
+        if ids is None:
+            half = len(parts) // 2
+            return self.align(parts[:half]) + self.align(parts[half:]) if half else [None]
+        ids_a, ids_b = ids
         len_a, len_b = self.len_a[ids_a], self.len_b[ids_b]
         links = product(incidence(len_a), transposed_incidence(len_b), len(ids_b))
-        keys = (np.repeat(ids_a, np.diff(links.starts)) << 32) | ids_b[links.indices]
+        keys = ((np.repeat(ids_a, np.diff(links.starts)) << 32) | ids_b[links.indices]).tobytes()
         end_a, end_b = len_a.cumsum(), len_b.cumsum()
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        first_a, first_b = (np.searchsorted(g, np.arange(len(both) + 1)) for g in (group_a, group_b))
         # tokens by groups, times groups by how many B tokens they have: an A token's shared-group links
-        sizes = Csr(np.arange(len(both) + 1), np.zeros(len(both), np.int64), np.diff(first_b))
+        sizes = Csr(np.arange(len(both) + 1), np.zeros(len(both), np.int64), np.bincount(group_b, minlength=len(both)))
         shared = np.concatenate(([0], product(membership(group_a), sizes, 1).values.cumsum()))
-        names_a, names_b = [self.names_a[i] for i in ids_a.tolist()], [self.names_b[i] for i in ids_b.tolist()]
-        fa, fb = first_a.tolist(), first_b.tolist()
-        written = [f"{','.join(names_a[fa[g]:fa[g + 1]])}|{','.join(names_b[fb[g]:fb[g + 1]])}" for g in range(len(both))]
-        at_a, at_b = (np.concatenate(([0], n.cumsum())) for n in (n_a, n_b))
-        at_group = np.concatenate((group_a[at_a[:-1]], [len(both)])).tolist()
-        at_link, at_shared, at_a = links.starts[at_a].tolist(), shared[at_a].tolist(), at_a.tolist()
-        for k, i in enumerate(good):
-            g, h = at_group[k], at_group[k + 1]
-            own = keys[at_link[k] : at_link[k + 1]].copy()
-            found[i] = Part(int(n_a[k]), int(n_b[k]), h - g, at_shared[k + 1] - at_shared[k], ";".join(written[g:h]).encode(), own)
-        return found
+        last_a, last_b = (np.diff(g, append=len(both)) > 0 for g in (group_a, group_b))
+        closes = last_b & np.isin(end_b, ends, assume_unique=True)
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        names = np.concatenate((self.names_a[ids_a + len(self.len_a) * last_a], self.names_b[ids_b + len(self.len_b) * (last_b + 0 + closes)]))
+        written = "".join(names[order].tolist()).encode().split(b"\n")
+        to_a, to_b, to_group = (np.searchsorted(e, ends, "right") for e in (end_a, end_b, both))
+        to_link = 8 * links.starts[to_a]
+        n_a, n_b, n_groups, n_shared = (np.diff(x, prepend=0).tolist() for x in (to_a, to_b, to_group, shared[to_a]))
+        own = [keys[i:j] for i, j in zip([0, *to_link.tolist()], to_link.tolist())]
+        return list(zip(n_a, n_b, n_groups, n_shared, written, own))
 
     def fill(self, texts: list[list[str]]) -> dict[str, Part | None]:
         """Align all parts that the cache lacks. Long ones are returned, not kept."""
         if len(self) >= CACHE:
             self.clear()
-        missing = list(dict.fromkeys(p for parts in texts for p in parts if p not in self))
-        apart: dict[str, Part | None] = {}
+        missing = [p for p in set(chain.from_iterable(texts)) if p not in self]
+        # what begins or ends with white space can't stand beside another part
+        edges = {p for parts in texts if parts for p in (parts[0], parts[-1]) if p[0].isspace() or p[-1].isspace()}
+        alone = [p for p in missing if p in edges] if self.splits else missing
+        found: dict[str, Part | None] = dict(zip(alone, (self.align([p])[0] for p in alone)))
+        rest = [p for p in missing if p not in found] if alone else missing
         at = 0
-        while at < len(missing):
+        while at < len(rest):
             to, size = at, 0
-            while to < len(missing) and (to == at or size + len(missing[to]) <= AT_ONCE):
-                size += len(missing[to])
+            while to < len(rest) and (to == at or size + len(rest[to]) <= AT_ONCE):
+                size += len(rest[to])
                 to += 1
-            for part, result in zip(missing[at:to], self.align(missing[at:to]), strict=True):
-                (self if len(part) <= LONGEST_CACHED else apart)[part] = result
+            found.update(zip(rest[at:to], self.align(rest[at:to]), strict=True))
             at = to
+        apart = {p: x for p, x in found.items() if len(p) > LONGEST_CACHED}
+        self.update((p, x) for p, x in found.items() if len(p) <= LONGEST_CACHED)
         return apart
 
 
@@ -239,12 +246,15 @@ def aligned(aligner: Aligner, texts: list[str]) -> list[tuple]:
     apart = aligner.fill(cut)
     rows = []
     for parts in cut:
-        got = [apart[p] if p in apart else aligner[p] for p in parts]
+        try:
+            got = list(map(aligner.__getitem__, parts))
+        except KeyError:  # a long part
+            got = [apart[p] if p in apart else aligner[p] for p in parts]
         if not got or None in got:
             rows.append(NOTHING)
             continue
-        n_a, n_b, n_groups, n_group_links, groups, keys = zip(*got, strict=True)
-        pairs, times = np.unique(np.concatenate(keys), return_counts=True)
+        n_a, n_b, n_groups, n_group_links, groups, keys = zip(*got)
+        pairs, times = np.unique(np.frombuffer(b"".join(keys), np.int64), return_counts=True)
         rows.append((sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), sum(n_group_links), hashlib.sha256(b";".join(groups)).hexdigest(), pairs, times))
     return rows
 
