@@ -17,7 +17,6 @@ MODULES = {
     "op9_token_counts": "token_counts",
     "op10_simhash_near_dedup": "simhash",
     "op11_token_alignment": "token_align",
-    "op12_lexical_search": "lexical_search",
     "op13_url_filter": "url_filter",
 }
 
