@@ -27,7 +27,7 @@ ITEMS_AT_ONCE, TERMS_AT_ONCE = 1_024, 32_768
 #: A segment is closed once it has so many documents or postings.
 SEGMENT_DOCS, SEGMENT_POSTINGS = 8_192, 1_000_000
 #: Documents of a block, about; dimensions of the sketches that are clustered; documents that give the first thresholds.
-BLOCK, DIMENSIONS, SEED_DOCS = 32, 32, 16_384
+BLOCK, DIMENSIONS, SEED_DOCS = 8, 32, 16_384
 HIGHEST = (1 << 63) - 1
 # A term is made of letters and digits of ASCII and of all characters beyond it; A-Z are lower-cased.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
