@@ -397,3 +397,67 @@ def test_clear_errors_and_exact_sketches(spark, packets):
     rows = spark.range(3000).selectExpr("pmod(id * id, 61) as k")
     want = {(r.k, r["count"]) for r in rows.groupBy("k").count().collect()}
     assert {(r.k, r.packets) for r in rates.approx_top_talkers(rows, "k", 100, max_items=1000).collect()} == want
+
+
+def loop_sums(rows, span, ahead):
+    """For (i, micros or None, key, value): the sum and number of rows of the key in [t - span, t], or (t, t + span]."""
+    out = {}
+    for i, t, k, _ in rows:
+        hit = [v for _, u, l, v in rows if k == l and (t is u is None and not ahead or None not in (t, u) and (t < u <= t + span if ahead else t - span <= u <= t))]
+        out[i] = (len(hit), sum(hit))
+    return out
+
+
+@pytest.mark.parametrize("span", ["0 seconds", "1 millisecond", "500 milliseconds", "1 second", "29 seconds", "30 seconds", "1 hour", "7 milliseconds 3 microseconds"])
+def test_moving_sums_of_any_span(spark, span):
+    """Rows, and one type of the sums whatever the span; columns with the names used inside come back as they were."""
+    import random
+
+    from tideguard.functions.time import micros
+    from tideguard.operators.buckets import sums_within
+
+    rng = random.Random(7)
+    step = max(micros(span), 1000) // 3
+    rows = [(i, rng.randint(-5, 5) * step + rng.choice([0, 0, 1, -1]), rng.choice("aab"), rng.randint(1, 9)) for i in range(120)]
+    rows += [(200, None, "a", 2), (201, None, "a", 3), (202, 0, None, 4), (203, 0, None, 5)]
+    df = spark.createDataFrame(rows, "i int, u bigint, k string, v bigint")
+    df = df.selectExpr("i", "k", "v", "cast(timestamp_micros(u) as timestamp_ntz) as ts", "'x' as `__t`", "'y' as bucket", "'z' as t", "'w' as c0", "'q' as `a``b`")
+    for ahead in (False, True):
+        want = loop_sums(rows, micros(span), ahead)
+        for probes in (df, df.where("i >= 0")):
+            got = sums_within(probes, df, "k", span, {"n": F.lit(1).cast("bigint"), "total": F.col("v")}, ahead)
+            assert got.columns == [*df.columns, "n", "total"] and [t for _, t in got.dtypes[-2:]] == ["bigint", "bigint"]
+            found = got.collect()
+            assert {r.i: (r.n, r.total) for r in found} == want and len(found) == len(rows)
+            assert {(r["__t"], r.bucket, r.t, r.c0, r["a`b"]) for r in found} == {("x", "y", "z", "w", "q")}
+
+
+def test_types_do_not_follow_the_span(packets):
+    kinds = {str(rates.trailing_rate(packets, "src", span).schema["trailing"].dataType) for span in ("0 seconds", "1 second", "29 seconds", "1 hour", "1 millisecond")}
+    assert kinds == {"LongType()"}
+    for span in ("1 second", "50 minutes"):
+        got = pairing.amplification_factor(packets, packets, "src", span)
+        assert [str(got.schema[c].dataType) for c in ("responses", "response_bytes")] == ["LongType()", "LongType()"]
+
+
+def test_spans_below_a_second(spark):
+    rows = [(1, 0, "a", 10), (2, 1, "a", 20), (3, 500, "a", 30), (4, 501, "a", 40), (5, 1500, "a", 50)]
+    df = spark.createDataFrame(rows, "record_id bigint, ms bigint, src string, bytes bigint").selectExpr("record_id", "cast(timestamp_millis(ms) as timestamp_ntz) as ts", "src", "bytes")
+    assert [r.packets for r in rates.rate_by_window(df, "src", "500 milliseconds").orderBy("win").collect()] == [2, 2, 1]
+    assert rates.rate_by_window(df, "src", "500 milliseconds").orderBy("win").first().packet_rate == 4.0
+    slid = rates.rate_by_window(df, "src", "500 milliseconds", "250 milliseconds")
+    assert slid.agg(F.sum("packets")).first()[0] == 10
+    assert dict(rows_of(rates.trailing_rate(df, "src", "500 milliseconds").select("record_id", "trailing"))) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 1}
+    assert dict(rows_of(rates.trailing_rate(df, "src", "1 millisecond").select("record_id", "trailing"))) == {1: 1, 2: 2, 3: 1, 4: 2, 5: 1}
+    for bucket in (None, "100 milliseconds"):
+        pairs = pairing.match_responses(df, df, "src", "1 millisecond", bucket=bucket).select("req_record_id", "resp_record_id")
+        assert rows_of(pairs) == [(1, 2), (3, 4)]
+    assert {r.record_id: r.responses for r in pairing.amplification_factor(df, df, "src", "500 milliseconds").collect()} == {1: 2, 2: 2, 3: 1, 4: 0, 5: 0}
+    assert rows_of(sessions.sessionize(df, "src", "500 milliseconds").select("packets")) == [(1,), (4,)]
+    assert rows_of(sessions.sessionize(df, "src", "1 millisecond").select("packets")) == [(1,), (2,), (2,)]
+    assert rows_of(sessions.sessionize(df, "src", "0 seconds").select("packets")) == [(1,)] * 5
+    flow = sessions.flow_features(df, "src", bucket="500 milliseconds").first()
+    assert (flow.packets, flow.duration, round(flow.mean_gap, 9)) == (5, 1.5, 0.375)
+    assert seconds("1500 milliseconds") == 1.5 and seconds("2000 milliseconds") == 2
+    with pytest.raises(ValueError):
+        seconds("-1 hours")

@@ -25,3 +25,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def weight(column: str | None) -> Column:
     """What a record counts: a column's value, or 1."""
     return F.lit(1).cast("bigint") if column is None else F.col(column)
+
+
+def quoted(name: str) -> Column:
+    """A column of any name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(name: str, taken: Sequence[str]) -> str:
+    """name, lengthened until none of taken is the same, whatever its case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+UNIT_MICROS = {
+    "microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000,
+}
 
 
-def seconds(span: str) -> int:
-    """'6 hours' -> 21600. Units from second to week, singular or plural; several may be joined ('1 hour 30 minutes')."""
+def micros(span: str) -> int:
+    """'6 hours' -> 21600000000. Units from microsecond to week, singular or plural; several may be joined ('1 hour 30 minutes')."""
     parts = span.lower().removeprefix("interval ").split()
     if not parts or len(parts) % 2:
         raise ValueError(f"not a span: {span!r}")
     total = 0
     for n, unit in zip(parts[::2], parts[1::2], strict=True):
-        if unit.rstrip("s") not in UNIT_SECONDS:
+        if unit.rstrip("s") not in UNIT_MICROS:
             raise ValueError(f"not a unit: {unit!r}")
-        total += int(n) * UNIT_SECONDS[unit.rstrip("s")]
+        total += int(n) * UNIT_MICROS[unit.rstrip("s")]
+    if total < 0:
+        raise ValueError(f"a negative span: {span!r}")
     return total
 
 
+def seconds(span: str) -> int | float:
+    """A span's seconds, a whole number where they are one."""
+    whole, rest = divmod(micros(span), 1_000_000)
+    return whole if not rest else micros(span) / 1e6
+
+
 def interval(span: str) -> str:
     """A span as SQL text."""
-    return f"interval '{seconds(span)}' second"
+    whole, rest = divmod(micros(span), 1_000_000)
+    return f"interval '{whole}.{rest:06}' second"
 
 
 def window_start(time_col: str, size: str, slide: str | None = None) -> Column:

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.functions.columns import listed
-from tideguard.functions.time import interval, seconds
+from tideguard.functions.time import interval, micros
 from tideguard.operators.buckets import sums_within
 
 
 def bucket_of(column: str, span: str) -> Column:
-    epoch = F.expr(f"timestampdiff(SECOND, cast('1970-01-01' as timestamp_ntz), cast(`{column}` as timestamp_ntz))")
-    return F.floor(epoch / F.lit(seconds(span)))
+    at = F.expr(f"timestampdiff(MICROSECOND, cast('1970-01-01' as timestamp_ntz), cast(`{column}` as timestamp_ntz))")
+    step = F.lit(micros(span)).cast("bigint")
+    return ((at - F.pmod(at, step)) / step).cast("bigint")
 
 
 def prefixed(df: DataFrame, on: Sequence[str], prefix: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.functions.columns import listed, names, ratio, weight
-from tideguard.functions.time import seconds, window_start
+from tideguard.functions.time import micros, seconds, window_start
 from tideguard.operators.buckets import sums_within
 
 
@@ -25,7 +25,7 @@ def rate_by_window(
     for its windows only after it has been summed.
     """
     sums = [F.sum(weight(packets)).alias("packets"), F.sum(F.col(bytes_col) if bytes_col else F.lit(0)).alias("bytes")]
-    if slide is not None and seconds(size) % seconds(slide) == 0:
+    if slide is not None and micros(size) % micros(slide) == 0:
         parts = df.groupBy(window_start(time_col, slide).alias("__part"), *listed(keys)).agg(*sums)
         rates = parts.groupBy(window_start("__part", size, slide).alias("win"), *listed(keys)).agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
     else:
@@ -38,7 +38,7 @@ def trailing_rate(df: DataFrame, keys: str | Sequence[str], span: str, time_col:
     """O9. For each record the packets of its key in [time - span, time], as trailing.
 
     The work of a key is dealt over tasks by time buckets (sums_within), each a divisor of the span and at most bucket if that
-    is given. A null time counts the key's records without one; a null number of packets counts 0.
+    is given. A null time counts the key's records without one; a null number of packets counts 0; a span of 0 counts equal times.
     """
     return sums_within(df, df, keys, span, {"trailing": weight(packets)}, ahead=False, time_col=time_col, bucket=bucket)
 

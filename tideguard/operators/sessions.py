@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideguard.functions.columns import listed, names
-from tideguard.functions.time import elapsed, interval, seconds
+from tideguard.functions.time import elapsed, interval, micros
 from tideguard.operators.buckets import bucket_at
 
 
@@ -22,7 +22,7 @@ def sessionize(df: DataFrame, keys: str | Sequence[str], gap: str, time_col: str
     total = F.sum(F.col(bytes_col) if bytes_col else F.lit(0))
     timed = df.where(F.col(time_col).isNotNull())
     times = F.min(time_col).alias("start"), F.max(time_col).alias("__last")
-    parts = timed.groupBy(*keys, bucket_at(timed, time_col, seconds(gap)).alias("__bucket")).agg(*times, F.count("*").alias("packets"), total.alias("bytes"))
+    parts = timed.groupBy(*keys, bucket_at(timed, time_col, max(micros(gap), 1)).alias("__bucket")).agg(*times, F.count("*").alias("packets"), total.alias("bytes"))
     order = f"partition by {names(keys)} order by __bucket"
     flagged = parts.withColumn("__new", F.expr(f"case when start <= lag(__last) over ({order}) + {interval(gap)} then 0 else 1 end"))
     numbered = flagged.withColumn("__n", F.expr(f"sum(__new) over ({order} rows unbounded preceding)"))
@@ -45,7 +45,7 @@ def flow_features(df: DataFrame, keys: str | Sequence[str], bytes_col: str = "by
     between buckets are added. Records without a time have no gap before or after them.
     """
     keys = listed(keys)
-    at = df.withColumn("__bucket", bucket_at(df, time_col, seconds(bucket)))
+    at = df.withColumn("__bucket", bucket_at(df, time_col, micros(bucket)))
     by = f"partition by {names(keys)}, __bucket"
     gaps = at.withColumn("__previous", F.expr(f"lag(`{time_col}`) over ({by} order by `{time_col}`, `{order_col}`)")).withColumn("__gap", elapsed("__previous", time_col))
     value = F.col(bytes_col)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tideguard.functions.columns import listed, weight
-from tideguard.functions.time import interval, seconds, window_start
+from tideguard.functions.time import interval, micros, seconds, window_start
 from tideguard.operators.pairing import prefixed
 
 
@@ -37,7 +37,7 @@ def stream_dedup(df: DataFrame, id_cols: str | Sequence[str], watermark: str, ti
 
 def stream_sessions(df: DataFrame, keys: str | Sequence[str], gap: str, watermark: str, time_col: str = "ts", bytes_col: str | None = None) -> DataFrame:
     """O35. sessionize on a stream."""
-    window = F.session_window(F.col(time_col), F.lit(f"{seconds(gap)} seconds 1 microsecond")).alias("w")
+    window = F.session_window(F.col(time_col), F.lit(f"{micros(gap) + 1} microseconds")).alias("w")
     total = F.sum(F.col(bytes_col) if bytes_col else F.lit(0))
     found = df.withWatermark(time_col, watermark).groupBy(window, *listed(keys)).agg(F.count("*").alias("packets"), total.alias("bytes"))
     end = F.col("w.end") - F.expr("interval '0.000001' second")
