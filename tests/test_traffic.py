@@ -461,3 +461,131 @@ def test_spans_below_a_second(spark):
     assert seconds("1500 milliseconds") == 1.5 and seconds("2000 milliseconds") == 2
     with pytest.raises(ValueError):
         seconds("-1 hours")
+
+
+# --- streams with timers -----------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def fed(spark, path, files, schema, make):
+    """The rows that a stream has given after each file; each run is a restart from the checkpoint."""
+    found = []
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/in/f={i}")
+        got = run(make(spark.readStream.schema(schema).parquet(f"{path}/in/f=*")), path, spark)
+        found.append(got.collect())
+    return found
+
+
+def test_late_rows_are_added_in_order(spark, tmp_path, rocksdb):
+    """Rows come late, in later batches and after restarts, with ties, nulls and several keys: the sums are those of the batch form."""
+    schema = "k string, win timestamp, packets bigint"
+    values = {0: 6, 1: 7, 2: 0, 3: 9, 4: 8, 5: 1, 6: 12, 7: 2, 8: 3, 9: 40}
+    order = [[0, 2, 1], [5, 3], [4, 8, 7], [6, 9], []]
+    files = [[("a", at(60 * h), values[h]) for h in part] + [(None, at(60 * h), 9) for h in part if h % 2] for part in order]
+    files[3] += [("a", at(0), 1000), ("b", None, 5)]  # older than the watermark, and without a window
+    files[4] = [("z", at(60 * 40), 1)]  # moves the watermark past all others
+    found = fed(spark, tmp_path, files, schema, lambda s: detect.stream_cusum_ordered(s, "k", 4.0, 8.0, "4 hours"))
+    assert found[0] == [] and sorted(r.win for r in found[1] if r.k == "a") == [at(60 * h) for h in (0, 1)]
+    plain = spark.createDataFrame([("a", at(60 * h), v) for h, v in values.items()] + [(None, at(60 * h), 9) for h in values if h % 2], schema)
+    want = rows_of(shape.cusum(plain, "k", 4.0, 8.0))
+    assert rows_of(spark.createDataFrame(found[-1], f"{schema}, cusum double, alert boolean")) == want
+    for before, after in zip(found, found[1:]):
+        assert {tuple(r) for r in before} <= {tuple(r) for r in after}
+
+
+def test_waiting_rows_leave_the_state(spark):
+    """The processor on a stand-in for its state: it is empty once the watermark has passed all rows."""
+    from pyspark.sql import Row
+
+    state = Fake()
+    cusum = detect.OrderedCusumProcessor(4.0, 8.0, ["k0", "at", "value", "cusum", "alert"])
+    cusum.init(state)
+    list(cusum.handleInputRows(("a",), iter([Row(at=h * 1000, value=v) for h, v in ((3, 5), (1, 9), (3, 5), (2, None))]), None))
+    assert sorted(state.maps["waiting"]) == [(1000,), (2000,), (3000,)] and state.timers == {1, 2, 3}
+    assert [tuple(r) for r in cusum.handleExpiredTimer(("a",), Clock(2), None)] == [("a", 1000, 9, 5.0, False), ("a", 2000, None, 5.0, False)]
+    assert sorted(state.maps["waiting"]) == [(3000,)]
+    assert [r[3] for r in cusum.handleExpiredTimer(("a",), Clock(3), None)] == [6.0, 7.0]
+    assert not state.maps["waiting"] and list(cusum.handleExpiredTimer(("a",), Clock(9), None)) == []
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+class Fake:
+    """State held in dictionaries."""
+
+    def __init__(self):
+        self.maps, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        held = self.maps[name] = {}
+
+        class Map:
+            containsKey = staticmethod(lambda k: k in held)
+            getValue = staticmethod(lambda k: held[k])
+            updateValue = staticmethod(held.__setitem__)
+            removeKey = staticmethod(held.pop)
+            keys = staticmethod(lambda: iter(list(held)))
+            iterator = staticmethod(lambda: iter(list(held.items())))
+
+        return Map
+
+    def getValueState(self, *_):
+        held = []
+
+        class Value:
+            exists = staticmethod(lambda: bool(held))
+            get = staticmethod(lambda: held[-1])
+            update = staticmethod(held.append)
+
+        return Value
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+def test_requests_are_released_exactly(spark, tmp_path, rocksdb):
+    """A request leaves in the first batch whose watermark has reached its interval's end, never before, and not if any response
+    came, before or after it, in any batch."""
+    schema = "side string, record_id bigint, ts timestamp, src string, note bigint"
+    files = [
+        [("q", 1, at(0), "a", 1), ("q", 2, at(5), "b", (1 << 60) + 1), ("r", 90, at(12), "c", None), ("q", 3, at(1), None, 3), ("r", 91, at(2), None, None)],
+        [("q", 4, at(11), "c", 4), ("r", 92, at(10), "a", None), ("q", 5, at(12), "c", 5), ("q", 6, None, "a", None), ("q", 10, at(20), "y", 1), ("r", 96, at(20), "y", None)],
+        [("q", 7, at(24), "z", 7), ("r", 93, at(25), "z", None)],
+        [("q", 8, at(26), "z", 8), ("r", 94, at(26), "x", None), ("q", 8, at(26), "z", 8)],
+        [("q", 9, at(100), "x", 9), ("r", 95, at(100), "x", None)],
+    ]
+
+    def make(s):
+        return detect.stream_unanswered_timed(s.where("side = 'q'").drop("side"), s.where("side = 'r'").drop("side"), "src", "10 minutes", "10 minutes")
+
+    found = fed(spark, tmp_path, files, schema, make)
+    # the watermark is ten minutes behind the lesser of the sides' last times: 0:00 -> -5, 10, 14, 16, 90
+    assert [sorted(r.record_id for r in rows) for rows in found] == [[], [], [3], [2, 3], [2, 3, 5, 8, 8, 10]]
+    assert found[-1][0].asDict().keys() == {"record_id", "ts", "src", "note"}
+    assert {(r.record_id, r.ts, r.src, r.note) for r in found[1] + found[3]} == {(2, at(5), "b", (1 << 60) + 1), (3, at(1), None, 3)}
+
+
+def test_answers_leave_the_state():
+    from pyspark.sql import Row
+
+    state = Fake()
+    held = detect.UnansweredProcessor(10_000, 1, ["k0", "r0"])
+    held.init(state)
+    rows = [Row(k0="a", time=None, at=1000, ask=True, r0=7), Row(k0="a", time=None, at=9000, ask=True, r0=8), Row(k0="a", time=None, at=5000, ask=False, r0=None)]
+    held.handleInputRows(("a",), iter(rows), None)
+    assert list(state.maps["open"]) == [(9000, 1)] and list(state.maps["answers"]) == [(5000,)] and state.timers == {5, 19}
+    assert list(held.handleExpiredTimer(("a",), Clock(18), None)) == [] and not state.maps["answers"]
+    assert [tuple(r) for r in held.handleExpiredTimer(("a",), Clock(19), None)] == [("a", 8)] and not state.maps["open"]

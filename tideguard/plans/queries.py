@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -440,16 +441,46 @@ def o37_stream_unanswered(spark, sf_dir):
     return drained(detect.stream_unanswered(req, resp, "src", "6 hours", "1 hour").select("src", "record_id"), "o37")
 
 
-@query(CUSUM)
-def o38_stream_cusum(spark, sf_dir):
+@contextmanager
+def rocksdb(spark):
+    """Queries that start in this block keep their state in RocksDB, which operators with timers and several states need."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
-    path = shared(spark, "o38-rates")
-    daily(spark, sf_dir).select("src", F.col("win").cast("timestamp").alias("win"), F.col("packets").cast("bigint").alias("packets")).write.parquet(path)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows = spark.readStream.schema("src bigint, win timestamp, packets bigint").parquet(path)
-        found = drained(detect.stream_cusum(rows, "src", 3.0, 4.0), "o38")
+        yield
     finally:
         spark.conf.set(name, before)
+
+
+@query(PAIRS + "select src, record_id from a where record_id not in (select req from pairs) and ts + interval '6 hours' <= date_trunc('millisecond', least((select max(ts) from a), (select max(ts) from b))) - interval '1 hour'")
+def o37_stream_unanswered_timed(spark, sf_dir):
+    req, resp = both_sides(stream(spark, sf_dir))[0], both_sides(stream(spark, sf_dir))[1]
+    with rocksdb(spark):
+        return drained(detect.stream_unanswered_timed(req, resp, "src", "6 hours", "1 hour").select("src", "record_id"), "o37t")
+
+
+@query(CUSUM)
+def o38_stream_cusum(spark, sf_dir):
+    path = shared(spark, "o38-rates")
+    daily(spark, sf_dir).select("src", F.col("win").cast("timestamp").alias("win"), F.col("packets").cast("bigint").alias("packets")).write.parquet(path)
+    with rocksdb(spark):
+        rows = spark.readStream.schema("src bigint, win timestamp, packets bigint").parquet(path)
+        found = drained(detect.stream_cusum(rows, "src", 3.0, 4.0), "o38")
+    return rounded(found.withColumn("win", F.col("win").cast("timestamp_ntz")), "cusum")
+
+
+@query(CUSUM + " where win <= (select max(win) from dense) - interval '11 days'")
+def o38_stream_cusum_ordered(spark, sf_dir):
+    """The rates come in five files, of which each holds rows that are up to four days late; the watermark is 11 days behind."""
+    path = shared(spark, "o38-late")
+    late = F.datediff("win", F.lit("2024-01-01")) + F.pmod(F.hash("src"), F.lit(5))
+    rows = daily(spark, sf_dir).select("src", F.col("win").cast("timestamp").alias("win"), F.col("packets").cast("bigint").alias("packets"), F.least(F.floor(late / 7), F.lit(4)).alias("file"))
+    rows = rows.persist()
+    for i in range(5):
+        rows.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(path)
+    rows.unpersist()
+    with rocksdb(spark):
+        rates_ = spark.readStream.schema("src bigint, win timestamp, packets bigint").option("maxFilesPerTrigger", 1).parquet(path)
+        found = drained(detect.stream_cusum_ordered(rates_, "src", 3.0, 4.0, "11 days"), "o38o")
     return rounded(found.withColumn("win", F.col("win").cast("timestamp_ntz")), "cusum")

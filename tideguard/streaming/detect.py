@@ -5,15 +5,18 @@ A row older than the watermark still counts while its window is open, and is dro
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampType
 
-from tideguard.functions.columns import listed, weight
+from tideguard.functions.columns import listed, quoted, weight
 from tideguard.functions.time import interval, micros, seconds, window_start
 from tideguard.operators.pairing import prefixed
 
@@ -72,6 +75,90 @@ def stream_unanswered(req: DataFrame, resp: DataFrame, on: str | Sequence[str],
     return rows.select(*[F.col(c if c in on else f"req_{c}").alias(c) for c in req.columns])
 
 
+class UnansweredProcessor(StatefulProcessor):
+    """Holds a key's open requests until a response or their timer, and its responses until the watermark has passed them, as a
+    request that comes later may still be older than they are. Times are microseconds."""
+
+    def __init__(self, within: int, n_keys: int, columns: list[str]):
+        self.within, self.n_keys, self.row = within, n_keys, Row(*columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "at bigint, n bigint", "request binary")
+        self.answers = handle.getMapState("answers", "at bigint", "seen boolean")
+        self.number = handle.getValueState("number", "n bigint")
+
+    def answered(self, at: int, times: list[int]) -> bool:
+        first = bisect_right(times, at)
+        return first < len(times) and times[first] <= at + self.within
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        asked, new = [], set()
+        for r in rows:
+            if r.ask:
+                asked.append((r.at, pickle.dumps(tuple(r)[self.n_keys + 3 :])))
+            elif None not in key:
+                new.add(r.at)
+        if new:
+            times = sorted(new)
+            for at, n in [k for k in self.open.keys() if self.answered(k[0], times)]:
+                self.open.removeKey((at, n))
+            for at in times:
+                self.answers.updateValue((at,), (True,))
+                self.handle.registerTimer(-(-at // 1000))
+        if asked:
+            times = sorted(k[0] for k in self.answers.keys())
+            n = self.number.get()[0] if self.number.exists() else 0
+            for at, request in asked:
+                if not self.answered(at, times):
+                    n += 1
+                    self.open.updateValue((at, n), (request,))
+                    self.handle.registerTimer(-(-(at + self.within) // 1000))
+            self.number.update((n,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        for (at, n), (request,) in sorted((tuple(k), tuple(v)) for k, v in self.open.iterator()):
+            if at + self.within <= now:
+                self.open.removeKey((at, n))
+                yield self.row(*key, *pickle.loads(bytes(request)))
+        for at in [k[0] for k in self.answers.keys()]:
+            if at <= now:
+                self.answers.removeKey((at,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_unanswered_timed(req: DataFrame, resp: DataFrame, on: str | Sequence[str], within: str, watermark: str, time_col: str = "ts") -> DataFrame:
+    """O37 with a timer a request: it is emitted in the first batch whose watermark has reached its time + within, and never before.
+
+    Requests and responses are one keyed state. A response may come before or after its request, in any batch, as long as neither
+    is older than the watermark. State is a request for as long as it is open, and a response's time until the watermark has
+    passed it. A request without a key is never answered; rows without a time are left out. Needs the RocksDB state store.
+    """
+    keys = listed(on)
+    rest = [c for c in req.columns if c not in keys]
+    zoned = {f.name for f in req.schema.fields if isinstance(f.dataType, TimestampType)}
+    by = [f"k{i}" for i in range(len(keys))]
+
+    def side(df: DataFrame, ask: bool) -> DataFrame:
+        time = quoted(time_col).cast("timestamp")
+        own = [(F.unix_micros(quoted(c)) if c in zoned else quoted(c)) if ask else F.lit(None) for c in rest]
+        kinds = ["bigint" if c in zoned else req.schema[c].dataType for c in rest]
+        held = [x.cast(kind).alias(f"r{i}") for i, (x, kind) in enumerate(zip(own, kinds))]
+        plain = df.select(*[quoted(k).alias(b) for k, b in zip(keys, by)], time.alias("time"), F.unix_micros(time).alias("at"), F.lit(ask).alias("ask"), *held)
+        return plain.where("time is not null").withWatermark("time", watermark)
+
+    both = side(req, True).unionByName(side(resp, False))
+    schema = StructType([f for f in both.schema.fields if f.name not in ("time", "at", "ask")])
+    found = both.groupBy(*by).transformWithState(UnansweredProcessor(micros(within), len(keys), schema.names), schema, "append", "eventTime")
+    back = {k: F.col(b) for k, b in zip(keys, by)}
+    back |= {c: F.timestamp_micros(f"r{i}") if c in zoned else F.col(f"r{i}") for i, c in enumerate(rest)}
+    return found.select(*[back[c].alias(c) for c in req.columns])
+
+
 class CusumProcessor(StatefulProcessor):
     """Holds each key's sum across batches."""
 
@@ -96,6 +183,63 @@ class CusumProcessor(StatefulProcessor):
         pass
 
 
+class OrderedCusumProcessor(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, and its sum up to there. Times are microseconds."""
+
+    def __init__(self, drift: float, limit: float, columns: list[str]):
+        self.drift, self.limit, self.row = drift, limit, Row(*columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint", "values binary")
+        self.sum = handle.getValueState("sum", "s double")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = defaultdict(list)
+        for r in rows:
+            new[r.at].append(r.value)
+        for at, values in new.items():
+            held = pickle.loads(bytes(self.waiting.getValue((at,))[0])) if self.waiting.containsKey((at,)) else []
+            self.waiting.updateValue((at,), (pickle.dumps(held + values),))
+            self.handle.registerTimer(-(-at // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        ready = sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
+        if not ready:
+            return
+        held = self.sum.get()[0] if self.sum.exists() else 0.0
+        for at in ready:
+            for x in sorted(pickle.loads(bytes(self.waiting.getValue((at,))[0])), key=lambda v: (v is None, v)):
+                held = max(0.0, held + (0.0 if x is None else float(x) - self.drift))
+                yield self.row(*key, at, x, held, held >= self.limit)
+            self.waiting.removeKey((at,))
+        self.sum.update((held,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cusum_ordered(df: DataFrame, keys: str | Sequence[str], drift: float, limit: float, watermark: str, value: str = "packets") -> DataFrame:
+    """O38 with late rows in order: cusum on a stream of window rates (key, win, value), whatever order they come in.
+
+    A row waits until the watermark has passed its window and is then added in the order of windows, so a late row in a later
+    batch gives what cusum gives on all rows; a row older than the watermark is dropped. State is a key's waiting rows and
+    one sum. Equal windows of a key are added by ascending value; a null value leaves the sum as it is; rows without a
+    window are left out. Needs the RocksDB state store.
+    """
+    keys = listed(keys)
+    by = [f"k{i}" for i in range(len(keys))]
+    plain = df.where(quoted("win").isNotNull()).select(
+        *[quoted(k).alias(b) for k, b in zip(keys, by)], quoted("win").cast("timestamp").alias("time"), F.unix_micros(quoted("win").cast("timestamp")).alias("at"), quoted(value).alias("value")
+    )
+    plain = plain.withWatermark("time", watermark)
+    schema = StructType([f for f in plain.schema.fields if f.name != "time"]).add("cusum", "double").add("alert", "boolean")
+    found = plain.groupBy(*by).transformWithState(OrderedCusumProcessor(float(drift), float(limit), schema.names), schema, "append", "eventTime")
+    return found.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.timestamp_micros("at").alias("win"), F.col("value").alias(value), "cusum", "alert")
+
+
 def stream_cusum(df: DataFrame, keys: str | Sequence[str], drift: float, limit: float, value: str = "packets") -> DataFrame:
     """O38. cusum on a stream of window rates (key, win, value), with one number of state a key.
 
