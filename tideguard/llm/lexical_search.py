@@ -25,7 +25,7 @@ from tideguard.llm.token_align import Csr, product
 #: Queries are searched in blocks of so many items and different terms at most (or one item), which bounds what the tasks are sent.
 ITEMS_AT_ONCE, TERMS_AT_ONCE = 1_024, 32_768
 #: A segment is closed once it has so many documents or postings.
-SEGMENT_DOCS, SEGMENT_POSTINGS = 8_192, 1_000_000
+SEGMENT_DOCS, SEGMENT_POSTINGS = 4_096, 500_000
 #: Documents of a block, about; dimensions of the sketches that are clustered; documents that give the first thresholds.
 BLOCK, DIMENSIONS, SEED_DOCS = 8, 32, 16_384
 HIGHEST = (1 << 63) - 1
