@@ -5,13 +5,17 @@ zscore, ewma and cusum take window rates and treat a missing window as absent; r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from math import log
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tideguard.functions.columns import listed, names
-from tideguard.functions.time import interval, window_start
+from tideguard.functions.columns import listed, names, quoted
+from tideguard.functions.time import interval, micros, window_start
+from tideguard.operators.buckets import bucket_at
 
 
 def entropy_by_window(df: DataFrame, feature: str, size: str, time_col: str = "ts") -> DataFrame:
@@ -77,6 +81,101 @@ def ewma(rates: DataFrame, keys: str | Sequence[str], alpha: float, horizon: int
     return held.withColumn("ewma", F.aggregate(rest, F.element_at("__x", 1), lambda e, x: a * x + (F.lit(1.0) - a) * e)).drop("__x")
 
 
+#: Length of the time blocks that a series is cut into by default, and how far powers of 1 - alpha may fall in one block.
+BLOCK, LEAST_POWER = "1 week", 1e-250
+
+
+def carried(parts: DataFrame, keys: list[str], order: Sequence[str], step: Callable[[float, float, float], float]) -> DataFrame:
+    """parts (one row a key and block, with numbers first, a and b) with start, the state before each block: null until a block has a
+    first, then step(start, a, b) of the block before, where its own start is its first if that was null. A key's blocks, not
+    its rows, come together in a task."""
+    columns = parts.columns
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        state, starts = None, []
+        for first, a, b in zip(*(rows.column(c).to_pylist() for c in ("first", "a", "b")), strict=True):
+            starts.append(state)
+            state = first if state is None else state
+            state = None if state is None else step(state, a, b)
+        return rows.append_column("start", pa.array(starts, pa.float64()))
+
+    schema = StructType([*parts.schema.fields, StructField("start", DoubleType())])
+    return parts.groupBy(*keys).applyInArrow(run, schema).select(*columns, "start")
+
+
+def in_blocks(rates: DataFrame, keys: Sequence[str], value: str, block: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """rates with names that can't clash: k0... for the keys, c0... for all columns, x (the value), win and block; the names of the
+    keys; and what gives the columns their names back, beside new ones."""
+    by, held = [f"k{i}" for i in range(len(keys))], [f"c{i}" for i in range(len(rates.columns))]
+    plain = rates.select(
+        *[quoted(k).alias(b) for k, b in zip(keys, by)], *[quoted(c).alias(h) for c, h in zip(rates.columns, held)], quoted(value).cast("double").alias("x"), F.col("win")
+    )
+    plain = plain.withColumn("block", bucket_at(plain, "win", micros(block)))
+
+    def back(df: DataFrame, **new: Column) -> DataFrame:
+        return df.select(*[F.col(h).alias(c) for c, h in zip(rates.columns, held) if c not in new], *[x.alias(n) for n, x in new.items()])
+
+    return plain, by, back
+
+
+def matched(rows: DataFrame, starts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns of starts that belong to their key and block; null keys are a key."""
+    a, b = rows.alias("a"), starts.select(*[F.col(c).alias(f"s_{c}") for c in by], F.coalesce("start", "first").alias("start"), F.col("start").alias("before"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"s_{c}"))
+    return a.join(b, same).drop(*[f"s_{c}" for c in by])
+
+
+def cusum_blocks(rates: DataFrame, keys: str | Sequence[str], drift: float, limit: float, value: str = "packets", block: str = BLOCK) -> DataFrame:
+    """O24 for long series: cusum, with a key's windows dealt over tasks by time blocks, and sums that restart at each block.
+
+    A block turns the sum S before it into max(S + a, b), where a is the sum of its x - drift and b the largest sum of its last
+    ones; these pairs are carried from block to block, and each block's rows then start from their own S. So one key is many tasks'
+    work, and a long series of fractions keeps its digits. Equal windows of a key are added by ascending value; a null value leaves
+    the sum as it is. Columns may have any name; cusum and alert are replaced.
+    """
+    rows, by, back = in_blocks(rates, listed(keys), value, block)
+    over = f"over (partition by {names([*by, 'block'])} order by win, x rows between unbounded preceding and current row)"
+    rows = rows.withColumn("p", F.expr(f"sum(coalesce(x - {float(drift)}D, 0D)) {over}"))
+    parts = rows.groupBy(*by, "block").agg(F.sum(F.coalesce(F.col("x") - F.lit(float(drift)), F.lit(0.0))).alias("a"), F.min("p").alias("low"))
+    parts = parts.withColumn("b", F.greatest(F.col("a") - F.col("low"), F.lit(0.0))).withColumn("first", F.lit(0.0))
+    starts = carried(parts, by, ["block"], lambda s, a, b: max(s + a, b))
+    rows = rows.withColumn("low", F.expr(f"min(p) {over}"))
+    found = matched(rows, starts, [*by, "block"]).withColumn("sum", F.greatest(F.col("start") + F.col("p"), F.col("p") - F.col("low")))
+    return back(found, cusum=F.col("sum"), alert=F.col("sum") >= limit)
+
+
+def ewma_blocks(rates: DataFrame, keys: str | Sequence[str], alpha: float, value: str = "packets", block: str = BLOCK) -> DataFrame:
+    """O23 without a horizon: e1 = x1, et = alpha xt + (1 - alpha) e(t-1) over a key's whole series.
+
+    A block turns the average e before it into a e + b; these pairs are carried from block to block, so a row holds no list and one key is many tasks' work. A time
+    block is cut again before powers of 1 - alpha leave the range of doubles. Null values are passed over, and rows
+    before a key's first value have none. Equal windows of a key go by ascending value. Columns may have any name; ewma is replaced.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError(alpha)
+    rest = 1 - float(alpha)
+    rows, by, back = in_blocks(rates, listed(keys), value, block)
+    over = f"over (partition by {names([*by, 'block'])} order by win, x nulls last rows between unbounded preceding and current row)"
+    # the values of a block so far, and which part of it a row is in
+    length = max(1, int(log(LEAST_POWER) / log(rest))) if 0 < rest else 1
+    rows = rows.withColumn("i", F.expr(f"count(x) {over}")).withColumn("part", F.expr(f"cast(floor(greatest(i - 1, 0) / {length}) as bigint)"))
+    rows = rows.withColumn("i", F.expr(f"i - part * {length}"))
+    inside = f"over (partition by {names([*by, 'block', 'part'])} order by win, x nulls last rows between unbounded preceding and current row)"
+    power = f"pow({rest!r}D, {{}})"
+    scaled = f"{float(alpha)!r}D * x * {power.format('-i')}" if rest else "x"
+    rows = rows.withColumn("p", F.expr(f"sum({scaled}) {inside}") if rest else F.col("x"))
+    parts = rows.groupBy(*by, "block", "part").agg(F.max("i").alias("n"), F.max_by("p", "i").alias("p"), F.min_by("x", F.when(F.col("x").isNotNull(), F.col("i"))).alias("first"))
+    # a part without values is the map e -> e
+    parts = parts.withColumn("a", F.expr(power.format("n")) if rest else F.when(F.col("n") > 0, F.lit(0.0)).otherwise(F.lit(1.0)))
+    parts = parts.withColumn("b", F.coalesce(F.col("a") * F.col("p") if rest else F.col("p"), F.lit(0.0)))
+    found = matched(rows, carried(parts, by, ["block", "part"], lambda e, a, b: a * e + b), [*by, "block", "part"])
+    average = F.expr(power.format("i")) * (F.col("start") + F.col("p")) if rest else F.col("p")
+    return back(found, ewma=F.when(F.col("i") > 0, average).otherwise(F.col("before")))
+
+
 def cusum(rates: DataFrame, keys: str | Sequence[str], drift: float, limit: float, value: str = "packets") -> DataFrame:
     """O24. St = max(0, S(t-1) + xt - drift), and alert where St >= limit.
 

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideguard.operators import pairing, prepare, rates, sessions, shape
+from tideguard.operators import pairing, prepare, rates, sessions, shape, sketches
 from tideguard.sources import traffic
 from tideguard.streaming import detect
 
@@ -181,6 +181,13 @@ def o11_quantile_threshold(spark, sf_dir):
     return rounded(rates.quantile_threshold(events(spark, sf_dir), "src", "1 day", 0.9), "limit")
 
 
+@query(T + 'select src, quantile_disc(packets, 0.9) as "limit", count(*) as n_windows from day group by src')
+def o11_merged_quantile(spark, sf_dir):
+    """Sketches of ten days, merged over all; exact, as a source has fewer days than a sketch keeps values."""
+    days = rates.rate_by_window(events(spark, sf_dir), "src", "1 day")
+    return sketches.merged_quantile(sketches.rate_sketches(days, "src", "10 days"), "src", 0.9)
+
+
 @query(T + "select * from (select win, src, packets, row_number() over (partition by win order by packets desc, src)::int as rank from day) where rank <= 5")
 def o12_top_talkers(spark, sf_dir):
     return rates.top_talkers(events(spark, sf_dir), "src", "1 day", 5)
@@ -202,6 +209,25 @@ def o14_approx_all_talkers(spark, sf_dir):
     return rates.approx_top_talkers(events(spark, sf_dir), "src", 100_000, 1_000_000)
 
 
+@query(T + "select date_trunc('day', ts)::timestamp as win, src, count(*) as packets from traffic group by 1, 2")
+def o14_merged_top_talkers(spark, sf_dir):
+    """Days of 24 hourly sketches; exact, as they track more keys than there are."""
+    hours = sketches.top_sketches(events(spark, sf_dir), "src", "1 hour", 100_000)
+    return sketches.merged_top(hours, "src", 100_000, "1 day", 100_000)
+
+
+@query(T + "select win, src, true as within from (select date_trunc('day', ts)::timestamp as win, src from traffic group by 1, 2)")
+def o14_point_estimates(spark, sf_dir):
+    """Every source of each day in sketches of hours that are merged into days: no estimate is below the true count or above it by more
+    than ten times the bound."""
+    rows = events(spark, sf_dir)
+    days = sketches.merged_counts(sketches.count_sketches(rows, "src", "1 hour", error=0.001, confidence=0.999), "1 day")
+    true = rates.rate_by_window(rows, "src", "1 day").select("win", "src", "packets")
+    found = true.join(sketches.point_estimates(days, true, "src", error=0.001, confidence=0.999), ["win", "src"])
+    within = (F.col("estimate") >= F.col("packets")) & (F.col("estimate") - F.col("packets") <= 10 * F.col("bound"))
+    return found.select("win", "src", within.alias("within"))
+
+
 @query(T + "select date_trunc('day', ts)::timestamp as win, dst, count(distinct src) as peers from traffic group by 1, 2")
 def o15_distinct_peers(spark, sf_dir):
     return rates.distinct_peers(events(spark, sf_dir), "dst", "src", "1 day")
@@ -212,6 +238,21 @@ def o15_distinct_peers_approx(spark, sf_dir):
     return rates.distinct_peers(events(spark, sf_dir), "dst", "src", "1 day", rsd=0.02)
 
 
+@query(
+    T
+    + """, slid as (select unnest([time_bucket(interval '6 hours', ts, timestamp '1970-01-01') - to_hours(6 * i) for i in range(4)]) as win, dst, src from traffic)
+select win, dst, true as within from (select distinct win, dst from slid)"""
+)
+def o15_sliding_peers(spark, sf_dir):
+    """Fan-in of sliding days from sketches of six hours, each within 5 % of the exact count."""
+    rows = events(spark, sf_dir)
+    slides = sketches.peer_sketches(rows, "dst", "src", "6 hours")
+    found = sketches.merged_peers(slides, "dst", "1 day", "6 hours")
+    exact = rows.groupBy(F.window("ts", "1 day", "6 hours").getField("start").alias("win"), "dst").agg(F.count_distinct("src").alias("exact"))
+    within = F.abs(F.col("peers") - F.col("exact")) <= F.lit(0.05) * F.col("exact")
+    return found.join(exact, ["win", "dst"], "full").select("win", "dst", F.coalesce(within, F.lit(False)).alias("within"))
+
+
 @query(T + "select date_trunc('day', first)::timestamp as win, count(*) as new_sources from (select min(ts) as first from traffic group by src) group by 1")
 def o16_new_sources(spark, sf_dir):
     return rates.new_sources(events(spark, sf_dir), "src", "1 day")
@@ -285,17 +326,25 @@ def o22_zscore(spark, sf_dir):
     return rounded(shape.zscore(daily(spark, sf_dir), "src", 7), "mean_prev", "sd_prev", "z")
 
 
-@query(
+EWMA = (
     GRID.replace("with traffic", "with recursive traffic")
     + """, o as (select *, row_number() over (partition by src order by win) as i from dense),
  e(src, win, i, packets, ewma) as (select src, win, i, packets, packets::double from o where i = 1
   union all select o.src, o.win, o.i, o.packets, 0.3 * o.packets + 0.7 * e.ewma from e join o on o.src = e.src and o.i = e.i + 1)
 select src, win, packets, round(ewma, 6) as ewma from e"""
 )
+
+
+@query(EWMA)
 def o23_ewma(spark, sf_dir):
     return rounded(shape.ewma(daily(spark, sf_dir), "src", 0.3, 100), "ewma")
 
 
+@query(EWMA)
+def o23_ewma_blocks(spark, sf_dir):
+    return rounded(shape.ewma_blocks(daily(spark, sf_dir), "src", 0.3, block="5 days"), "ewma")
+
+
 CUSUM = GRID + """, p as (select *, sum(packets - 3.0::double) over (partition by src order by win) as p from dense),
  s as (select src, win, packets, p - least(0, min(p) over (partition by src order by win)) as cusum from p)
 select src, win, packets, round(cusum, 6) as cusum, cusum >= 4 as alert from s"""
@@ -306,6 +355,11 @@ def o24_cusum(spark, sf_dir):
     return rounded(shape.cusum(daily(spark, sf_dir), "src", 3.0, 4.0), "cusum")
 
 
+@query(CUSUM)
+def o24_cusum_blocks(spark, sf_dir):
+    return rounded(shape.cusum_blocks(daily(spark, sf_dir), "src", 3.0, 4.0, block="5 days"), "cusum")
+
+
 def both_sides(rows):
     return rows.where("dst = 'signup'").select("src", "ts", "bytes", "record_id"), rows.where("dst = 'purchase'").select("src", "ts", "bytes", "record_id")
 
