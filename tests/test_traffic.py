@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideguard.functions.time import seconds
-from tideguard.operators import pairing, prepare, rates, sessions, shape
+from tideguard.operators import pairing, prepare, rates, sessions, shape, sketches
 from tideguard.sources import traffic
 from tideguard.streaming import detect
 
@@ -589,3 +589,171 @@ def test_answers_leave_the_state():
     assert list(state.maps["open"]) == [(9000, 1)] and list(state.maps["answers"]) == [(5000,)] and state.timers == {5, 19}
     assert list(held.handleExpiredTimer(("a",), Clock(18), None)) == [] and not state.maps["answers"]
     assert [tuple(r) for r in held.handleExpiredTimer(("a",), Clock(19), None)] == [("a", 8)] and not state.maps["open"]
+
+
+# --- prefixes of both families -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("limit, most", [(200_000, 32), (200_000, 2), (0, 2), (0, 1_000)])
+def test_prefixes_of_both_families(spark, monkeypatch, limit, most):
+    """Nested, repeated, whole-space and single-address rules against a loop; no record is lost or repeated, whatever ids they have."""
+    import random
+
+    rng = random.Random(limit + most)
+    monkeypatch.setattr(prepare, "BROADCAST_RULES", limit)
+    monkeypatch.setattr(prepare, "MOST_IN_BIN", most)
+    bases = {4: [rng.getrandbits(32) for _ in range(4)], 16: [rng.getrandbits(128) for _ in range(4)]}
+    rules = []
+    for k in range(120):
+        size = rng.choice([4, 16])
+        plen = rng.choice([8, 9, 12, 15, 16, 17, 20, 23, 24, 25, 30, 8 * size - 1, 8 * size])
+        base = rng.choice(bases[size]) ^ (rng.getrandbits(3) << (8 * size - plen))
+        rules.append((rng.randrange(1000), (base % (1 << 8 * size)).to_bytes(size, "big"), plen))
+    rules += [(5, b"\\0" * 4, 0), (3, b"\\1" * 4, 0), (7, b"abc", 8), (8, None, 8), (9, b"\\0" * 4, 33), (10, b"\\0" * 4, None)]
+    rows = []
+    for i in range(400):
+        size = rng.choice([4, 16])
+        at_ = rng.choice(bases[size]) ^ (rng.getrandbits(4) << rng.randrange(8 * size - 4)) if rng.random() < 0.9 else rng.getrandbits(8 * size)
+        rows.append((rng.choice([i, 1, None]), bytearray((at_ % (1 << 8 * size)).to_bytes(size, "big")), i))
+    rows += [(1, None, 400), (1, bytearray(b"odd"), 401)]
+
+    def best(address):
+        found = []
+        for rule, net, plen in rules:
+            if net is not None and plen is not None and len(net) == len(address) and len(net) in (4, 16) and plen <= 8 * len(net):
+                free = 8 * len(net) - plen
+                if int.from_bytes(net, "big") >> free == int.from_bytes(address, "big") >> free:
+                    found.append((-plen, rule))
+        return min(found, default=None)
+
+    want = [(i, b[1], -b[0]) for _, a, i in rows if a is not None and (b := best(bytes(a)))]
+    df = spark.createDataFrame(rows, "record_id bigint, address binary, i int").selectExpr("*", "i as hit0", "'x' as key0", "-1 as plen")
+    got = prepare.cidr_match(df, spark.createDataFrame(rules, "rule_id bigint, pfx binary, plen int"), "address")
+    assert got.columns == ["record_id", "address", "i", "hit0", "key0", "rule_id", "plen"]
+    assert sorted((r.i, r.rule_id, r.plen) for r in got.collect()) == sorted(want) and len(want) > 100
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_numbered_prefixes_on_both_sides_of_the_limit(spark, monkeypatch):
+    """Five records, two with one id and two without any, all match: five rows on either side."""
+    df = spark.createDataFrame([(1, 10), (1, 11), (None, 12), (None, 13), (2, 1 << 31)], "record_id bigint, src_ip bigint")
+    rules = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 2, 1), (4, -1, 4), (5, 0, 40)], "rule_id bigint, pfx bigint, plen int")
+    for limit in (200_000, 0):
+        monkeypatch.setattr(prepare, "BROADCAST_RULES", limit)
+        assert rows_of(prepare.cidr_match(df, rules).select("src_ip", "rule_id", "plen")) == sorted([(10, 1, 1), (11, 1, 1), (12, 1, 1), (13, 1, 1), (1 << 31, 2, 1)], key=repr)
+
+
+# --- sketches and scans over blocks ------------------------------------------------------------------------------------
+
+
+def test_top_sketches_merge(spark):
+    rows = [(at(20 * i), f"k{i * i % 23}" if i % 17 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, k string")
+    hours = sketches.top_sketches(df, "k", "1 hour", 100)
+    want = {(r.win, r.k): r.packets for r in rates.rate_by_window(df.where("k is not null"), "k", "1 day").collect()}
+    got = {(r.win, r.k): r.packets for r in sketches.merged_top(hours, "k", 100, "1 day", 100).collect() if r.k is not None}
+    assert got == want
+    whole = sketches.merged_top(hours, "k", 3, max_items=100).where("k is not null").collect()
+    assert {r.win for r in whole} == {T0} and len(whole) >= 2
+    assert sketches.merged_top(hours.limit(0), "k", 3).count() == 0
+
+
+def test_counts_are_never_under_the_truth(spark):
+    """Point estimates of merged sketches: at least the true count, and above it by no more than the bound but for a few."""
+    df = spark.range(20_000).selectExpr("timestamp_seconds(id * 7) as ts", "pmod(id * id, 1009) as k", "pmod(id, 4) as j", "cast(pmod(id, 3) as bigint) as w")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    hours = sketches.count_sketches(df, ["k", "j"], "1 hour", error=0.02, confidence=0.95, packets="w")
+    days = sketches.merged_counts(hours, "1 day")
+    assert sketches.count_sketches(df, ["k", "j"], "1 day", error=0.02, confidence=0.95, packets="w").exceptAll(days).count() == 0
+    assert hours.groupBy("win").count().agg(F.max("count")).first()[0] <= 5 * 100
+    true = df.groupBy(F.window("ts", "1 day").getField("start").alias("win"), "k", "j").agg(F.sum("w").alias("w"))
+    found = true.join(sketches.point_estimates(days, true.unionByName(true), ["k", "j"], error=0.02, confidence=0.95), ["win", "k", "j"]).collect()
+    assert len(found) == true.count() and all(r.estimate >= r.w for r in found)
+    assert sum(r.estimate - r.w > r.bound for r in found) <= 0.05 * len(found)
+    none = spark.createDataFrame([(T0, -1, None), (T0 + timedelta(days=900), 1, 1)], "win timestamp_ntz, k bigint, j bigint")
+    assert [r.estimate for r in sketches.point_estimates(days, none, ["k", "j"], error=0.02, confidence=0.95).orderBy("win").collect()][-1] == 0
+
+
+def test_peers_of_sliding_windows(spark):
+    df = spark.range(30_000).selectExpr("timestamp_seconds(id * 5) as ts", "pmod(id, 3) as k", "pmod(id * 7919, 4001) as p").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df = df.withColumn("p", F.expr("if(p % 50 = 0, null, p)"))
+    got = sketches.merged_peers(sketches.peer_sketches(df, "k", "p", "1 hour", lg=12), "k", "6 hours", "1 hour")
+    exact = df.groupBy(F.window("ts", "6 hours", "1 hour").getField("start").alias("win"), "k").agg(F.count_distinct("p").alias("p"))
+    both = got.join(exact, ["win", "k"], "full").collect()
+    assert all(abs(r.peers - r.p) <= max(2, 4 * 1.04 / 2**6 * r.p) for r in both)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("hll_sketch_agg", 1)
+    assert "Expand" in above and "Expand" not in below  # windows repeat sketches, not records
+    with pytest.raises(ValueError):
+        sketches.merged_peers(sketches.peer_sketches(df, "k", "p", "1 hour"), "k", "90 minutes", "1 hour")
+    empty = df.where("k < 0").withColumn("p", F.col("p").cast("double"))
+    assert sketches.merged_peers(sketches.peer_sketches(empty, "k", "p", "1 hour"), "k", "6 hours").count() == 0
+
+
+def test_merged_quantiles(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [("a", at(60 * i), rng.randrange(10_000)) for i in range(3000)] + [("b", at(60 * i), i) for i in range(10)] + [("b", at(0), None)]
+    df = spark.createDataFrame(rows, "k string, win timestamp_ntz, packets bigint")
+    days = sketches.rate_sketches(df, "k", "1 day")
+    for q in (0.1, 0.5, 0.9, 0.99):
+        got = {r.k: (r.limit, r.n_windows) for r in sketches.merged_quantile(days, "k", q).collect()}
+        values = sorted(v for k, _, v in rows if k == "a")
+        assert abs(sum(v <= got["a"][0] for v in values) / 3000 - q) <= 0.04 and got["a"][1] == 3000
+        assert got["b"] == (sorted(range(10))[-(-int(q * 1000) * 10 // 1000) - 1], 10)
+    assert sketches.merged_quantile(days, "k", 0.5, "7 days").where("k = 'a'").count() == 19
+
+
+def test_scans_over_blocks_equal_the_recursions(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for key in ("a", "b", None):
+        times = sorted(rng.sample(range(400), 150))
+        rows += [(key, at(60 * t), rng.choice([None, 1.5, 0.25, 9.0, -3.0])) for t in times]
+    rows += [("all null", at(60 * t), None) for t in (1, 200)]
+    df = spark.createDataFrame(rows, "k string, win timestamp_ntz, x double").selectExpr("*", "'c' as c0", "1 as p", "2 as block")
+    for block in ("1 hour", "7 hours", "10 days", "1 week"):
+        sums, means = {}, {alpha: {} for alpha in (0.3, 0.999999, 1.0, 0.001)}
+        state, held = {}, {}
+        for k, t, x in sorted(rows, key=lambda r: r[1]):
+            state[k] = max(0.0, state.get(k, 0.0) + (0.0 if x is None else x - 1.25))
+            sums[k, t] = (state[k], state[k] >= 4)
+            for alpha, found in means.items():
+                e = held.get((alpha, k))
+                e = e if x is None else x if e is None else alpha * x + (1 - alpha) * e
+                held[alpha, k] = found[k, t] = e
+        got = shape.cusum_blocks(df, "k", 1.25, 4.0, value="x", block=block)
+        assert got.columns == [*df.columns, "cusum", "alert"]
+        found = {(r.k, r.win): (r.cusum, r.alert) for r in got.collect()}
+        assert found.keys() == sums.keys() and all(abs(found[i][0] - s[0]) < 1e-9 and found[i][1] == s[1] for i, s in sums.items())
+        for alpha, want in means.items():
+            got = {(r.k, r.win): r.ewma for r in shape.ewma_blocks(df, "k", alpha, value="x", block=block).collect()}
+            assert got.keys() == want.keys()
+            assert all((got[i] is None) == (e is None) and (e is None or abs(got[i] - e) < 1e-9) for i, e in want.items()), (block, alpha)
+    assert shape.ewma_blocks(df.limit(0), "k", 0.5, value="x").count() == 0
+    with pytest.raises(ValueError):
+        shape.ewma_blocks(df, "k", 0.0, value="x")
+
+
+def test_a_million_windows_of_one_key(spark, not_adaptive):
+    """Fractions: equal to the recursions, and no task has many more rows than others."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'one' as k", "cast(timestamp_seconds(id * 60) as timestamp_ntz) as win", "pmod(id * 7919, 1000) / 997D as packets", "id")
+    cusum = shape.cusum_blocks(df, "k", 0.5, 10.0).select("id", "cusum")
+    ewma = shape.ewma_blocks(df, "k", 0.05).select("id", "ewma")
+    by_task = [r.n for r in cusum.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("cusum")).collect()]
+    assert sum(by_task) == n and len(by_task) == 4 and max(by_task) < 0.5 * n
+    s, e, want = 0.0, None, {}
+    for i in range(n):
+        x = (i * 7919 % 1000) / 997
+        s = max(0.0, s + x - 0.5)
+        e = x if e is None else 0.05 * x + 0.95 * e
+        if i % 9973 == 0 or i == n - 1:
+            want[i] = (s, e)
+    got = {r.id: r.cusum for r in cusum.where("id % 9973 = 0 or id = 999999").collect()}
+    assert all(abs(got[i] - s) < 1e-7 for i, (s, _) in want.items())
+    got = {r.id: r.ewma for r in ewma.where("id % 9973 = 0 or id = 999999").collect()}
+    assert all(abs(got[i] - e) < 1e-12 for i, (_, e) in want.items())

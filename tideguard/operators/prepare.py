@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideguard.functions.columns import listed
+from tideguard.functions.columns import listed, quoted
 
 
 def filter_traffic(df: DataFrame, start: str | None = None, end: str | None = None, predicate: str | None = None, time_col: str = "ts") -> DataFrame:
@@ -31,39 +31,103 @@ def match_list(df: DataFrame, entries: DataFrame, on: str | Sequence[str], keep:
     return df.join(entries.select(*listed(on)).distinct(), listed(on), "left_semi" if keep == "listed" else "left_anti")
 
 
-#: Different prefixes up to which the rules are broadcast.
-BROADCAST_RULES = 1_000_000
+#: Different prefixes up to which the table of bins is broadcast, and the most rules that one bin lists.
+BROADCAST_RULES, MOST_IN_BIN = 200_000, 32
 
 
-def cidr_match(df: DataFrame, rules: DataFrame, ip_col: str = "src_ip", id_cols: str | Sequence[str] = "record_id") -> DataFrame:
+def address_digits(column: Column, kind: str) -> Column:
+    """4 or 6 for the family, then the address in hexadecimal digits, so that order is that of addresses. A number is IPv4, binary is 4 or
+    16 bytes; null for anything else."""
+    if kind == "binary":
+        size = F.octet_length(column)
+        return F.when(size == 4, F.concat(F.lit("4"), F.hex(column))).when(size == 16, F.concat(F.lit("6"), F.hex(column)))
+    number = column.cast("bigint")
+    return F.when(number.between(0, (1 << 32) - 1), F.concat(F.lit("4"), F.lpad(F.hex(number), 8, "0")))
+
+
+def prefix_ranges(rules: DataFrame) -> DataFrame:
+    """plen, lo and hi (first and last address, as address_digits) and rule_id, one row a prefix, that of the lowest id."""
+    if dict(rules.dtypes)["pfx"] == "binary":
+        digits = address_digits(F.col("pfx"), "binary")
+    else:  # the leading plen bits
+        known = F.col("plen").between(0, 32) & F.col("pfx").between(0, F.expr("shiftleft(1L, cast(plen as int)) - 1"))
+        digits = F.when(known, address_digits(F.expr("shiftleft(cast(pfx as bigint), 32 - cast(plen as int))"), "bigint"))
+    named = rules.select("rule_id", F.col("plen").cast("int").alias("plen"), digits.alias("digits"))
+    named = named.where("digits is not null and plen between 0 and 4 * (length(digits) - 1)")
+    whole, rest = "1 + plen div 4", "plen % 4"
+    digit = f"cast(conv(substring(digits, {whole} + 1, 1), 16, 10) as int)"
+    free = f"cast(shiftleft(1, 4 - cast({rest} as int)) - 1 as int)"
+
+    def ended(mixed: str, fill: str) -> str:
+        return f"rpad(concat(substring(digits, 1, cast({whole} as int)), if({rest} = 0, '', hex({mixed}))), length(digits), '{fill}')"
+
+    ranges = named.select("rule_id", "plen", F.expr(ended(f"{digit} & ~{free}", "0")).alias("lo"), F.expr(ended(f"{digit} | {free}", "F")).alias("hi"))
+    return ranges.groupBy("plen", "lo", "hi").agg(F.min("rule_id").alias("rule_id"))
+
+
+def prefix_bins(ranges: DataFrame, few: bool) -> DataFrame:
+    """The rules as bins of a tree: key (a family and whole bytes of an address), whole (the longest rule that covers all of the bin, but
+    not its parent), and listed (the rules inside the bin, longest first, unless the bin is split).
+
+    A bin with more than MOST_IN_BIN rules inside is split by the next byte, so a bin lists few rules however many there are and
+    however they overlap. A rule is listed once and covers 128 bins at most.
+    """
+
+    def hinted(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    rule = F.struct("plen", "rule_id", "lo", "hi").alias("rule")
+    at = ranges.select("lo", "plen", rule)
+    inside = at.where("plen > 0").select("rule", "plen", F.explode(F.expr("transform(sequence(0, (plen - 1) div 8), j -> substring(lo, 1, cast(1 + 2 * j as int)))")).alias("key"))
+    parent = F.expr("if(length(key) > 1, substring(key, 1, length(key) - 2), null)")
+    split = inside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_BIN).select("key")
+    parents = split.withColumnRenamed("key", "parent")
+
+    def below_split(df: DataFrame) -> DataFrame:
+        df = df.withColumn("parent", parent)
+        return df.where("parent is null").drop("parent").unionByName(df.join(hinted(parents), "parent", "left_semi").drop("parent"))
+
+    lists = below_split(inside.join(hinted(split), "key", "left_anti"))
+    lists = lists.groupBy("key").agg(F.sort_array(F.collect_list("rule"), asc=False).alias("listed"))
+    # from lo's last byte, 2 ^ (bits that the last byte leaves free) bins
+    size = "cast(1 + 2 * ((plen + 7) div 8) as int)"
+    byte = f"cast(conv(substring(lo, {size} - 1, 2), 16, 10) as int)"
+    bins = f"transform(sequence({byte}, {byte} + shiftleft(1, cast((8 - plen % 8) % 8 as int)) - 1), b -> concat(substring(lo, 1, {size} - 2), lpad(hex(b), 2, '0')))"
+    whole = at.select("rule", F.expr(f"if(plen = 0, array(substring(lo, 1, 1)), {bins})").alias("keys"))
+    whole = below_split(whole.select("rule", F.explode("keys").alias("key"))).groupBy("key").agg(F.max("rule").alias("whole"))
+    return whole.join(lists, "key", "full") if not few else (
+        whole.withColumn("listed", F.lit(None).cast(lists.schema["listed"].dataType))
+        .unionByName(lists.withColumn("whole", F.lit(None).cast(whole.schema["whole"].dataType)))
+        .groupBy("key").agg(F.max("whole").alias("whole"), F.first("listed", ignorenulls=True).alias("listed"))
+    )
+
+
+def cidr_match(df: DataFrame, rules: DataFrame, ip_col: str = "src_ip", id_cols: str | Sequence[str] | None = None) -> DataFrame:
     """O7. Each record's rule of the longest matching prefix; ties go to the lowest rule_id. Adds rule_id and plen.
 
-    rules: rule_id, pfx (the prefix's leading plen bits as a number), plen (0 to 32). Up to BROADCAST_RULES prefixes, which
-    are counted first, records look one up for each length that occurs (33 at most), so no record moves. With more, a
-    record is repeated for each length and joined on length and prefix; then id_cols must tell records apart. Records
-    without a match are left out.
+    Addresses are numbers (IPv4) or binary (4 or 16 bytes, IPv4 or IPv6, mixed as they come). rules: rule_id, pfx and plen; pfx is the
+    prefix's leading plen bits as a number (IPv4), or a binary address of 4 or 16 bytes, whose further bits don't matter. Any
+    number of rules, nested or repeated, becomes one table of bins, each of which lists few (prefix_bins); a record meets one
+    bin for each byte by which some bin is split, by equi-joins that never repeat it, so id_cols are not needed and not looked at. The
+    two upper levels, 514 bins, are always broadcast; the others up to BROADCAST_RULES prefixes, which are counted first.
+    Records without a match or an address, and rules without a valid prefix, are left out. Columns may have any name; those
+    named rule_id and plen are replaced.
     """
-    # one rule for each prefix, so that a record meets at most one of each length
-    best = rules.groupBy("plen", "pfx").agg(F.min("rule_id").alias("rule_id"))
-    counts = {r.plen: r.n for r in best.groupBy("plen").agg(F.count("*").alias("n")).collect() if r.plen is not None}  # 33 lengths at most
-    if sum(counts.values()) > BROADCAST_RULES:
-        return joined_by_length(df, best, sorted(counts), ip_col, listed(id_cols))
-    found = df
-    for p in sorted(counts, reverse=True):
-        own = best.where(F.col("plen") == p).select(F.col("pfx").cast("bigint").alias(f"__p{p}"), F.col("rule_id").alias(f"__r{p}"))
-        found = found.join(F.broadcast(own), F.expr(f"shiftright(cast(`{ip_col}` as bigint), {32 - p})") == F.col(f"__p{p}"), "left")
-    if not counts:
-        return df.where("false").select("*", F.lit(None).cast(best.schema["rule_id"].dataType).alias("rule_id"), F.lit(None).cast("int").alias("plen"))
-    hits = [(F.col(f"__p{p}").isNotNull(), p) for p in sorted(counts, reverse=True)]
-    plen = F.coalesce(*[F.when(hit, F.lit(p).cast("int")) for hit, p in hits])
-    rule = F.coalesce(*[F.when(hit, F.struct(F.col(f"__r{p}").alias("id"))) for hit, p in hits])["id"]
-    return found.select(*df.columns, rule.alias("rule_id"), plen.alias("plen")).where("plen is not null")
-
-
-def joined_by_length(df: DataFrame, best: DataFrame, lengths: list[int], ip_col: str, ids: list[str]) -> DataFrame:
-    wide = df.withColumn("plen", F.explode(F.array(*[F.lit(p).cast("int") for p in lengths]).cast("array<int>")))
-    keyed = wide.withColumn("pfx", F.expr(f"shiftright(cast(`{ip_col}` as bigint), 32 - plen)"))
-    found = keyed.join(best.withColumn("plen", F.col("plen").cast("int")), ["plen", "pfx"]).drop("pfx")
-    rest = [c for c in df.columns if c not in ids]
-    picked = found.groupBy(*ids).agg(F.max_by(F.struct(*rest, "rule_id", "plen"), F.col("plen")).alias("__best"))
-    return picked.select(*ids, *[F.col(f"__best.{c}").alias(c) for c in [*rest, "rule_id", "plen"]]).select(*df.columns, "rule_id", "plen")
+    kept = [c for c in df.columns if c.lower() not in ("rule_id", "plen")]
+    held = [f"c{i}" for i in range(len(kept))]
+    ranges = prefix_ranges(rules)
+    few = ranges.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    bins = prefix_bins(ranges, few)
+    deepest = bins.agg(F.max(F.length("key"))).first()[0] or 1
+    found = df.select(*[quoted(c).alias(h) for c, h in zip(kept, held)], address_digits(quoted(ip_col), dict(df.dtypes)[ip_col]).alias("address")).where("address is not null")
+    best = []
+    for n, size in enumerate(range(1, deepest + 1, 2)):
+        level = bins.where(F.length("key") == size).select(F.col("key").alias(f"key{n}"), F.col("whole").alias(f"whole{n}"), F.col("listed").alias(f"listed{n}"))
+        level = F.broadcast(level) if few or n < 2 else level
+        found = found.join(level, F.expr(f"substring(address, 1, {size})") == F.col(f"key{n}"), "left")
+        fits = F.filter(f"listed{n}", lambda r: (F.col("address") >= r["lo"]) & (F.col("address") <= r["hi"]))
+        hit = F.coalesce(F.get(fits, F.lit(0)), F.col(f"whole{n}")).alias(f"hit{n}")
+        found = found.select(*held, "address", *[f"hit{i}" for i in range(n)], hit)
+        best.insert(0, f"hit{n}")
+    found = found.withColumn("rule", F.coalesce(*best)).where("rule is not null")
+    return found.select(*[F.col(h).alias(c) for c, h in zip(kept, held)], F.col("rule.rule_id").alias("rule_id"), F.col("rule.plen").alias("plen"))

@@ -105,12 +105,11 @@ def carried(parts: DataFrame, keys: list[str], order: Sequence[str], step: Calla
 
 
 def in_blocks(rates: DataFrame, keys: Sequence[str], value: str, block: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
-    """rates with names that can't clash: k0... for the keys, c0... for all columns, x (the value), win and block; the names of the
-    keys; and what gives the columns their names back, beside new ones."""
-    by, held = [f"k{i}" for i in range(len(keys))], [f"c{i}" for i in range(len(rates.columns))]
-    plain = rates.select(
-        *[quoted(k).alias(b) for k, b in zip(keys, by)], *[quoted(c).alias(h) for c, h in zip(rates.columns, held)], quoted(value).cast("double").alias("x"), F.col("win")
-    )
+    """rates with names that can't clash: key for the keys, c0... for all columns, x (the value), win and block; the name of the
+    key, which is never null, so that joins on it are plain; and what gives the columns their names back, beside new ones."""
+    by, held = ["key"], [f"c{i}" for i in range(len(rates.columns))]
+    key = F.struct(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key")
+    plain = rates.select(key, *[quoted(c).alias(h) for c, h in zip(rates.columns, held)], quoted(value).cast("double").alias("x"), F.col("win"))
     plain = plain.withColumn("block", bucket_at(plain, "win", micros(block)))
 
     def back(df: DataFrame, **new: Column) -> DataFrame:
@@ -120,12 +119,8 @@ def in_blocks(rates: DataFrame, keys: Sequence[str], value: str, block: str) ->
 
 
 def matched(rows: DataFrame, starts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """rows with the columns of starts that belong to their key and block; null keys are a key."""
-    a, b = rows.alias("a"), starts.select(*[F.col(c).alias(f"s_{c}") for c in by], F.coalesce("start", "first").alias("start"), F.col("start").alias("before"))
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"s_{c}"))
-    return a.join(b, same).drop(*[f"s_{c}" for c in by])
+    """rows with start (where a block's own first value stands in for none) and before (null for none) of their key and block."""
+    return rows.join(starts.select(*by, F.coalesce("start", "first").alias("start"), F.col("start").alias("before")), list(by))
 
 
 def cusum_blocks(rates: DataFrame, keys: str | Sequence[str], drift: float, limit: float, value: str = "packets", block: str = BLOCK) -> DataFrame:
@@ -134,7 +129,7 @@ def cusum_blocks(rates: DataFrame, keys: str | Sequence[str], drift: float, limi
     A block turns the sum S before it into max(S + a, b), where a is the sum of its x - drift and b the largest sum of its last
     ones; these pairs are carried from block to block, and each block's rows then start from their own S. So one key is many tasks'
     work, and a long series of fractions keeps its digits. Equal windows of a key are added by ascending value; a null value leaves
-    the sum as it is. Columns may have any name; cusum and alert are replaced.
+    the sum as it is; rows without a window are left out. Columns may have any name; cusum and alert are replaced.
     """
     rows, by, back = in_blocks(rates, listed(keys), value, block)
     over = f"over (partition by {names([*by, 'block'])} order by win, x rows between unbounded preceding and current row)"
@@ -152,7 +147,7 @@ def ewma_blocks(rates: DataFrame, keys: str | Sequence[str], alpha: float, value
 
     A block turns the average e before it into a e + b; these pairs are carried from block to block, so a row holds no list and one key is many tasks' work. A time
     block is cut again before powers of 1 - alpha leave the range of doubles. Null values are passed over, and rows
-    before a key's first value have none. Equal windows of a key go by ascending value. Columns may have any name; ewma is replaced.
+    before a key's first value have none; rows without a window are left out. Equal windows of a key go by ascending value. Columns may have any name; ewma is replaced.
     """
     if not 0 < alpha <= 1:
         raise ValueError(alpha)
@@ -165,8 +160,8 @@ def ewma_blocks(rates: DataFrame, keys: str | Sequence[str], alpha: float, value
     rows = rows.withColumn("i", F.expr(f"i - part * {length}"))
     inside = f"over (partition by {names([*by, 'block', 'part'])} order by win, x nulls last rows between unbounded preceding and current row)"
     power = f"pow({rest!r}D, {{}})"
-    scaled = f"{float(alpha)!r}D * x * {power.format('-i')}" if rest else "x"
-    rows = rows.withColumn("p", F.expr(f"sum({scaled}) {inside}") if rest else F.col("x"))
+    scaled = f"{float(alpha)!r}D * x * {power.format('-i')}"
+    rows = rows.withColumn("p", F.expr(f"sum({scaled}) {inside}" if rest else f"last(x, true) {inside}"))
     parts = rows.groupBy(*by, "block", "part").agg(F.max("i").alias("n"), F.max_by("p", "i").alias("p"), F.min_by("x", F.when(F.col("x").isNotNull(), F.col("i"))).alias("first"))
     # a part without values is the map e -> e
     parts = parts.withColumn("a", F.expr(power.format("n")) if rest else F.when(F.col("n") > 0, F.lit(0.0)).otherwise(F.lit(1.0)))

@@ -32,9 +32,10 @@ def top_sketches(df: DataFrame, key: str, size: str, max_items: int = 10_000, ti
 def merged_top(sketches: DataFrame, key: str, k: int, size: str | None = None, max_items: int = 10_000) -> DataFrame:
     """O14. The k most frequent keys of each longer window, or of all (win is then the first window's), from top_sketches: win,
     key and packets, exact as long as no sketch holds more keys than it tracks, else an estimate."""
-    groups = [window_start("win", size).alias("win")] if size else []
+    # a constant group has no row where there is no sketch
+    groups = window_start("win", size).alias("win") if size else F.lit(1).alias("all")
     first = [] if size else [F.min("win").alias("win")]
-    merged = sketches.groupBy(*groups).agg(F.expr(f"approx_top_k_combine(sketch, {int(max_items)})").alias("sketch"), *first).where("sketch is not null")
+    merged = sketches.groupBy(groups).agg(F.expr(f"approx_top_k_combine(sketch, {int(max_items)})").alias("sketch"), *first).where("sketch is not null")
     top = merged.select("win", F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(k)})")).alias("top"))
     return top.select("win", F.col("top.item").alias(key), F.col("top.count").alias("packets"))
 

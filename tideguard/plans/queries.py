@@ -151,6 +151,30 @@ def o7_cidr_match_all(spark, sf_dir):
     return prepare.cidr_match(events(spark, sf_dir), cidr_rules(spark, sf_dir)).select("record_id", "src_ip", "rule_id", "plen")
 
 
+@query(
+    T
+    + """, addresses as (select record_id, src_ip % 2 as family, case when src_ip % 2 = 0 then '20010DB8' || upper(substr(md5(src::varchar), 1, 8)) || upper(substr(md5(record_id::varchar), 1, 16)) else printf('%08X', src_ip) end as digits from traffic),
+ rules as (
+  select c_custkey as rule_id, 0 as family, 28 + 4 * (c_custkey % 9) as plen, left('20010DB8' || upper(substr(md5((c_custkey % 200)::varchar), 1, 8)), 7 + c_custkey % 9) as start from customer
+  union all
+  select c_custkey, 1, 8 + 4 * (c_custkey % 3), left(printf('%08X', (c_custkey * 2654435761) & 4294967295), 2 + c_custkey % 3) from customer),
+ best as (select family, plen, start, min(rule_id) as rule_id from rules group by all),
+ asked as (select record_id, family, digits, unnest(range(8, 64, 4)) as plen from addresses),
+ hits as (select record_id, rule_id, a.plen, row_number() over (partition by record_id order by a.plen desc) as r from asked a join best b on a.family = b.family and a.plen = b.plen and left(digits, a.plen // 4) = start)
+select record_id, rule_id, plen::int as plen from hits where r = 1"""
+)
+def o7_cidr_match_mixed(spark, sf_dir):
+    """IPv4 and IPv6 in one column of bytes, against 3,000 rules of 12 lengths at sf0.01 that are nested in one another."""
+    even = "src_ip % 2 = 0"
+    six = "concat('20010DB8', substring(md5(cast(src as string)), 1, 8), substring(md5(cast(record_id as string)), 1, 16))"
+    rows = events(spark, sf_dir).selectExpr("record_id", f"unhex(if({even}, {six}, lpad(hex(src_ip), 8, '0'))) as address")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    net = "rpad(concat('20010DB8', substring(md5(cast(c_custkey % 200 as string)), 1, 8)), 32, '0')"
+    rules = customers.selectExpr("c_custkey as rule_id", f"unhex({net}) as pfx", "cast(28 + 4 * (c_custkey % 9) as int) as plen")
+    four = customers.selectExpr("c_custkey as rule_id", "unhex(lpad(hex((c_custkey * 2654435761) & 4294967295), 8, '0')) as pfx", "cast(8 + 4 * (c_custkey % 3) as int) as plen")
+    return prepare.cidr_match(rows, rules.unionByName(four), "address").select("record_id", "rule_id", "plen")
+
+
 @query(T + "select win, src, packets, round(bytes, 6) as bytes, round(packets / 86400.0::double, 9) as packet_rate from day")
 def o8_rate_by_window(spark, sf_dir):
     return rounded(rounded(rates.rate_by_window(events(spark, sf_dir), "src", "1 day", bytes_col="bytes"), "bytes"), "packet_rate", digits=9).drop("byte_rate")
