@@ -16,7 +16,7 @@ from tideguard.llm.common import quoted, stored, table, without
 BROADCAST_SOURCES, SALTS = 4_096, 32
 #: Sources weigh as their bytes to this power unless weights are given: smaller sources are raised.
 EVENNESS = 0.5
-#: Means above this are drawn as a fixed part plus a Poisson part of at most this mean, which keeps exp(-mean) exact.
+#: A count of a larger mean is the sum of independent Poisson counts of equal means of at most this, which keeps exp(-mean) exact.
 MOST = 32.0
 
 
@@ -60,6 +60,17 @@ def poisson(u: Column, mean: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["k"])
 
 
+def count(key: Column, rate: Column, seed: int) -> Column:
+    """A Poisson count of any rate for a key: the sum of as many independent ones as keep each mean at most MOST."""
+    parts = F.greatest(F.ceil(rate / F.lit(MOST)), F.lit(1)).cast("int")
+    mean = rate / parts
+
+    def add(total: Column, part: Column) -> Column:
+        return total + poisson(uniform(F.when(part == 0, key).otherwise(F.concat_ws(":", key, part)), seed), mean)
+
+    return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), add)
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -77,26 +88,25 @@ def mix_sources(
     with count 0 go: that is the draw. Null sources are one source, the empty name; a null text has no bytes; rows with
     equal ids draw equal counts and each row is repeated by itself. A row without an id draws by its text and its row number in
     docs, so such rows draw independently; docs should be a table, whose row numbers are settled. An empty table gives
-    an empty one. Columns named as an output are replaced. A mean above 32 is a fixed whole part plus a Poisson part.
+    an empty one. Columns named as an output are replaced; others may have any name. A mean above MOST is drawn in independent parts.
     """
     made = ["rate", "copies", "copy", "shuffle_key"]
     keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, made))]
     rates = source_rates(docs, source, text, weights, epochs)
     unnamed = F.concat_ws(":", F.lit("row"), F.monotonically_increasing_id(), F.xxhash64(quoted(text)))
     key = F.coalesce(quoted(id_col).cast("string"), unnamed)
-    rows = docs.select(*[quoted(c) for c in keep], key.alias("__id"), F.coalesce(quoted(source).cast("string"), F.lit("")).alias("__source"))
+    held = [f"c{i}" for i in range(len(keep))]  # so that no name can clash
+    rows = docs.select(*[quoted(c).alias(h) for c, h in zip(keep, held)], key.alias("__id"), F.coalesce(quoted(source).cast("string"), F.lit("")).alias("__source"))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
         rows = rows.join(F.broadcast(rates), "__source")
     else:
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"])
-    fixed = F.greatest(F.ceil(F.col("__rate") - F.lit(MOST)), F.lit(0)).cast("int")
-    copies = fixed + poisson(uniform(F.col("__id"), seed), F.col("__rate") - fixed)
-    rows = rows.withColumn("copies", copies).where("copies > 0")
+    rows = rows.withColumn("copies", count(F.col("__id"), F.col("__rate"), seed)).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     order = F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), F.col("__id"), F.col("copy")))
-    rows = rows.select(*[quoted(c) for c in keep], F.col("__rate").alias("rate"), "copies", "copy", order.alias("shuffle_key"))
+    rows = rows.select(*[F.col(h).alias(c) for c, h in zip(keep, held)], F.col("__rate").alias("rate"), "copies", "copy", order.alias("shuffle_key"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # task i gets the i-th of equal ranges of the keys' first 32 bits
     part = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint") * tasks / F.lit(1 << 32)).cast("int")
@@ -114,7 +124,7 @@ with recursive
  totals as (select coalesce(source, '') as s, sum(coalesce(strlen(text), 0))::double as b from documents group by 1),
  whole as (select sum(b) as b, sum(sqrt(b)) as w from totals),
  rates as (select s, coalesce(sqrt(t.b) * w.b / nullif(w.w * t.b, 0), 0) as rate from totals t, whole w),
- split as (select s, rate, greatest(ceil(rate - 32), 0)::int as fixed, rate - greatest(ceil(rate - 32), 0)::int as mean from rates),
+ split as (select s, rate, greatest(ceil(rate / 32), 1)::int as parts, rate / greatest(ceil(rate / 32), 1)::int as mean from rates),
  cdf(s, mean, k, term, total) as (
   select s, mean, 0, exp(-mean), exp(-mean) from split
   union all
@@ -122,7 +132,8 @@ with recursive
  steps as (select s, array_agg(total order by k) as totals from cdf group by s),
  drawn as (
   select d.doc_id, d.source, r.rate,
-   r.fixed + least(len(list_filter(t.totals, lambda x: x <= (('0x' || substr(md5('42:' || d.doc_id), 1, 8))::bigint + 0.5) / 4294967296)), len(t.totals) - 1) as copies
+   list_sum(list_transform(range(r.parts), lambda p: least(len(list_filter(t.totals,
+    lambda x: x <= (('0x' || substr(md5('42:' || d.doc_id || case when p = 0 then '' else ':' || p end), 1, 8))::bigint + 0.5) / 4294967296)), len(t.totals) - 1))) as copies
   from documents d join split r on r.s = coalesce(d.source, '') join steps t on t.s = r.s)
 select doc_id, source, round(rate, 6) as rate, copies::int as copies, copy::int as copy,
  md5('order-42:' || doc_id || ':' || copy) as shuffle_key
