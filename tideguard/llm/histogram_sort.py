@@ -134,13 +134,14 @@ def shard_documents(
     size is the text's UTF-8 bytes plus 1, so null and empty texts (both 1) count too. Equal texts stay in one
     shard unless they cross a boundary by more than the tolerance; ties and repeated rows are told apart by a row
     number, so even one text in all rows is dealt evenly. No boundary cuts a row: one longer than a shard makes an
-    uneven shard. An empty table gives an empty one. Columns named as an output are replaced.
+    uneven shard. An empty table gives an empty one. Columns named as an output are replaced; others may have any name.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, [*made, *KEYS]))]
+    keep = [c for c in (docs.columns if keep is None else keep) if c in set(without(docs, made))]
+    held = [f"c{i}" for i in range(len(keep))]  # so that no name can clash
     data = utf8(text)
     keyed = docs.select(
-        *[quoted(c) for c in keep],
+        *[quoted(c).alias(h) for c, h in zip(keep, held)],
         F.length(data).cast("bigint").__add__(F.lit(1)).alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(data).alias("__k1"),
@@ -163,7 +164,7 @@ def shard_documents(
     dealt = keyed.mapInArrow(deal, extended(keyed.schema.fields, "__chunk bigint, shard int, __before bigint"))
     rank = F.expr(f"row_number() over (partition by __chunk order by {', '.join(KEYS)})")
     return dealt.withColumn("slot", F.col("__before") + rank - 1).select(
-        *[quoted(c) for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        *[F.col(h).alias(c) for c, h in zip(keep, held)], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
