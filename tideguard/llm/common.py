@@ -158,8 +158,10 @@ def arrow_map(
     """
     new = StructType.fromDDL(outputs)
     kept = [c for c in keep if c in set(without(df, new.names))]
-    plan = df.select(*[quoted(c) for c in kept], *[x.alias(f"__in{i}") for i, x in enumerate(inputs)])
-    schema = extended(plan.schema.fields[: len(kept)], outputs)
+    held = [f"c{i}" for i in range(len(kept))]  # so that no name can clash
+    plan = df.select(*[quoted(c).alias(h) for c, h in zip(kept, held)], *[x.alias(f"in{i}") for i, x in enumerate(inputs)])
+    made = [f"out{i}" for i in range(len(new.names))]
+    schema = StructType([*plan.schema.fields[: len(kept)], *[StructField(m, f.dataType, f.nullable) for m, f in zip(made, new.fields)]])
     n, width = len(kept), len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,8 @@ def arrow_map(
         compute = start()
         for batch in batches:
             got = compute(*[batch.column(n + i).to_pylist() for i in range(width)])
-            made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*kept, *new.names])
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=[*held, *made])
 
-    return plan.mapInArrow(run, schema)
+    found = plan.mapInArrow(run, schema)
+    return found.select(*[F.col(h).alias(c) for c, h in zip([*kept, *new.names], [*held, *made])])
