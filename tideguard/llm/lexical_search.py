@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tideguard.llm.common import discard, quoted, stored, table, utf8
 from tideguard.llm.token_align import Csr, product
@@ -387,7 +387,7 @@ def search_documents(
         named = found.join(F.broadcast(names), "item").select(F.col("item_id").alias(item_id), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
         result = named if result is None else result.unionByName(named)
     if result is None:
-        result = spark.createDataFrame([], StructType([StructField(item_id, kinds[item_id])]).add("rank", "int").add(id_col, "bigint").add("score", "bigint"))
+        result = spark.createDataFrame([], StructType([StructField(item_id, kinds[item_id]), StructField("rank", IntegerType()), StructField(id_col, LongType()), StructField("score", LongType())]))
     return result
 
 
