@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tideguard.functions.columns import listed, quoted
 
@@ -32,7 +34,7 @@ def match_list(df: DataFrame, entries: DataFrame, on: str | Sequence[str], keep:
 
 
 #: Different prefixes up to which the table of bins is broadcast, and the most rules that one bin lists.
-BROADCAST_RULES, MOST_IN_BIN = 200_000, 32
+BROADCAST_RULES, MOST_IN_BIN = 50_000, 32
 
 
 def address_digits(column: Column, kind: str) -> Column:
@@ -65,41 +67,58 @@ def prefix_ranges(rules: DataFrame) -> DataFrame:
     return ranges.groupBy("plen", "lo", "hi").agg(F.min("rule_id").alias("rule_id"))
 
 
-def prefix_bins(ranges: DataFrame, few: bool) -> DataFrame:
+def prefix_bins(ranges: DataFrame) -> DataFrame:
     """The rules as bins of a tree: key (a family and whole bytes of an address), whole (the longest rule that covers all of the bin, but
     not its parent), and listed (the rules inside the bin, longest first, unless the bin is split).
 
     A bin with more than MOST_IN_BIN rules inside is split by the next byte, so a bin lists few rules however many there are and
     however they overlap. A rule is listed once and covers 128 bins at most.
     """
-
-    def hinted(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if few else df
-
     rule = F.struct("plen", "rule_id", "lo", "hi").alias("rule")
     at = ranges.select("lo", "plen", rule)
-    inside = at.where("plen > 0").select("rule", "plen", F.explode(F.expr("transform(sequence(0, (plen - 1) div 8), j -> substring(lo, 1, cast(1 + 2 * j as int)))")).alias("key"))
-    parent = F.expr("if(length(key) > 1, substring(key, 1, length(key) - 2), null)")
+    inside = at.where("plen > 0").select("rule", F.explode(F.expr("transform(sequence(0, (plen - 1) div 8), j -> substring(lo, 1, cast(1 + 2 * j as int)))")).alias("key"))
     split = inside.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_BIN).select("key")
     parents = split.withColumnRenamed("key", "parent")
 
     def below_split(df: DataFrame) -> DataFrame:
-        df = df.withColumn("parent", parent)
-        return df.where("parent is null").drop("parent").unionByName(df.join(hinted(parents), "parent", "left_semi").drop("parent"))
+        df = df.withColumn("parent", F.expr("if(length(key) > 1, substring(key, 1, length(key) - 2), null)"))
+        return df.where("parent is null").drop("parent").unionByName(df.join(parents, "parent", "left_semi").drop("parent"))
 
-    lists = below_split(inside.join(hinted(split), "key", "left_anti"))
-    lists = lists.groupBy("key").agg(F.sort_array(F.collect_list("rule"), asc=False).alias("listed"))
+    lists = below_split(inside.join(split, "key", "left_anti")).groupBy("key").agg(F.sort_array(F.collect_list("rule"), asc=False).alias("listed"))
     # from lo's last byte, 2 ^ (bits that the last byte leaves free) bins
     size = "cast(1 + 2 * ((plen + 7) div 8) as int)"
     byte = f"cast(conv(substring(lo, {size} - 1, 2), 16, 10) as int)"
     bins = f"transform(sequence({byte}, {byte} + shiftleft(1, cast((8 - plen % 8) % 8 as int)) - 1), b -> concat(substring(lo, 1, {size} - 2), lpad(hex(b), 2, '0')))"
-    whole = at.select("rule", F.expr(f"if(plen = 0, array(substring(lo, 1, 1)), {bins})").alias("keys"))
-    whole = below_split(whole.select("rule", F.explode("keys").alias("key"))).groupBy("key").agg(F.max("rule").alias("whole"))
-    return whole.join(lists, "key", "full") if not few else (
-        whole.withColumn("listed", F.lit(None).cast(lists.schema["listed"].dataType))
-        .unionByName(lists.withColumn("whole", F.lit(None).cast(whole.schema["whole"].dataType)))
-        .groupBy("key").agg(F.max("whole").alias("whole"), F.first("listed", ignorenulls=True).alias("listed"))
-    )
+    keys = at.select("rule", F.explode(F.expr(f"if(plen = 0, array(substring(lo, 1, 1)), {bins})")).alias("key"))
+    whole = below_split(keys).groupBy("key").agg(F.max("rule").alias("whole"))
+    return whole.join(lists, "key", "full")
+
+
+def few_bins(ranges: DataFrame, rows: Sequence[Row]) -> tuple[DataFrame, int]:
+    """prefix_bins of at most BROADCAST_RULES rules, which are rows, and its longest key, made on the driver, as all tasks get
+    the table anyway."""
+    inside, whole = defaultdict(list), {}
+    rules = [(r.plen, r.rule_id, r.lo, r.hi) for r in rows]
+    for rule in rules:
+        for j in range((rule[0] + 7) // 8):
+            inside[rule[2][: 1 + 2 * j]].append(rule)
+    split = {key for key, held in inside.items() if len(held) > MOST_IN_BIN}
+
+    def reached(key: str) -> bool:
+        return len(key) == 1 or key[:-2] in split
+
+    for rule in sorted(rules, key=lambda r: r[0]):  # longer ones come later and stay
+        plen, _, lo, _ = rule
+        n = (plen + 7) // 8
+        if reached(lo[: 1 + 2 * n]):
+            first = int(lo[2 * n - 1 : 2 * n + 1], 16) if n else 0
+            keys = [f"{lo[: 2 * n - 1]}{b:02X}" for b in range(first, first + (1 << 8 * n - plen))] if n else [lo[0]]
+            whole |= dict.fromkeys(keys, rule)
+    lists = {key: sorted(held, key=lambda r: -r[0]) for key, held in inside.items() if key not in split and reached(key)}
+    kind = ranges.select(F.struct("plen", "rule_id", "lo", "hi").alias("rule")).schema["rule"].dataType
+    schema = StructType([StructField("key", StringType()), StructField("whole", kind), StructField("listed", ArrayType(kind))])
+    keys = whole.keys() | lists.keys()
+    return ranges.sparkSession.createDataFrame([(key, whole.get(key), lists.get(key)) for key in keys], schema), max(map(len, keys), default=1)
 
 
 def cidr_match(df: DataFrame, rules: DataFrame, ip_col: str = "src_ip", id_cols: str | Sequence[str] | None = None) -> DataFrame:
@@ -116,9 +135,12 @@ def cidr_match(df: DataFrame, rules: DataFrame, ip_col: str = "src_ip", id_cols:
     kept = [c for c in df.columns if c.lower() not in ("rule_id", "plen")]
     held = [f"c{i}" for i in range(len(kept))]
     ranges = prefix_ranges(rules)
-    few = ranges.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    bins = prefix_bins(ranges, few)
-    deepest = bins.agg(F.max(F.length("key"))).first()[0] or 1
+    some = ranges.limit(BROADCAST_RULES + 1).collect()
+    if few := len(some) <= BROADCAST_RULES:
+        bins, deepest = few_bins(ranges, some)
+    else:
+        bins = prefix_bins(ranges)
+        deepest = bins.agg(F.max(F.length("key"))).first()[0]
     found = df.select(*[quoted(c).alias(h) for c, h in zip(kept, held)], address_digits(quoted(ip_col), dict(df.dtypes)[ip_col]).alias("address")).where("address is not null")
     best = []
     for n, size in enumerate(range(1, deepest + 1, 2)):
