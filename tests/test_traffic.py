@@ -757,3 +757,58 @@ def test_a_million_windows_of_one_key(spark, not_adaptive):
     assert all(abs(got[i] - s) < 1e-7 for i, (s, _) in want.items())
     got = {r.id: r.ewma for r in ewma.where("id % 9973 = 0 or id = 999999").collect()}
     assert all(abs(got[i] - e) < 1e-12 for i, (_, e) in want.items())
+
+
+# --- filters before joins, and sightings that are kept -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [1 << 18, 1])
+def test_large_lists_equal_small_ones(spark, monkeypatch, most):
+    from tideguard.functions import bloom
+
+    monkeypatch.setattr(bloom, "MOST_BLOCKS", most)
+    rows = [(i, i % 900 if i % 11 else None, f"p{i % 7}" if i % 13 else None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "record_id bigint, src int, port string").withColumn("__block", F.lit("mine")).withColumn("__k0", F.lit("too"))
+    entries = spark.createDataFrame([(k, f"p{k % 5}" if k % 3 else None) for k in [*range(0, 2000, 9)] * 2] + [(None, "p1")], "src bigint, port string")
+    for on in ("src", ["src", "port"]):
+        for keep in ("listed", "unlisted"):
+            got = prepare.match_large_list(df, entries, on, keep)
+            assert got.columns == df.columns
+            assert rows_of(got) == rows_of(prepare.match_list(df, entries, on, keep))
+    assert prepare.match_large_list(df, entries.limit(0), "src").count() == 0
+    assert prepare.match_large_list(df, entries.limit(0), "src", "unlisted").count() == 5000
+    with pytest.raises(ValueError):
+        prepare.match_large_list(df, entries, "src", "both")
+
+
+def test_only_matches_and_a_small_share_pass_the_filter(spark):
+    from tideguard.functions import bloom
+
+    entries = spark.range(20_000).selectExpr("id as k")
+    n = bloom.blocks_for(20_000)
+    rows = bloom.tested(spark.range(200_000).selectExpr("id as k"), ["k"], bloom.bloom_filter(entries, ["k"], n), n, "passes")
+    counts = {(r.listed, r.passes): r["count"] for r in rows.selectExpr("k < 20000 as listed", "passes").groupBy("listed", "passes").count().collect()}
+    assert (True, False) not in counts and counts.get((False, True), 0) < 0.005 * 180_000
+    assert bloom.merged(bloom.bloom_filter(entries.where("k < 99"), ["k"], n), bloom.bloom_filter(entries.where("k >= 50"), ["k"], n)).exceptAll(bloom.bloom_filter(entries, ["k"], n)).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1 << 16, 1])
+def test_sightings_day_by_day(spark, tmp_path, blocks):
+    """Days in any order and some twice, a late record, a null source: as new_sources on the whole; no old traffic is read."""
+    import random
+
+    from tideguard.operators import sightings
+
+    rng = random.Random(8)
+    rows = [(T0 + timedelta(days=rng.randrange(6), minutes=rng.randrange(1440)), rng.choice([None, *range(300)]), rng.choice("xy")) for _ in range(500)] + [(None, 1, "x")]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, src bigint, dst string")
+    path, gave = f"file://{tmp_path}/kept", []
+    for day in (3, 0, 1, 0, 5, 2, 4):
+        new = df.where((F.col("ts") >= T0 + timedelta(days=day)) & (F.col("ts") < T0 + timedelta(days=day + 1)))
+        added = sightings.update_sightings(new, path, ["src", "dst"], blocks=blocks)
+        gave.append(added.count())
+    assert gave[3] == 0  # the same day again
+    seen = sightings.sightings(spark, path, ["src", "dst"])
+    assert rows_of(seen) == rows_of(df.where("ts is not null").groupBy("src", "dst").agg(F.min("ts").alias("first_ts")))
+    assert rows_of(sightings.sources_by_window(seen, "1 day")) == rows_of(rates.new_sources(df.where("ts is not null"), ["src", "dst"], "1 day"))
+    assert sum("file" in f for f in seen.inputFiles()) and all("/kept/seen/" in f for f in seen.inputFiles())

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideguard.operators import pairing, prepare, rates, sessions, shape, sketches
+from tideguard.operators import pairing, prepare, rates, sessions, shape, sightings, sketches
 from tideguard.sources import traffic
 from tideguard.streaming import detect
 
@@ -122,6 +122,16 @@ def o6_match_unlisted(spark, sf_dir):
     return prepare.match_list(events(spark, sf_dir), building(spark, sf_dir), "src", "unlisted").select("record_id", "src")
 
 
+@query(ORACLES["o6_match_listed"])
+def o6_match_large_listed(spark, sf_dir):
+    return prepare.match_large_list(events(spark, sf_dir), building(spark, sf_dir), "src").select("record_id", "src")
+
+
+@query(ORACLES["o6_match_unlisted"])
+def o6_match_large_unlisted(spark, sf_dir):
+    return prepare.match_large_list(events(spark, sf_dir), building(spark, sf_dir), "src", "unlisted").select("record_id", "src")
+
+
 def cidr_rules(spark, sf_dir):
     """Every customer as a rule of 8, 12 or 16 bits."""
     plen = "cast(8 + 4 * (c_custkey % 3) as int)"
@@ -281,6 +291,15 @@ def o16_new_sources(spark, sf_dir):
     return rates.new_sources(events(spark, sf_dir), "src", "1 day")
 
 
+@query(ORACLES["o16_new_sources"])
+def o16_stored_sightings(spark, sf_dir):
+    """Three updates of ten days each, the later days first."""
+    path = shared(spark, "o16")
+    for start, end in (("2024-01-11", "2024-01-21"), ("2024-01-21", None), (None, "2024-01-11")):
+        sightings.update_sightings(prepare.filter_traffic(events(spark, sf_dir), start, end), path, "src")
+    return sightings.sources_by_window(sightings.sightings(spark, path, "src"), "1 day")
+
+
 @query(
     T
     + """select date_trunc('day', ts)::timestamp as win, src, count(*) filter (dst = 'signup') as num, count(*) filter (dst = 'purchase') as den,

@@ -43,3 +43,10 @@ def write_alerts(df: DataFrame, path: str, checkpoint: str | None = None, fmt: s
         raise ValueError("a stream needs a checkpoint folder")
     stream = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return (stream.partitionBy(partition_by) if partition_by else stream).start(path)
+
+
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in one, in any store; none if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()] if files.exists(where) else []
