@@ -242,6 +242,13 @@ def o14_approx_all_talkers(spark, sf_dir):
     return rates.approx_top_talkers(events(spark, sf_dir), "src", 100_000, 1_000_000)
 
 
+@query(T + "select row_number() over (order by packets desc)::int as rank, packets from (select src, count(*) as packets from traffic group by src) qualify rank <= 10")
+def o14_approx_top_counts(spark, sf_dir):
+    """The counts of the ten most frequent keys, whichever of equal ones is named; exact, as fewer keys than the sketch tracks occur."""
+    top = rates.approx_top_talkers(events(spark, sf_dir), "src", 10, 100_000)
+    return top.selectExpr("row_number() over (order by packets desc) as rank", "packets")
+
+
 @query(T + "select date_trunc('day', ts)::timestamp as win, src, count(*) as packets from traffic group by 1, 2")
 def o14_merged_top_talkers(spark, sf_dir):
     """Days of 24 hourly sketches; exact, as they track more keys than there are."""
@@ -271,6 +278,16 @@ def o15_distinct_peers_approx(spark, sf_dir):
     return rates.distinct_peers(events(spark, sf_dir), "dst", "src", "1 day", rsd=0.02)
 
 
+@query(T + "select date_trunc('day', ts)::timestamp as win, dst, true as within from traffic group by 1, 2")
+def o15_distinct_peers_bound(spark, sf_dir):
+    """o15_distinct_peers_approx beside the exact numbers, each within four times the asked deviation."""
+    rows = events(spark, sf_dir)
+    near = rates.distinct_peers(rows, "dst", "src", "1 day", rsd=0.02)
+    exact = rates.distinct_peers(rows, "dst", "src", "1 day").withColumnRenamed("peers", "exact")
+    within = F.abs(F.col("peers") - F.col("exact")) <= F.greatest(F.lit(1.0), F.lit(0.08) * F.col("exact"))
+    return near.join(exact, ["win", "dst"], "full").select("win", "dst", F.coalesce(within, F.lit(False)).alias("within"))
+
+
 @query(
     T
     + """, slid as (select unnest([time_bucket(interval '6 hours', ts, timestamp '1970-01-01') - to_hours(6 * i) for i in range(4)]) as win, dst, src from traffic)
