@@ -1,18 +1,19 @@
 """URL filters: prefix rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
-The filter is a table of 256-bit blocks that Spark's bit_or sums up from the list, so it is built where the list is. A URL looks
-one block up and tests eight bits in it. Those that pass are joined with the list itself, which removes false positives; all
-others, nearly every row, are decided without a shuffle.
+The filter is a table of 256-bit blocks that Spark's bit_or sums up from the list, so it is built where the list is (functions/bloom.py).
+A URL looks one block up and tests eight bits in it. Those that pass are joined with the list itself, which removes false
+positives; all others, nearly every row, are decided without a shuffle. The filter has 8 MB at most, so it is broadcast whatever
+the list's length; beyond 4 million entries more URLs pass falsely, and the join removes them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideguard.functions import bloom
 from tideguard.llm.common import quoted, salted_join, stored, table, without
 
 # The rules of the query, as (verdict, host, path).
@@ -27,9 +28,6 @@ RULES = [
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 # Words of host names whose pages the query lists.
 LISTED_HOSTS = ["spam", "pills", "casino", "bets", "adult", "ads"]
-#: Bits of a list's entry, until the filter has MOST_BLOCKS blocks: 8 MB, so it may be broadcast whatever the list's length. Beyond
-#: 4 million entries more URLs pass falsely, and the join removes them.
-BITS_PER_ENTRY, BLOCK_BITS, MOST_BLOCKS = 16, 256, 1 << 18
 
 
 def host_of(url: Column) -> Column:
@@ -54,19 +52,6 @@ def canonical(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, query))
 
 
-def words(entry: str) -> list[str]:
-    """SQL of the four 64-bit words in which an entry sets its eight bits, one in each half."""
-    bits = [f"cast(shiftright(xxhash64({entry}, 'bits'), {5 * i}) & 31 as int)" for i in range(8)]
-    return [f"shiftleft(1L, {bits[2 * j]}) | shiftleft(1L, 32 + {bits[2 * j + 1]})" for j in range(4)]
-
-
-def bloom_blocks(entries: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """(block, w0 to w3) of the n entries (a column named entry), and how many blocks there are in all. Blocks without an entry have no row."""
-    blocks = min(MOST_BLOCKS, 1 << ceil(log2(max(1, n * BITS_PER_ENTRY / BLOCK_BITS))))
-    set_bits = entries.select(F.expr(f"pmod(xxhash64(entry), {blocks})").alias("block"), *[F.expr(w).alias(f"w{j}") for j, w in enumerate(words("entry"))])
-    return set_bits.groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(4)]), blocks
-
-
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], value) -> Column:
     """value(rule) of the longest rule (host and path together) that fits; null if none does. Of equally long ones block wins."""
     found = F.lit(None).cast("string")
@@ -99,7 +84,7 @@ def judge_urls(
     held = [f"c{i}" for i in range(len(keep))]
     entries = listed.select(canonical(quoted(listed_url)).alias("entry")).where("entry is not null").distinct()
     entries = stored(entries, "listed")
-    blocks, n_blocks = bloom_blocks(entries, entries.count())
+    blocks = bloom.blocks_for(entries.count())
     plain = pages.select(*[quoted(c).alias(h) for c, h in zip(keep, held)], quoted(url).cast("string").alias("url"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = plain.withColumns({"host": host, "path": path})
@@ -110,11 +95,8 @@ def judge_urls(
         }
     )
     rows = rows.withColumn("entry", F.when(F.col("verdict").isNull(), canonical(F.col("url")))).drop("url")
-    tested = rows.withColumn("block", F.expr(f"pmod(xxhash64(entry), {n_blocks})")).join(F.broadcast(blocks), "block", "left")
-    passes = F.lit(True)
-    for j, w in enumerate(words("entry")):
-        passes = passes & F.expr(f"coalesce(w{j} & ({w}) = ({w}), false)")
-    tested = tested.withColumn("entry", F.when(F.col("entry").isNotNull() & passes, F.col("entry")))
+    tested = bloom.tested(rows, ["entry"], bloom.bloom_filter(entries, ["entry"], blocks), blocks, "passes")
+    tested = tested.withColumn("entry", F.when(F.col("entry").isNotNull() & F.col("passes"), F.col("entry")))
     tested = stored(tested.select(*held, "host", "path", "rule", "verdict", "entry"), "judged")
     sure = tested.where("entry is null").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     possible = tested.where("entry is not null")
