@@ -808,6 +808,7 @@ def test_sightings_day_by_day(spark, tmp_path, blocks):
         added = sightings.update_sightings(new, path, ["src", "dst"], blocks=blocks)
         gave.append(added.count())
     assert gave[3] == 0  # the same day again
+    assert sorted(p.name for p in (tmp_path / "kept" / "filter").iterdir()) == ["__version=5", "__version=6"]
     seen = sightings.sightings(spark, path, ["src", "dst"])
     assert rows_of(seen) == rows_of(df.where("ts is not null").groupBy("src", "dst").agg(F.min("ts").alias("first_ts")))
     assert rows_of(sightings.sources_by_window(seen, "1 day")) == rows_of(rates.new_sources(df.where("ts is not null"), ["src", "dst"], "1 day"))

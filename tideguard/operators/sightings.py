@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideguard.functions import bloom
 from tideguard.functions.columns import listed, quoted
 from tideguard.functions.time import window_start
-from tideguard.sources.traffic import sub_folders
+from tideguard.sources.traffic import remove_folder, sub_folders
 
 #: Blocks of the filter of known sources, 2 MB: one in 1,000 new sources passes falsely at a million known ones.
 BLOCKS = 1 << 16
@@ -48,6 +48,8 @@ def update_sightings(new: DataFrame, path: str, src: str | Sequence[str], time_c
     added = spark.read.schema(batch.schema).parquet(f"{path}/seen/__batch={n}")
     bits = bloom.bloom_filter(added, keys, blocks)
     (bits if old is None else bloom.merged(old, bits)).write.parquet(f"{path}/filter/__version={n}")
+    for version in versions[:-1]:  # the one before stays for who reads it now
+        remove_folder(spark, f"{path}/filter/__version={version}")
     return added
 
 

@@ -50,3 +50,8 @@ def sub_folders(spark: SparkSession, path: str) -> list[str]:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory()] if files.exists(where) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

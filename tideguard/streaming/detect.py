@@ -75,6 +75,14 @@ def stream_unanswered(req: DataFrame, resp: DataFrame, on: str | Sequence[str],
     return rows.select(*[F.col(c if c in on else f"req_{c}").alias(c) for c in req.columns])
 
 
+def passed(done, now: int) -> bool:
+    """Whether a key's timers have been seen to at this watermark: of those that expire together the first does all the work."""
+    if done.exists() and done.get()[0] >= now:
+        return True
+    done.update((now,))
+    return False
+
+
 class UnansweredProcessor(StatefulProcessor):
     """Holds a key's open requests until a response or their timer, and its responses until the watermark has passed them, as a
     request that comes later may still be older than they are. Times are microseconds."""
@@ -87,6 +95,7 @@ class UnansweredProcessor(StatefulProcessor):
         self.open = handle.getMapState("open", "at bigint, n bigint", "request binary")
         self.answers = handle.getMapState("answers", "at bigint", "seen boolean")
         self.number = handle.getValueState("number", "n bigint")
+        self.done = handle.getValueState("done", "at bigint")
 
     def answered(self, at: int, times: list[int]) -> bool:
         first = bisect_right(times, at)
@@ -119,6 +128,8 @@ class UnansweredProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
+        if passed(self.done, now):
+            return
         for (at, n), (request,) in sorted((tuple(k), tuple(v)) for k, v in self.open.iterator()):
             if at + self.within <= now:
                 self.open.removeKey((at, n))
@@ -193,6 +204,7 @@ class OrderedCusumProcessor(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "at bigint", "values binary")
         self.sum = handle.getValueState("sum", "s double")
+        self.done = handle.getValueState("done", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new = defaultdict(list)
@@ -206,7 +218,7 @@ class OrderedCusumProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        ready = sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
+        ready = [] if passed(self.done, now) else sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
         if not ready:
             return
         held = self.sum.get()[0] if self.sum.exists() else 0.0
