@@ -133,7 +133,7 @@ with recursive
  drawn as (
   select d.doc_id, d.source, r.rate,
    list_sum(list_transform(range(r.parts), lambda p: least(len(list_filter(t.totals,
-    lambda x: x <= (('0x' || substr(md5('42:' || d.doc_id || case when p = 0 then '' else ':' || p end), 1, 8))::bigint + 0.5) / 4294967296)), len(t.totals) - 1))) as copies
+    lambda x: x <= (('0x' || substr(md5('42:' || d.doc_id || case when p = 0 then '' else ':' || p end), 1, 8))::bigint + 0.5) / 4294967296)), len(t.totals) - 1)))::int as copies
   from documents d join split r on r.s = coalesce(d.source, '') join steps t on t.s = r.s)
 select doc_id, source, round(rate, 6) as rate, copies::int as copies, copy::int as copy,
  md5('order-42:' || doc_id || ':' || copy) as shuffle_key
