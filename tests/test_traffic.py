@@ -813,3 +813,51 @@ def test_sightings_day_by_day(spark, tmp_path, blocks):
     assert rows_of(seen) == rows_of(df.where("ts is not null").groupBy("src", "dst").agg(F.min("ts").alias("first_ts")))
     assert rows_of(sightings.sources_by_window(seen, "1 day")) == rows_of(rates.new_sources(df.where("ts is not null"), ["src", "dst"], "1 day"))
     assert sum("file" in f for f in seen.inputFiles()) and all("/kept/seen/" in f for f in seen.inputFiles())
+
+
+# --- streams whose state is a group of keys ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("entry", [7, 10_000])
+def test_requests_of_many_keys_share_their_state(monkeypatch, entry):
+    """Rows of a group in three batches against a loop: each request leaves when its time has come, and state is not an entry a row."""
+    import random
+
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(detect, "ENTRY", entry, raising=False)
+    rng, state, within = random.Random(3), Fake(), 4_000
+    held = detect.UnansweredProcessor(within, 2, ["g", "k0", "r0"])
+    held.init(state)
+    made = [(rng.randrange(1_000, 400_000), rng.choice([1.0, 2.0, float("nan"), None]), rng.random() < 0.5, i) for i in range(900)]
+    asked = {i: (at, k) for at, k, ask, i in made if ask}
+    answers = [(at, repr(k)) for at, k, ask, i in made if not ask and k is not None]
+    open_ = {i for i, (at, k) in asked.items() if not any(name == repr(k) and at < t <= at + within for t, name in answers)}
+    assert 50 < len(open_) < len(asked) - 50 and any(asked[i][1] != asked[i][1] for i in open_)
+    due = lambda i: -(-(asked[i][0] + within) // 1000)
+    left, most = set(), 0
+    for n, clock in ((0, 100), (1, 230), (2, 900)):
+        # a batch has no row that is older than the watermark
+        batch = [m for m in made if m[0] > 100_000 * (n > 0) + 130_000 * (n > 1) and (m[3] % 3 == n or m[0] <= 100_000 + 130_000 * (n > 0)) and m[3] not in left]
+        left |= {m[3] for m in batch}
+        held.handleInputRows((5,), iter([Row(g=5, k0=k, time=None, at=at, ask=ask, r0=i) for at, k, ask, i in batch]), None)
+        most = max(most, len(state.maps["open"]) + len(state.maps["answers"]))
+        got = [tuple(r) for r in held.handleExpiredTimer((5,), Clock(clock), None)]
+        assert sorted(r[2] for r in got) == sorted(i for i in open_ if due(i) <= clock)
+        assert all(r[0] == 5 and repr(r[1]) == repr(asked[r[2]][1]) for r in got)
+        open_ -= {r[2] for r in got}
+    assert left == {m[3] for m in made} and not open_ and not state.maps["open"] and not state.maps["answers"]
+    assert most <= 6 if entry > 900 else most > 6
+    assert list(held.handleExpiredTimer((5,), Clock(901), None)) == []
+
+
+def test_answers_across_time_buckets(spark, tmp_path, rocksdb):
+    """Keys of two columns, times on the edges of buckets; an answer counts to the microsecond."""
+    schema = "side string, id bigint, ts timestamp, a string, b double"
+    edge, us = T0 - timedelta(days=1), timedelta(microseconds=1)
+    ten = timedelta(minutes=10)
+    rows = [("q", 1, edge, "x", 1.0), ("r", 0, edge + ten, "x", 1.0), ("q", 2, edge, "y", 1.0), ("r", 0, edge + ten + us, "y", 1.0), ("q", 3, edge - us, "z", 1.0), ("r", 0, edge, "z", 1.0)]
+    rows += [("q", 4, edge - us, "z", 2.0), ("r", 0, edge - us, "z", 2.0), ("q", 5, edge, "n", None), ("r", 0, edge + us, "n", None), ("q", 6, edge, "m", float("nan")), ("r", 0, edge + us, "m", float("nan"))]
+    rows += [("q", 9, T0, "end", 0.0), ("r", 0, T0, "end", 0.0)]
+    make = lambda s: detect.stream_unanswered_timed(s.where("side = 'q'").drop("side"), s.where("side = 'r'").drop("side"), ["a", "b"], "10 minutes", "10 minutes")
+    assert sorted(r.id for r in fed(spark, tmp_path, [rows], schema, make)[0]) == [2, 4, 5]

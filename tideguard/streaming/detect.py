@@ -9,9 +9,10 @@ import pickle
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, TimestampType
@@ -83,76 +84,141 @@ def passed(done, now: int) -> bool:
     return False
 
 
+#: Requests or responses that one entry of state holds at most.
+ENTRY = 10_000
+
+
+def frozen(value):
+    """A value as a dictionary's key, equal where Spark's grouping has it equal: NaN is itself, nested and binary values can be hashed."""
+    if isinstance(value, (tuple, list)):
+        return tuple(map(frozen, value))
+    if isinstance(value, bytearray):
+        return bytes(value)
+    return value if value == value else "NaN"
+
+
+def dealt(keys: Sequence[Column], groups: int) -> Column:
+    """The number of a row's group of keys. One group's state is a few entries of many rows, as each access to state from Python is a message."""
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("g")
+
+
 class UnansweredProcessor(StatefulProcessor):
-    """Holds a key's open requests until a response or their timer, and its responses until the watermark has passed them, as a
-    request that comes later may still be older than they are. Times are microseconds."""
+    """Holds a group's open requests until a response or their timer, and its responses until the watermark has passed them, as a
+    request that comes later may still be older than they are. Times are microseconds.
+
+    An entry of state is what one batch brought for the group, in the order of time and named by its first time. Rows begin with n_keys
+    columns, of which the first are the group's and the others a key within it.
+    """
 
     def __init__(self, within: int, n_keys: int, columns: list[str]):
         self.within, self.n_keys, self.row = within, n_keys, Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "at bigint, n bigint", "request binary")
-        self.answers = handle.getMapState("answers", "at bigint", "seen boolean")
-        self.number = handle.getValueState("number", "n bigint")
-        self.done = handle.getValueState("done", "at bigint")
+        self.open = handle.getMapState("open", "at bigint, n bigint", "requests binary")
+        self.answers = handle.getMapState("answers", "at bigint", "last bigint, times binary")
+        self.passed = set()
 
     def answered(self, at: int, times: list[int]) -> bool:
         first = bisect_right(times, at)
         return first < len(times) and times[first] <= at + self.within
 
+    def unanswered(self, requests: list[tuple], times: dict[tuple, list[int]]) -> list[tuple]:
+        return [q for q in requests if not self.answered(q[0], times.get(frozen(q[1]), ()))]
+
+    def hold(self, requests: list[tuple], n: int) -> int:
+        """Keep requests in entries numbered from n, each with a timer for its first; returns the next number."""
+        for i in range(0, len(requests), ENTRY):
+            part = requests[i : i + ENTRY]
+            self.open.updateValue((part[0][0], n), (pickle.dumps(part),))
+            self.handle.registerTimer(-(-(part[0][0] + self.within) // 1000))
+            n += 1
+        return n
+
+    def hold_answers(self, found: list[tuple]) -> None:
+        """Keep responses; an entry goes when the watermark has passed its last."""
+        for i in range(0, len(found), ENTRY):
+            part = found[i : i + ENTRY]
+            first = (part[0][0],)
+            if self.answers.containsKey(first):
+                part = sorted(part + pickle.loads(bytes(self.answers.getValue(first)[1])), key=itemgetter(0))
+            self.answers.updateValue(first, (part[-1][0], pickle.dumps(part)))
+            self.handle.registerTimer(-(-part[-1][0] // 1000))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        asked, new = [], set()
+        asked, new, n = [], set(), self.n_keys
         for r in rows:
-            if r.ask:
-                asked.append((r.at, pickle.dumps(tuple(r)[self.n_keys + 3 :])))
-            elif None not in key:
-                new.add(r.at)
+            own, at = r[len(key) : n], r[n + 1]
+            if r[n + 2]:
+                asked.append((at, own, r[n + 3 :]))
+            elif None not in key and None not in own:
+                new.add((at, frozen(own)))
+        new = sorted(new, key=itemgetter(0))
         if new:
-            times = sorted(new)
-            for at, n in [k for k in self.open.keys() if self.answered(k[0], times)]:
-                self.open.removeKey((at, n))
-            for at in times:
-                self.answers.updateValue((at,), (True,))
-                self.handle.registerTimer(-(-at // 1000))
+            times = by_key(new)
+            for entry, (held,) in [(tuple(k), tuple(v)) for k, v in self.open.iterator()]:
+                before = pickle.loads(bytes(held))
+                left = self.unanswered(before, times)
+                if not left:
+                    self.open.removeKey(entry)
+                elif len(left) < len(before):
+                    self.open.updateValue(entry, (pickle.dumps(left),))
+            self.hold_answers(new)
         if asked:
-            times = sorted(k[0] for k in self.answers.keys())
-            n = self.number.get()[0] if self.number.exists() else 0
-            for at, request in asked:
-                if not self.answered(at, times):
-                    n += 1
-                    self.open.updateValue((at, n), (request,))
-                    self.handle.registerTimer(-(-(at + self.within) // 1000))
-            self.number.update((n,))
+            known = [pair for _, v in self.answers.iterator() for pair in pickle.loads(bytes(v[1]))]
+            left = self.unanswered(asked, by_key(sorted(known, key=itemgetter(0))))
+            if left:
+                self.hold(sorted(left, key=itemgetter(0)), max((k[1] for k in self.open.keys()), default=0) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        if passed(self.done, now):
+        if (key, now) in self.passed:  # of timers that expire together the first does all the work
             return
-        for (at, n), (request,) in sorted((tuple(k), tuple(v)) for k, v in self.open.iterator()):
-            if at + self.within <= now:
-                self.open.removeKey((at, n))
-                yield self.row(*key, *pickle.loads(bytes(request)))
-        for at in [k[0] for k in self.answers.keys()]:
-            if at <= now:
-                self.answers.removeKey((at,))
+        self.passed.add((key, now))
+        entries = sorted((tuple(k), tuple(v)) for k, v in self.open.iterator())
+        n = max((k[1] for k, _ in entries), default=0) + 1
+        for entry, (held,) in entries:
+            if entry[0] + self.within > now:
+                break
+            requests = pickle.loads(bytes(held))
+            self.open.removeKey(entry)
+            n = self.hold([q for q in requests if q[0] + self.within > now], n)
+            for at, own, request in requests:
+                if at + self.within <= now:
+                    yield self.row(*key, *own, *request)
+        for entry in [tuple(k) for k, v in self.answers.iterator() if v[0] <= now]:
+            self.answers.removeKey(entry)
 
     def close(self) -> None:
         pass
 
 
-def stream_unanswered_timed(req: DataFrame, resp: DataFrame, on: str | Sequence[str], within: str, watermark: str, time_col: str = "ts") -> DataFrame:
-    """O37 with a timer a request: it is emitted in the first batch whose watermark has reached its time + within, and never before.
+def by_key(pairs: list[tuple]) -> dict[tuple, list[int]]:
+    """Each key's times, in their order among (time, key)."""
+    found = defaultdict(list)
+    for at, own in pairs:
+        found[own].append(at)
+    return found
+
+
+def stream_unanswered_timed(req: DataFrame, resp: DataFrame, on: str | Sequence[str], within: str, watermark: str, time_col: str = "ts", groups: int = 256) -> DataFrame:
+    """O37 with timers: a request is emitted in the first batch whose watermark has reached its time + within, and never before.
 
     Requests and responses are one keyed state. A response may come before or after its request, in any batch, as long as neither
     is older than the watermark. State is a request for as long as it is open, and a response's time until the watermark has
-    passed it. A request without a key is never answered; rows without a time are left out. Needs the RocksDB state store.
+    passed it and those that came with it. A request without a key is never answered; rows without a time are left out. Needs the
+    RocksDB state store.
+
+    A state is a group of keys in a time bucket as long as the interval: a response goes to its bucket and the one before, so a hot key
+    is the work of many tasks and a batch touches only buckets that it has rows for. With more rows in a bucket take more groups, in a new checkpoint.
     """
     keys = listed(on)
     rest = [c for c in req.columns if c not in keys]
     zoned = {f.name for f in req.schema.fields if isinstance(f.dataType, TimestampType)}
     by = [f"k{i}" for i in range(len(keys))]
+    size = max(micros(within), 1)
+    start = F.col("at") - F.pmod("at", F.lit(size))
 
     def side(df: DataFrame, ask: bool) -> DataFrame:
         time = quoted(time_col).cast("timestamp")
@@ -160,11 +226,13 @@ def stream_unanswered_timed(req: DataFrame, resp: DataFrame, on: str | Sequence[
         kinds = ["bigint" if c in zoned else req.schema[c].dataType for c in rest]
         held = [x.cast(kind).alias(f"r{i}") for i, (x, kind) in enumerate(zip(own, kinds))]
         plain = df.select(*[quoted(k).alias(b) for k, b in zip(keys, by)], time.alias("time"), F.unix_micros(time).alias("at"), F.lit(ask).alias("ask"), *held)
-        return plain.where("time is not null").withWatermark("time", watermark)
+        plain = plain.where("time is not null").withWatermark("time", watermark)
+        buckets = F.array(start) if ask else F.array(start, start - size)
+        return plain.select(dealt([F.col(b) for b in by], groups), F.explode(buckets).alias("bucket"), *plain.columns)
 
     both = side(req, True).unionByName(side(resp, False))
     schema = StructType([f for f in both.schema.fields if f.name not in ("time", "at", "ask")])
-    found = both.groupBy(*by).transformWithState(UnansweredProcessor(micros(within), len(keys), schema.names), schema, "append", "eventTime")
+    found = both.groupBy("g", "bucket").transformWithState(UnansweredProcessor(micros(within), 2 + len(keys), schema.names), schema, "append", "eventTime")
     back = {k: F.col(b) for k, b in zip(keys, by)}
     back |= {c: F.timestamp_micros(f"r{i}") if c in zoned else F.col(f"r{i}") for i, c in enumerate(rest)}
     return found.select(*[back[c].alias(c) for c in req.columns])
