@@ -861,3 +861,40 @@ def test_answers_across_time_buckets(spark, tmp_path, rocksdb):
     rows += [("q", 9, T0, "end", 0.0), ("r", 0, T0, "end", 0.0)]
     make = lambda s: detect.stream_unanswered_timed(s.where("side = 'q'").drop("side"), s.where("side = 'r'").drop("side"), ["a", "b"], "10 minutes", "10 minutes")
     assert sorted(r.id for r in fed(spark, tmp_path, [rows], schema, make)[0]) == [2, 4, 5]
+
+
+def test_windows_of_many_keys_share_their_state():
+    """Rows of a group against a loop: one entry and one timer a window, whatever the number of keys, which hold their sums apart."""
+    import random
+
+    from pyspark.sql import Row
+
+    rng, state, sums, want = random.Random(5), Fake(), {}, []
+    cusum = detect.OrderedCusumProcessor(4.0, 8.0, ["g", "k0", "at", "value", "cusum", "alert"])
+    cusum.init(state)
+    keys = [f"k{i}" for i in range(200)] + [None]
+    made = [(h * 1000, k, rng.randrange(12)) for h in range(1, 13) for k in keys]
+    for at, k, x in made:
+        sums[k] = max(0.0, sums.get(k, 0.0) + x - 4.0)
+        want.append((7, k, at, x, sums[k], sums[k] >= 8.0))
+    rng.shuffle(made)
+    for part in (made[::2], made[1::2]):
+        list(cusum.handleInputRows((7,), iter([Row(g=7, k0=k, time=None, at=at, value=x) for at, k, x in part]), None))
+    assert len(state.maps["waiting"]) == 12 and state.timers == set(range(1, 13))
+    got = [tuple(r) for clock in (5, 12) for r in cusum.handleExpiredTimer((7,), Clock(clock), None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and not state.maps["waiting"]
+    for at in (13, 14):  # a NaN is one key
+        list(cusum.handleInputRows((7,), iter([Row(g=7, k0=float("nan"), time=None, at=at * 1000, value=9)]), None))
+    assert [r[4] for r in cusum.handleExpiredTimer((7,), Clock(14), None)] == [5.0, 10.0]
+
+
+def test_late_rates_are_written_by_many_tasks(spark):
+    from pathlib import Path
+
+    from tideguard.plans import queries
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("o38-late-*"))
+    queries.o38_stream_cusum_ordered(spark, "/root/testdata/sf0.01")
+    [path] = set(shared.glob("o38-late-*")) - before
+    assert len(list(path.glob("part-*.parquet"))) == 5 * spark.sparkContext.defaultParallelism

@@ -76,14 +76,6 @@ def stream_unanswered(req: DataFrame, resp: DataFrame, on: str | Sequence[str],
     return rows.select(*[F.col(c if c in on else f"req_{c}").alias(c) for c in req.columns])
 
 
-def passed(done, now: int) -> bool:
-    """Whether a key's timers have been seen to at this watermark: of those that expire together the first does all the work."""
-    if done.exists() and done.get()[0] >= now:
-        return True
-    done.update((now,))
-    return False
-
-
 #: Requests or responses that one entry of state holds at most.
 ENTRY = 10_000
 
@@ -263,51 +255,60 @@ class CusumProcessor(StatefulProcessor):
 
 
 class OrderedCusumProcessor(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, and its sum up to there. Times are microseconds."""
+    """Holds a group's rows until the watermark has passed them, and the sums of its keys up to there. Times are microseconds.
+
+    An entry of state is a window's rows. Rows begin with the group and the key within it, and end with at and value.
+    """
 
     def __init__(self, drift: float, limit: float, columns: list[str]):
-        self.drift, self.limit, self.row = drift, limit, Row(*columns)
+        self.drift, self.limit, self.row, self.n_keys = drift, limit, Row(*columns), len(columns) - 4
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint", "values binary")
-        self.sum = handle.getValueState("sum", "s double")
-        self.done = handle.getValueState("done", "at bigint")
+        self.waiting = handle.getMapState("waiting", "at bigint", "rows binary")
+        self.sums = handle.getValueState("sums", "sums binary")
+        self.passed = set()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new = defaultdict(list)
         for r in rows:
-            new[r.at].append(r.value)
-        for at, values in new.items():
+            new[r[-2]].append((r[1 : self.n_keys], r[-1]))
+        for at, got in new.items():
             held = pickle.loads(bytes(self.waiting.getValue((at,))[0])) if self.waiting.containsKey((at,)) else []
-            self.waiting.updateValue((at,), (pickle.dumps(held + values),))
+            self.waiting.updateValue((at,), (pickle.dumps(held + got),))
             self.handle.registerTimer(-(-at // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        ready = [] if passed(self.done, now) else sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
+        if (key, now) in self.passed:  # of timers that expire together the first does all the work
+            return
+        self.passed.add((key, now))
+        ready = sorted(k[0] for k in self.waiting.keys() if k[0] <= now)
         if not ready:
             return
-        held = self.sum.get()[0] if self.sum.exists() else 0.0
+        sums = pickle.loads(bytes(self.sums.get()[0])) if self.sums.exists() else {}
         for at in ready:
-            for x in sorted(pickle.loads(bytes(self.waiting.getValue((at,))[0])), key=lambda v: (v is None, v)):
-                held = max(0.0, held + (0.0 if x is None else float(x) - self.drift))
-                yield self.row(*key, at, x, held, held >= self.limit)
+            for own, x in sorted(pickle.loads(bytes(self.waiting.getValue((at,))[0])), key=lambda v: (v[1] is None, v[1])):
+                name = frozen(own)
+                held = max(0.0, sums.pop(name, 0.0) + (0.0 if x is None else float(x) - self.drift))
+                if held != 0.0:
+                    sums[name] = held
+                yield self.row(*key, *own, at, x, held, held >= self.limit)
             self.waiting.removeKey((at,))
-        self.sum.update((held,))
+        self.sums.update((pickle.dumps(sums),))
 
     def close(self) -> None:
         pass
 
 
-def stream_cusum_ordered(df: DataFrame, keys: str | Sequence[str], drift: float, limit: float, watermark: str, value: str = "packets") -> DataFrame:
+def stream_cusum_ordered(df: DataFrame, keys: str | Sequence[str], drift: float, limit: float, watermark: str, value: str = "packets", groups: int = 256) -> DataFrame:
     """O38 with late rows in order: cusum on a stream of window rates (key, win, value), whatever order they come in.
 
     A row waits until the watermark has passed its window and is then added in the order of windows, so a late row in a later
-    batch gives what cusum gives on all rows; a row older than the watermark is dropped. State is a key's waiting rows and
-    one sum. Equal windows of a key are added by ascending value; a null value leaves the sum as it is; rows without a
-    window are left out. Needs the RocksDB state store.
+    batch gives what cusum gives on all rows; a row older than the watermark is dropped. State is the waiting rows and
+    one sum a key, those of a group of keys together. Equal windows of a key are added by ascending value; a null value leaves the
+    sum as it is; rows without a window are left out. With more keys take more groups, in a new checkpoint. Needs the RocksDB state store.
     """
     keys = listed(keys)
     by = [f"k{i}" for i in range(len(keys))]
@@ -315,8 +316,9 @@ def stream_cusum_ordered(df: DataFrame, keys: str | Sequence[str], drift: float,
         *[quoted(k).alias(b) for k, b in zip(keys, by)], quoted("win").cast("timestamp").alias("time"), F.unix_micros(quoted("win").cast("timestamp")).alias("at"), quoted(value).alias("value")
     )
     plain = plain.withWatermark("time", watermark)
+    plain = plain.select(dealt([F.col(b) for b in by], groups), *plain.columns)
     schema = StructType([f for f in plain.schema.fields if f.name != "time"]).add("cusum", "double").add("alert", "boolean")
-    found = plain.groupBy(*by).transformWithState(OrderedCusumProcessor(float(drift), float(limit), schema.names), schema, "append", "eventTime")
+    found = plain.groupBy("g").transformWithState(OrderedCusumProcessor(float(drift), float(limit), schema.names), schema, "append", "eventTime")
     return found.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.timestamp_micros("at").alias("win"), F.col("value").alias(value), "cusum", "alert")
 
 
